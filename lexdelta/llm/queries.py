@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdelta.llm import confusables, leakage, neardup
+from lexdelta.llm import confusables, encodings, leakage, mixing, neardup
 from lexdelta.operators.snapshots import resolve_versions
 from lexdelta.plans.registry import Registry
 from lexdelta.sources.tables import table
@@ -88,3 +88,40 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     """The corpus without the documents that hold leaked passages."""
     return leakage.without_leaks(table(spark, d, "documents"), _leaked(spark, d)).select("doc_id", "source")
+
+
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@R.add("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed documents, copy by copy, in shuffled order."""
+    return _mixture(spark, d).mixed()
+
+
+@R.add("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of tokens of each source of each mix."""
+    return _mixture(spark, d).shares()
+
+
+def _mojibake(spark: SparkSession, d: str) -> encodings.Mojibake:
+    return encodings.Mojibake(table(spark, d, "documents"))
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mojibake(spark, d).affected()
+
+
+@R.add("p9_restored")
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Affected documents with their text restored where that is possible."""
+    return _mojibake(spark, d).restored()
+
+
+@R.add("p9_words")
+def p9_words(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled words of the corpus, their originals and the chain of encodings that made them."""
+    return _mojibake(spark, d).garbled
