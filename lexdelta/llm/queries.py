@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdelta.llm import confusables, encodings, leakage, mixing, neardup
+from lexdelta.llm import confusables, encodings, leakage, linkage, mixing, neardup
 from lexdelta.operators.snapshots import resolve_versions
 from lexdelta.plans.registry import Registry
 from lexdelta.sources.tables import table
@@ -69,6 +69,29 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
     return found.members.join(ends, ["field", "rep"], "left").select(F.col("field").alias("field_name"), "id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _links(spark: SparkSession, d: str) -> linkage.AccountLinks:
+    nodes = first_version(spark, d, "node_id", "match_path", "header_text", "body_text", "tag").where(F.col("tag").startswith("appropriations"))
+    return linkage.AccountLinks(table(spark, d, "report_accounts"), nodes, table(spark, d, "validation_defense"))
+
+
+@R.add("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).links().select("account_id", "other_table", "other_id")
+
+
+@R.add("p6_links")
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with their confidence."""
+    return _links(spark, d).links()
+
+
+@R.add("p6_rules")
+def p6_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What each rule resolved and its precision on labelled rows."""
+    found = _links(spark, d)
+    return found.all.groupBy("rule").agg(F.count("*").alias("n_resolved")).join(found.confidence(), "rule")
+
+
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
