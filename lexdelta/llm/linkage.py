@@ -29,9 +29,9 @@ ABBREVIATIONS = {
 }
 _SMALL = ("and", "of", "the", "for")
 
-#: Combinations of keys from strong to weak. t: title, b: bureau, v: amount, n: name's words, l: name's
-#: letters, e: letters but one, w: words but one, i: initials, p: openings of words.
-RULES = ("tbn", "bn", "tnv", "nv", "tn", "n", "bl", "lv", "ev", "be", "te", "l", "e", "bw", "wv", "tw", "bi", "iv", "bpv", "pv", "w")
+#: Combinations of keys from strong to weak. t: title, b: bureau, v: amount, q: amount within a sixth, n: name's
+#: words, l: name's letters, e: letters but one, w: words but one, i: initials, p: openings of words.
+RULES = ("tbn", "bn", "tnv", "nv", "tnq", "nq", "bl", "lv", "ev", "be", "teq", "eq", "bw", "wv", "twq", "bi", "iv", "bpv", "pv", "tn", "n")
 
 
 def name_words(c: Column) -> Column:
@@ -60,6 +60,7 @@ def keyed(df: DataFrame, title: Column, bureau: Column, name: Column, amount: Co
         "t": F.when(F.trim(title) != "", header_norm(title)),
         "b": F.when(F.size(bureau_words) > 0, F.array_join(F.array_sort(bureau_words), " ")),
         "v": F.when(F.col("_amt") > 0, F.transform(F.filter(F.array(*map(F.lit, (3, 4, 5, 6, 7, 8))), lambda r: r >= F.col("_dig")), lambda r: F.concat_ws(":", r.cast("string"), F.round(F.col("_amt") / F.pow(F.lit(10.0), r)).cast("bigint").cast("string")))),
+        "q": F.when(F.col("_amt") > 0, F.expr("array(floor(ln(_amt) / ln(1.15)), floor(ln(_amt) / ln(1.15)) + 1)")),
         "e": F.when(F.length("l") > 4, F.expr("array_append(transform(filter(array_distinct(split(l, '')), c -> c <> ''), c -> overlay(l placing '' from locate(c, l) for 1)), l)")),
         "w": F.when(F.size("_w") > 2, F.array_append(less_one(F.col("_w")), F.col("n"))),
         "i": F.when(F.size("_w") > 1, F.array_join(F.array_sort(F.transform("_w", lambda x: x.substr(1, 1))), "")),
@@ -67,19 +68,19 @@ def keyed(df: DataFrame, title: Column, bureau: Column, name: Column, amount: Co
     }).drop("_w", "_amt", "_dig")
 
 
-KEYS = ("t", "b", "v", "n", "l", "e", "w", "i", "p")
-_MANY = {"v", "e", "w", "p"}
+KEYS = ("t", "b", "v", "q", "n", "l", "e", "w", "i", "p")
+_MANY = {"v", "q", "e", "w", "p"}
 
 
 def _by(df: DataFrame, rule: str, ident: str, finest: bool) -> DataFrame:
-    """(scope, ident, key): one row a combination of the rule's keys; ``finest`` takes the first amount key only."""
-    out = df.select("scope", ident, *rule).where(reduce(lambda a, c: a & F.col(c).isNotNull(), rule, F.lit(True)))
+    """(scope, ident, bureau, key): one row a combination of the rule's keys; ``finest`` takes the first amount key only."""
+    out = df.select("scope", ident, F.col("b").alias("bureau"), *rule).where(reduce(lambda a, c: a & F.col(c).isNotNull(), rule, F.lit(True)))
     for c in rule:
         if c == "v" and finest:
             out = out.withColumn(c, F.get("v", F.lit(0)))
         elif c in _MANY:
             out = out.withColumn(c, F.explode(c))
-    return out.select("scope", ident, F.xxhash64(*rule).alias("key")).where("key is not null").distinct()
+    return out.select("scope", ident, "bureau", F.xxhash64(*rule).alias("key")).distinct()
 
 
 def cascade(left: DataFrame, right: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
@@ -95,9 +96,11 @@ def cascade(left: DataFrame, right: DataFrame, rules: tuple[str, ...] = RULES) -
     for at in range(0, len(rules), 3):
         passes = []
         for rule in rules[at : at + 3]:
-            single = _by(right, rule, "rid", False).groupBy("scope", "key").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z")).where("rid = _z").drop("_z")
+            single = _by(right, rule, "rid", False).groupBy("scope", "key").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z"), F.min("bureau").alias("_b")).where("rid = _z").drop("_z")
             rest = reduce(lambda d, p: d.join(p.select("lid"), "lid", "left_anti"), passes, todo)
-            hit = _by(rest, rule, "lid", True).join(single, ["scope", "key"]).groupBy("lid").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z")).where("rid = _z")
+            # a rule without amount does not join records of different bureaus
+            fits = F.lit("v" in rule or "q" in rule) | F.col("bureau").isNull() | F.col("_b").isNull() | (F.col("bureau") == F.col("_b"))
+            hit = _by(rest, rule, "lid", True).join(single, ["scope", "key"]).where(fits).groupBy("lid").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z")).where("rid = _z")
             passes.append(hit.select("lid", "rid", F.lit(rule).alias("rule")))
         done = cut(reduce(DataFrame.unionByName, passes), f"pass{at}")
         found.append(done)
