@@ -1,9 +1,8 @@
 """Differences between consecutive full snapshots, found by comparing Merkle trees.
 
-Every row of a snapshot is reduced to its key and a 64-bit hash of its content before the only
-shuffle of rows, which is by (group, leaf): all snapshots' rows of one key range meet in one task,
-and a group that holds a third of all rows is spread over its leaves. Digests are XORs, so they
-are pre-aggregated on the map side. Digests are compared from the root down, and rows are compared
+Every row of a snapshot is reduced to its key and a 64-bit hash of its content before anything is
+shuffled, and the newest row of a key is found with map-side combination, so a group that holds a
+third of all rows is spread over its keys. Digests are XORs, so they are pre-aggregated too. Digests are compared from the root down, and rows are compared
 only in leaves whose digests differ.
 """
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexdelta.functions.text import division_title, path_text, strip_ws
+from lexdelta.session import cut
 
 LEAVES, FAN = 64, 8
 
@@ -59,8 +59,8 @@ def snapshot_diff(rows: DataFrame, group: str, version: str, key: list[str], con
         F.col(content).alias("_h"), F.struct(*newest).alias("_at"),
     ).where("_g is not null and _v is not null")
     lean = lean.withColumn("_leaf", F.pmod(F.xxhash64(*k), F.lit(leaves)).cast("int"))
-    # one shuffle of rows; the aggregations and the last join below keep its partitioning
-    latest = lean.repartition("_g", "_leaf").groupBy("_g", "_leaf", "_v", *k).agg(F.max_by("_h", "_at").alias("_h"))
+    # the one pass over the rows; what is compared below are hashes, read back from the shared folder
+    latest = cut(lean.groupBy("_g", "_leaf", "_v", *k).agg(F.max_by("_h", "_at").alias("_h")), "latest")
 
     row_hash = F.xxhash64(*k, "_h")
     leaf = latest.groupBy("_g", "_leaf", "_v").agg(F.bit_xor(row_hash).alias("_d"), F.count("*").alias("_n"))
