@@ -31,7 +31,7 @@ _SMALL = ("and", "of", "the", "for")
 
 #: Combinations of keys from strong to weak. t: title, b: bureau, v: amount, q: amount within a sixth, n: name's
 #: words, l: name's letters, e: letters but one, w: words but one, i: initials, p: openings of words.
-RULES = ("tbn", "bn", "tnv", "nv", "tnq", "nq", "bl", "lv", "ev", "be", "teq", "eq", "bw", "wv", "twq", "bi", "iv", "bpv", "pv", "tn", "n")
+PASSES = (("tbn", "bn", "tnv", "nv", "tnq", "nq"), ("bl", "lv", "ev", "be", "teq", "eq"), ("bw", "wv", "twq", "bi", "iv", "bpv", "pv", "tn", "n"))
 
 
 def name_words(c: Column) -> Column:
@@ -72,40 +72,44 @@ KEYS = ("t", "b", "v", "q", "n", "l", "e", "w", "i", "p")
 _MANY = {"v", "q", "e", "w", "p"}
 
 
-def _by(df: DataFrame, rule: str, ident: str, finest: bool) -> DataFrame:
-    """(scope, ident, bureau, key): one row a combination of the rule's keys; ``finest`` takes the first amount key only."""
-    out = df.select("scope", ident, F.col("b").alias("bureau"), *rule).where(reduce(lambda a, c: a & F.col(c).isNotNull(), rule, F.lit(True)))
-    for c in rule:
-        if c == "v" and finest:
-            out = out.withColumn(c, F.get("v", F.lit(0)))
-        elif c in _MANY:
-            out = out.withColumn(c, F.explode(c))
-    return out.select("scope", ident, "bureau", F.xxhash64(*rule).alias("key")).distinct()
+def _keys(rules: tuple[str, ...], first: int, finest: bool) -> Column:
+    """ARRAY<STRUCT<r, k>>: the hashed key combinations of ``rules``, numbered from ``first``; ``finest`` takes the first amount key only."""
+    parts = []
+    for r, rule in enumerate(rules, first):
+        many = [c for c in rule if c in _MANY and not (c == "v" and finest)]
+        names = ", ".join(f"x_{c}" if c in many else "v[0]" if c == "v" else c for c in rule)
+        expr = f"struct({r} as r, xxhash64({names}) as k)"
+        for depth, c in enumerate(many):
+            expr = f"transform({c}, x_{c} -> {expr})" if depth == 0 else f"flatten(transform({c}, x_{c} -> {expr}))"
+        expr = expr if many else f"array({expr})"
+        there = " and ".join(f"{c} is not null" for c in rule)
+        parts.append(f"if({there}, {expr}, array())")
+    return F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])
 
 
-def cascade(left: DataFrame, right: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+def cascade(left: DataFrame, right: DataFrame, passes: tuple[tuple[str, ...], ...] = PASSES) -> DataFrame:
     """(lid, rid, rule): the entity ``rid`` of ``right`` that each record ``lid`` of ``left`` is resolved to, at most one.
 
     Both sides have ``scope`` (records match within a scope only), their identifier and the key
-    columns; ``right`` may have several rows an entity. Unresolved records have no row. A NULL scope
-    matches nothing.
+    columns; ``right`` may have several rows an entity. The rules of one pass are tried in order in one
+    join, and what a pass resolves is taken out before the next. Unresolved records have no row. A
+    NULL scope matches nothing.
     """
-    left, found = cut(left.select("lid", "scope", *KEYS), "left"), []
-    right = cut(right.select("rid", "scope", *KEYS), "right")
-    todo = left
-    for at in range(0, len(rules), 3):
-        passes = []
-        for rule in rules[at : at + 3]:
-            single = _by(right, rule, "rid", False).groupBy("scope", "key").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z"), F.min("bureau").alias("_b")).where("rid = _z").drop("_z")
-            rest = reduce(lambda d, p: d.join(p.select("lid"), "lid", "left_anti"), passes, todo)
-            # a rule without amount does not join records of different bureaus
-            fits = F.lit("v" in rule or "q" in rule) | F.col("bureau").isNull() | F.col("_b").isNull() | (F.col("bureau") == F.col("_b"))
-            hit = _by(rest, rule, "lid", True).join(single, ["scope", "key"]).where(fits).groupBy("lid").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z")).where("rid = _z")
-            passes.append(hit.select("lid", "rid", F.lit(rule).alias("rule")))
-        done = cut(reduce(DataFrame.unionByName, passes), f"pass{at}")
-        found.append(done)
-        todo = todo.join(done.select("lid"), "lid", "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    done, todo, at = [], left, 0
+    for rules in passes:
+        # a rule without amount does not join records of different bureaus
+        free = [at + n for n, rule in enumerate(rules) if "v" in rule or "q" in rule]
+        single = right.select("scope", "rid", "b", F.explode(_keys(rules, at, False)).alias("x")).groupBy("scope", F.col("x.r").alias("r"), F.col("x.k").alias("k")).agg(F.min("rid").alias("rid"), F.max("rid").alias("_z"), F.min("b").alias("_b")).where("rid = _z")
+        mine = todo.select("scope", "lid", "b", F.explode(_keys(rules, at, True)).alias("x")).select("scope", "lid", "b", "x.r", "x.k").distinct()
+        fits = F.col("r").isin(free) | F.col("b").isNull() | F.col("_b").isNull() | (F.col("b") == F.col("_b"))
+        per = mine.join(single, ["scope", "r", "k"]).where(fits).groupBy("lid", "r").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z")).where("rid = _z")
+        best = per.groupBy("lid").agg(F.min(F.struct("r", "rid")).alias("m"))
+        names = F.array(*map(F.lit, rules))
+        hit = cut(best.select("lid", F.col("m.rid").alias("rid"), F.get(names, F.col("m.r") - at).alias("rule")), "pass")
+        done.append(hit)
+        todo = todo.join(hit.select("lid"), "lid", "left_anti")
+        at += len(rules)
+    return reduce(DataFrame.unionByName, done)
 
 
 def rule_confidence(matches: DataFrame, labels: DataFrame) -> DataFrame:
@@ -115,12 +119,12 @@ def rule_confidence(matches: DataFrame, labels: DataFrame) -> DataFrame:
     return judged.groupBy("rule").agg(n.alias("n_labelled"), right.alias("n_right")).withColumn("confidence", F.round((F.col("n_right") + 1) / (F.col("n_labelled") + 2), 6))
 
 
-def _vote(left: DataFrame, right: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """(source, target, weight): how much equal keys speak for a source being a target; a key common to n targets gives 1/n to each."""
-    one = lambda d, i: d.select(i, "congress", *(F.get(c, F.lit(0)).alias(c) if c == "v" else c for c in key)).dropna().distinct()
-    r = one(right, "target")
-    per = r.groupBy("congress", *key).agg(F.count("*").alias("_n"))
-    return one(left, "source").join(r.join(per, ["congress", *key]), ["congress", *key]).select("source", "target", (1.0 / F.col("_n")).alias("weight"))
+def _vote(left: DataFrame, right: DataFrame, rules: tuple[str, ...] = ("tbn", "bnv", "tnv", "bn", "nv")) -> DataFrame:
+    """(source, scope): the target that most keys speak for, of the keys that only one target has."""
+    one = lambda d, i: d.select(i, "congress", F.explode(_keys(rules, 0, True)).alias("x")).select(i, "congress", "x.r", "x.k").distinct()
+    single = one(right, "target").groupBy("congress", "r", "k").agg(F.min("target").alias("target"), F.max("target").alias("_z")).where("target = _z")
+    sums = one(left, "source").join(single, ["congress", "r", "k"]).groupBy("source", "target").agg(F.count("*").alias("w"))
+    return sums.groupBy("source").agg(F.max_by("target", F.struct("w", "target")).alias("scope"))
 
 
 class AccountLinks:
@@ -156,10 +160,8 @@ class AccountLinks:
 
         left = self.accounts.select("source", "congress", *KEYS)
         right = self.nodes.select(F.col("scope").alias("target"), "congress", *KEYS).unionByName(self.truth.select(F.col("scope").alias("target"), "congress", *KEYS))
-        votes = reduce(DataFrame.unionByName, (_vote(left, right, k) for k in (("t", "b", "n"), ("b", "n", "v"), ("t", "n", "v"), ("b", "n"), ("n", "v"))))
-        sums = votes.groupBy("source", "target").agg(F.sum("weight").alias("w")).groupBy("source").agg(F.max_by("target", F.struct("w", "target")).alias("scope"))
         #: (source, scope): the bill each report is on
-        self.bills = cut(sums, "bills")
+        self.bills = cut(_vote(left, right), "bills")
 
         scoped = self.accounts.join(self.bills, "source")
         lefts = scoped.select(F.concat(F.lit("a"), F.col("lid").cast("string")).alias("lid"), "scope", *KEYS).unionByName(self.truth.select(F.concat(F.lit("v"), F.col("lid").cast("string")).alias("lid"), "scope", *KEYS))
@@ -170,7 +172,7 @@ class AccountLinks:
         own = F.concat_ws("|", F.lit("own"), "scope", F.coalesce("n", no))
         mine = mine.withColumn("rid", F.coalesce("rid", own))
         open_truth = self.truth.select(F.concat(F.lit("v"), F.col("lid").cast("string")).alias("lid"), "scope", *KEYS).join(self.resolved.select("lid"), "lid", "left_anti")
-        late = cascade(open_truth, mine.select("rid", "scope", *KEYS))
+        late = cascade(open_truth, mine.select("rid", "scope", *KEYS), (tuple(r for rules in PASSES for r in rules),))
         self.entities = cut(mine.select(F.col("lid").alias("account_id"), "rid", F.col("aid")), "entities")
         self.all = cut(self.resolved.unionByName(late), "links")
 
