@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 WS_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Fixed value: printed amounts, and the notes of an amendment that name a difference, not an amount.
 AMOUNT = r"\$\d{1,3}(?:,\d{3})+|\$\d+"
-ANNOTATION = r"\((?:increased|reduced|decreased) by \$[\d,]+\)"
+ANNOTATION = r"\((?:increased|reduced|decreased) by\s+\$[\d,]+\)"
 
 
 def col(c: str | Column) -> Column:
@@ -55,3 +55,85 @@ def amounts(c: str | Column) -> Column:
 
 def has_annotation(c: str | Column) -> Column:
     return F.coalesce(col(c).rlike(ANNOTATION), F.lit(False))
+
+
+def unified_diff(old: Column, new: Column) -> Column:
+    """Unified diff of two one-line texts as ARRAY<STRING>; empty where they are equal."""
+    at = lambda c: F.when(c == "", F.lit("0,0")).otherwise(F.lit("1"))
+    line = lambda sign, c: F.when(c != "", F.array(F.rtrim(F.concat(F.lit(sign), c)))).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.lit("--- old"), F.lit("+++ new"), F.concat(F.lit("@@ -"), at(old), F.lit(" +"), at(new), F.lit(" @@")))
+    return F.when(old == new, F.array().cast("array<string>")).otherwise(F.concat(head, line("-", old), line("+", new)))
+
+
+def money(c: Column) -> Column:
+    """``$1,234``, a minus sign before the dollar sign."""
+    return F.concat(F.when(c < 0, F.lit("-$")).otherwise(F.lit("$")), F.format_number(F.abs(c), 0))
+
+
+def delta(old: Column, new: Column) -> Column:
+    """The signed difference as money; NULL where a side is absent."""
+    d = new - old
+    return F.when(d.isNotNull(), F.concat(F.when(d > 0, F.lit("+")).otherwise(F.lit("")), money(d)))
+
+
+def delta_percent(old: Column, new: Column) -> Column:
+    """``+12.5%``; a dash where the old amount is 0."""
+    r = F.round((new - old) * F.lit(100.0) / old, 1)
+    return F.when(old == 0, F.lit("—")).when(r.isNotNull(), F.concat(F.when(r > 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.1f", r), F.lit("%")))
+
+
+def title_match_header(label: Column) -> Column:
+    """The header of a ``TITLE I—HEADER`` label; ``""`` without one; other labels as they are."""
+    return F.when(label.rlike(r"^TITLE\s+[^\s—]+(—.*)?$"), F.regexp_replace(label, r"^TITLE\s+[^\s—]+—?", "")).otherwise(label)
+
+
+def version_label(stem: Column) -> Column:
+    """What follows the number of ``<number>_<label>``; other stems as they are."""
+    return F.when(stem.rlike(r"^\d+_"), F.regexp_replace(stem, r"^\d+_", "")).otherwise(stem)
+
+
+#: Chamber designators by bill type.
+DESIGNATORS = {"hr": "H.R.", "s": "S.", "hjres": "H.J.Res.", "sjres": "S.J.Res.", "hconres": "H.Con.Res.", "sconres": "S.Con.Res.", "hres": "H.Res.", "sres": "S.Res."}
+
+
+def bill_title(bill_type: Column, number: Column, official: Column) -> Column:
+    """``H.R. 1 — title``; without a type only the title."""
+    named = F.create_map(*[F.lit(x) for kv in DESIGNATORS.items() for x in kv])
+    label = F.concat_ws(" ", F.coalesce(F.try_element_at(named, bill_type), F.upper(bill_type)), number.cast("string"))
+    official = F.coalesce(official, F.lit(""))
+    return F.when(F.coalesce(bill_type, F.lit("")) == "", official).when(official != "", F.concat(label, F.lit(" — "), official)).otherwise(label)
+
+
+def bill_id(congress: Column, bill_type: Column, number: Column, version: Column | None = None) -> Column:
+    base = F.concat_ws("-", congress.cast("string"), F.lower(bill_type), number.cast("string"))
+    return base if version is None else F.when(F.coalesce(version, F.lit("")) == "", base).otherwise(F.concat_ws(":", base, version))
+
+
+def parse_bill_id(c: Column) -> Column:
+    """STRUCT<congress, bill_type, number, version> of ``118-hr-1[:label]``; NULL for other texts."""
+    shape = r"^([^-:]+)-([^-:]+)-([^-:]+)(?::(.+))?$"
+    part = lambda i: F.regexp_extract(c, shape, i)
+    return F.when(c.rlike(shape), F.struct(part(1).alias("congress"), part(2).alias("bill_type"), part(3).alias("number"), F.nullif(part(4), F.lit("")).alias("version")))
+
+
+def congress_of_year(year: Column) -> Column:
+    return F.floor((year - 1789) / 2).cast("int") + 1
+
+
+def slug(c: Column) -> Column:
+    """Lower case, other characters to single dashes."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def alnum_name(c: Column) -> Column:
+    """Names as ground truth is compared: letters, digits and blanks of the lower-cased text."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]", ""))
+
+
+def glyph_norm(c: Column) -> Column:
+    """Dashes, quotes and doubled single quotes of print brought to ASCII."""
+    return F.replace(F.translate(c, "‐‑‒–—―−‘’‚‛“”„‟", "-------''''\"\"\"\""), F.lit("''"), F.lit('"'))
+
+
+def breadcrumb(path: Column) -> Column:
+    return F.array_join(path, " › ")
