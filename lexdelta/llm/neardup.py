@@ -129,9 +129,7 @@ _ONE, _TWO, _FOUR = np.uint64(1), np.uint64(2), np.uint64(4)
 def _equal_lanes(d: np.ndarray) -> np.ndarray:
     """One bit for each six-bit lane of ``d`` that is zero, at the lane's start."""
     y = d | (d >> _ONE)
-    y |= y >> _TWO
-    y |= y >> _FOUR
-    return ~y & _LANE_ONES
+    return ~(y | (y >> _TWO) | (y >> _FOUR)) & _LANE_ONES
 
 
 def _collisions(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
