@@ -27,32 +27,39 @@ def pair_nodes(spark: SparkSession, d: str) -> DataFrame:
     return last.select(F.col("bill_id").alias("pair_id"), F.when(F.col("version") == 1, "old").otherwise("new").alias("side"), "node_ord", "x.*")
 
 
+def sides(spark: SparkSession, d: str) -> DataFrame:
+    """``pair_nodes`` of the bills that have both versions."""
+    n = pair_nodes(spark, d)
+    both = n.groupBy("pair_id").agg(F.count_distinct("side").alias("k")).where("k = 2")
+    return n.join(both, "pair_id", "left_semi")
+
+
 @R.add("compare_changes")
 def compare_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every change between versions 1 and 2 of every bill: matched, classified, moves found."""
-    return C.compare(pair_nodes(spark, d)).select("pair_id", "change_no", "change_type", F.array_join("match_path", " > ").alias("path_text"), "old_text", "new_text", "section_number", "element_id_old", "element_id_new", F.array_join("text_diff", "\n").alias("diff"))
+    return C.compare(sides(spark, d)).select("pair_id", "change_no", "change_type", F.array_join("match_path", " > ").alias("path_text"), "old_text", "new_text", "section_number", "element_id_old", "element_id_new", F.array_join("text_diff", "\n").alias("diff"))
 
 
 @R.add("compare_summary")
 def compare_summary(spark: SparkSession, d: str) -> DataFrame:
-    return C.summary(C.compare(pair_nodes(spark, d)))
+    return C.summary(C.compare(sides(spark, d)))
 
 
 @R.add("compare_money")
 def compare_money(spark: SparkSession, d: str) -> DataFrame:
     """The money table of every comparison."""
-    return C.money_rows(C.with_money(C.compare(pair_nodes(spark, d))))
+    return C.money_rows(C.with_money(C.compare(sides(spark, d))))
 
 
 @R.add("compare_filter")
 def compare_filter(spark: SparkSession, d: str) -> DataFrame:
     """Changes of money in sections."""
-    return C.filter_changes(C.compare(pair_nodes(spark, d)), needle="SEC.", financial=True).select("pair_id", "change_no", "change_type")
+    return C.filter_changes(C.compare(sides(spark, d)), needle="SEC.", financial=True).select("pair_id", "change_no", "change_type")
 
 
 @R.add("move_candidates")
 def move_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = C.move_candidates(C.classify(C.match_nodes(pair_nodes(spark, d))))
+    c = C.move_candidates(C.classify(C.match_nodes(sides(spark, d))))
     return c.select("pair_id", F.to_json("ro").alias("removed_ord"), F.to_json("ao").alias("added_ord"), F.round("sim", 9).alias("sim"))
 
 
