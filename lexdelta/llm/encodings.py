@@ -101,7 +101,10 @@ class Mojibake:
         self.held = cut(self.docs.where("text is not null").select("doc_id", found.alias("words")).where(F.size("words") > 0), "words")
         self.occurring = self.held.select("doc_id", F.explode("words").alias("word"))
         vocabulary = cut(self.occurring.groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
-        whole = self._originals(vocabulary)
+        # a word may stand clean only beside quotes or an apostrophe, so its runs of letters are originals too
+        letters = F.filter(F.regexp_extract_all("word", F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: w.rlike(r"[^\x00-\x7f]"))
+        sources = vocabulary.select(F.explode(F.array_distinct(F.concat(F.array("word"), letters))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+        whole = self._originals(vocabulary, sources)
         runs = vocabulary.select("word", "n", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(r"[^\x00-\x7f]+"), F.lit(0)))).alias("run"))
         by_run = self._originals(runs.groupBy(F.col("run").alias("word")).agg(F.sum("n").alias("n"))).where(F.length("word") > F.length("original"))
         pieces = runs.join(by_run.select(F.col("word").alias("run"), F.col("original").alias("o"), "chain"), "run").groupBy("word").agg(F.collect_set(F.struct("run", "o")).alias("swaps"), F.min("chain").alias("chain_r"))
@@ -114,9 +117,9 @@ class Mojibake:
         self.small = self.garbled.count() <= broadcast_words
 
     @staticmethod
-    def _originals(vocabulary: DataFrame) -> DataFrame:
-        """(word, original, chain) of the words that are a garbled form of a likelier word."""
-        forms = vocabulary.select("word", "n").mapInPandas(_forms, "form string, original string, n_original bigint, chain string")
+    def _originals(vocabulary: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+        """(word, original, chain) of the words that are a garbled form of a likelier word of ``sources``."""
+        forms = (vocabulary if sources is None else sources).select("word", "n").mapInPandas(_forms, "form string, original string, n_original bigint, chain string")
         hit = vocabulary.join(forms, vocabulary["word"] == forms["form"])
         likelier = (F.col("n_original") >= F.col("n")) | (F.length("word") > F.length("original"))
         best = hit.where(likelier).groupBy("word").agg(F.max_by(F.struct("original", "chain"), F.struct("n_original", "original")).alias("b"))
