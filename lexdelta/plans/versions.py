@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexdelta.operators import compare as C
@@ -23,8 +23,10 @@ def pair_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of versions 1 and 2 of each bill as the sides of one comparison."""
     n = resolve_versions(table(spark, d, "bill_nodes"), table(spark, d, "bill_versions")).where("version in (1, 2)")
     keep = ["match_path", "display_path", "element_id", "body_text", "section_number", "division_label"]
-    last = n.groupBy("bill_id", "version", "node_ord").agg(F.max_by(F.struct(*keep), F.struct("loaded_at", "node_id")).alias("x"))
-    return last.select(F.col("bill_id").alias("pair_id"), F.when(F.col("version") == 1, "old").otherwise("new").alias("side"), "node_ord", "x.*")
+    # a row number instead of max_by over a struct: unused columns are pruned, and older loads go before the shuffle
+    w = Window.partitionBy("bill_id", "version", "node_ord").orderBy(F.desc("loaded_at"), F.desc("node_id"))
+    last = n.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    return last.select(F.col("bill_id").alias("pair_id"), F.when(F.col("version") == 1, "old").otherwise("new").alias("side"), "node_ord", *keep)
 
 
 def sides(spark: SparkSession, d: str) -> DataFrame:
