@@ -23,7 +23,8 @@ def pair_up(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def xml_documents(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, canonical) of pairs of parsed bills, with full texts, trees and places of changes."""
     sides = cut(pair_up(nodes, pairs), "sides")
-    changes = compare.with_money(compare.compare(sides))
+    found = compare.compare(sides)
+    changes = compare.with_money(found)
     doc = sides.withColumn("doc_id", F.concat_ws("|", "pair_id", "side"))
     lines = spans.serialise(doc)
     name = F.when(F.split("doc_id", r"\|")[1] == "old", "v1").otherwise("v2")
@@ -33,9 +34,12 @@ def xml_documents(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = spans.full_text(lines)
     meta = sides.groupBy("pair_id", "side").agg(*(F.first(c).alias(c) for c in ("bill_type", "bill_number", "congress", "version_label")))
     wide = meta.withColumn("doc_id", F.concat_ws("|", "pair_id", "side")).join(texts, "doc_id", "left").join(trees, "doc_id", "left")
-    one = lambda s, v: wide.where(F.col("side") == s).select("pair_id", F.col("version_label").alias(f"{v}_label"), F.col("full_text").alias(f"{v}_text"), F.col("tree").alias(f"{v}_tree"), *([F.col("bill_type"), F.col("bill_number").alias("number"), F.col("congress")] if v == "v2" else []))
+    meta_of = lambda v: [F.col("bill_type").alias(f"_t{v}"), F.col("bill_number").alias(f"_n{v}"), F.col("congress").alias(f"_c{v}")]
+    one = lambda s, v: wide.where(F.col("side") == s).select("pair_id", F.col("version_label").alias(f"{v}_label"), F.col("full_text").alias(f"{v}_text"), F.col("tree").alias(f"{v}_tree"), *meta_of(v))
     heads = one("old", "v1").join(one("new", "v2"), "pair_id", "full")
-    return contract.documents(contract.xml_changes(changes, placed), heads, "xml")
+    heads = heads.withColumns({"bill_type": F.coalesce("_tv1", "_tv2"), "number": F.coalesce("_nv1", "_nv2"), "congress": F.coalesce("_cv1", "_cv2")})
+    same = found.where("change_type = 'unchanged'").groupBy("pair_id").agg(F.count("*").cast("int").alias("n"))
+    return contract.documents(contract.xml_changes(changes, placed), heads, "xml", same)
 
 
 def printed_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -71,18 +71,21 @@ def print_changes(hunks: DataFrame) -> DataFrame:
     return hunks.select("pair_id", F.col("hunk_no").alias("n"), change.alias("change"))
 
 
-def documents(changes: DataFrame, headers: DataFrame, source: str) -> DataFrame:
+def documents(changes: DataFrame, headers: DataFrame, source: str, unchanged: DataFrame | None = None) -> DataFrame:
     """(pair_id, canonical JSON) from numbered changes and ``headers`` (pair_id, bill_type, number, congress, v1_label, v2_label).
 
     Optional header columns: v1_number, v2_number, v1_text, v2_text (full texts), v1_tree, v2_tree (JSON). A tree needs
     full texts. Pairs without changes still give a document. Structured comparisons list all five types in the summary,
-    printed ones those present. A document is bounded by one comparison.
+    printed ones those present; ``unchanged`` (pair_id, n) gives the count of what is not published. A document is
+    bounded by one comparison.
     """
     have = set(headers.columns)
     opt = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t)
     types = TYPES if source == "xml" else ("added", "removed", "modified", "moved")
     counts = [F.count_if(F.col("change.change_type") == t).alias(f"_{t}") for t in types]
     per = changes.groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.to_json("change", {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"]).alias("_c"), *counts)
+    if unchanged is not None:
+        per = headers.select("pair_id").join(per, "pair_id", "left").join(unchanged.select("pair_id", F.col("n").alias("_u")), "pair_id", "left").drop("_unchanged").withColumnRenamed("_u", "_unchanged")
     h = headers.join(per, "pair_id", "left")
     entries = F.array(*(F.struct(F.lit(t).alias("k"), F.coalesce(f"_{t}", F.lit(0)).alias("v")) for t in types))
     kept = entries if source == "xml" else F.filter(entries, lambda e: e["v"] > 0)

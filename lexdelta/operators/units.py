@@ -81,29 +81,36 @@ def printed_amount(c: Column) -> tuple[Column, Column]:
 def fit_mixture(centres: np.ndarray, counts: np.ndarray, offsets: Sequence[float], mu: float | None = None, sigma: float | None = None, rounds: int = 200) -> dict:
     """EM for printed = true − offset, true ~ N(mu, sigma), over a histogram of log10 values.
 
-    ``mu`` and ``sigma`` stay as given (rows with a stated unit tell them); else they are fitted too.
-    An empty histogram gives equal weights.
+    ``mu`` and ``sigma`` stay as given (rows with a stated unit tell them); else they are fitted too, from a few
+    starts of which the likeliest end wins. An empty histogram gives equal weights.
     """
-    off = np.asarray(offsets, float)
-    weight = np.full(len(off), 1 / len(off))
+    off, n = np.asarray(offsets, float), counts.sum()
+    if n == 0:
+        return {"mu": mu or 0.0, "sigma": sigma or 1.0, "weights": [1 / len(off)] * len(off)}
+    true = centres[:, None] + off[None, :]
     fixed = mu is not None and sigma is not None
-    if counts.sum() == 0:
-        return {"mu": mu or 0.0, "sigma": sigma or 1.0, "weights": weight.tolist()}
-    m = mu if mu is not None else float(np.average(centres, weights=counts) + off.mean())
-    s = sigma if sigma is not None else 1.0
-    for _ in range(rounds):
-        z = (centres[:, None] + off[None, :] - m) / s
-        like = weight * np.exp(-0.5 * z**2) / s + 1e-300
-        post = like / like.sum(1, keepdims=True) * counts[:, None]
-        new = post.sum(0) / counts.sum()
-        if not fixed:
-            true = centres[:, None] + off[None, :]
-            m = float((post * true).sum() / counts.sum())
-            s = max(0.05, math.sqrt(float((post * (true - m) ** 2).sum() / counts.sum())))
-        if np.abs(new - weight).max() < 1e-9:
-            weight = new
-            break
-        weight = new
+
+    def run(m: float, s: float) -> tuple[float, float, float, np.ndarray]:
+        weight, level = np.full(len(off), 1 / len(off)), -np.inf
+        for _ in range(rounds):
+            like = weight * np.exp(-0.5 * ((true - m) / s) ** 2) / s + 1e-300
+            total = like.sum(1, keepdims=True)
+            post = like / total * counts[:, None]
+            weight = post.sum(0) / n
+            if not fixed:
+                m = float((post * true).sum() / n)
+                s = max(0.05, math.sqrt(float((post * (true - m) ** 2).sum() / n)))
+            before, level = level, float((np.log(total[:, 0]) * counts).sum())
+            if level - before < 1e-9 * abs(level):
+                break
+        return level, m, s, weight
+
+    if fixed:
+        starts = [(mu, sigma)]
+    else:
+        middle = centres[np.searchsorted(np.cumsum(counts), n / 2)]
+        starts = [(middle + o, s) for o in off for s in (0.3, 0.6, 1.0)]
+    _, m, s, weight = max((run(*x) for x in starts), key=lambda r: r[0])
     return {"mu": m, "sigma": s, "weights": weight.tolist()}
 
 

@@ -103,5 +103,5 @@ def comparative_rows(lines: DataFrame) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """(report_id, text) of the report pages below ``path``."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).withColumn("f", F.col("_metadata.file_name"))
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn("f", F.col("_metadata.file_name"))
     return raw.select(F.regexp_replace("f", r"\.[^.]*$", "").alias("report_id"), pre_text(F.col("value")).alias("text"))

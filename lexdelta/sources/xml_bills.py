@@ -264,7 +264,7 @@ def parse_documents(docs: DataFrame, doc_id: str = "path", content: str = "conte
                     meta, nodes = parse_bill(bytes(data) if not isinstance(data, str) else data, stem)
                     rows = [{"doc_id": key, **meta, "node_ord": i, **n, "error": None} for i, n in enumerate(nodes)]
                 except (ElementTree.ParseError, ValueError, TypeError, RecursionError) as e:
-                    rows = [{"doc_id": key, "error": f"{type(e).__name__}: {e}"}]
+                    rows = [dict.fromkeys(names) | {"doc_id": key, "error": f"{type(e).__name__}: {e}"}]
                 out = pd.DataFrame(rows, columns=names)
                 for c in ("congress", "bill_number", "node_ord"):
                     out[c] = out[c].astype("Int32")
