@@ -21,7 +21,7 @@ def walk(key, payload):
             out.add((key, side, pos, parent))
             go(side, e.get("children"), pos)
 
-    sided = isinstance(tree, dict) and (tree.get("v1") is not None or tree.get("v2") is not None)
+    sided = isinstance(tree, dict) and ("v1" in tree or "v2" in tree)
     for side, entries in (tree.items() if sided else [("v1", tree)]):
         go(side, entries, "")
     return out
@@ -33,7 +33,7 @@ def deep(n):
 
 PAYLOADS = [
     '{"tree": {"v1": [{"label": "a", "children": [null, {"label": "b", "children": {"label": "c"}}]}], "v2": null}}', '{"tree": [{"label": "z"}, null, {"label": "y", "children": null}]}', '{"tree": ', "", None, "{}", '{"tree": null}',
-    '{"tree": {"v2": [{"label": "only", "own_amounts": ["$33,000", 5]}]}}', json.dumps({"tree": {"v1": [deep(12)]}}), json.dumps({"tree": [{"label": str(i)} for i in range(3000)]}), '{"tree": {"label": "lone"}}', '{"tree": "text"}', "[1, 2]",
+    '{"tree": {"v2": [{"label": "only", "own_amounts": ["$33,000", 5]}]}}', json.dumps({"tree": {"v1": [deep(12)]}}), json.dumps({"tree": [{"label": str(i)} for i in range(3000)]}), '{"tree": {"label": "lone"}}', '{"tree": {"v1": null, "v2": null}}', '{"tree": {"v1": [], "v2": {"label": "one"}}}', '{"tree": "text"}', "[1, 2]",
 ]
 
 
