@@ -49,7 +49,7 @@ def keyed(df: DataFrame, title: Column, bureau: Column, name: Column, amount: Co
     """``df`` with the key columns of ``RULES``; absent attributes give NULL keys, which match nothing.
 
     ``digits`` is how many last digits of ``amount`` are not printed; a key of a coarser printing is
-    added for each degree up to hundreds of millions, so figures printed in different units can meet.
+    added for each degree up to tens of millions, so figures printed in different units can meet.
     """
     df = df.withColumns({"_w": name_words(name), "_amt": F.abs(amount), "_dig": digits})
     letters = F.array_join(F.array_sort(F.split(F.array_join("_w", ""), "")), "")
@@ -59,7 +59,7 @@ def keyed(df: DataFrame, title: Column, bureau: Column, name: Column, amount: Co
     return df.withColumns({
         "t": F.when(F.trim(title) != "", header_norm(title)),
         "b": F.when(F.size(bureau_words) > 0, F.array_join(F.array_sort(bureau_words), " ")),
-        "v": F.when(F.col("_amt") > 0, F.transform(F.filter(F.array(*map(F.lit, (3, 4, 5, 6, 7, 8))), lambda r: r >= F.col("_dig")), lambda r: F.concat_ws(":", r.cast("string"), F.round(F.col("_amt") / F.pow(F.lit(10.0), r)).cast("bigint").cast("string")))),
+        "v": F.when(F.col("_amt") > 0, F.transform(F.filter(F.array(*map(F.lit, (3, 4, 5, 6, 7))), lambda r: r >= F.col("_dig")), lambda r: F.concat_ws(":", r.cast("string"), F.round(F.col("_amt") / F.pow(F.lit(10.0), r)).cast("bigint").cast("string")))),
         "q": F.when(F.col("_amt") > 0, F.expr("array(floor(ln(_amt) / ln(1.15)), floor(ln(_amt) / ln(1.15)) + 1)")),
         "e": F.when(F.length("l") > 4, F.expr("array_append(transform(filter(array_distinct(split(l, '')), c -> c <> ''), c -> overlay(l placing '' from locate(c, l) for 1)), l)")),
         "w": F.when(F.size("_w") > 2, F.array_append(less_one(F.col("_w")), F.col("n"))),
@@ -72,17 +72,17 @@ KEYS = ("t", "b", "v", "q", "n", "l", "e", "w", "i", "p")
 _MANY = {"v", "q", "e", "w", "p"}
 
 
-def _keys(rules: tuple[str, ...], first: int, finest: bool) -> Column:
-    """ARRAY<STRUCT<r, k>>: the hashed key combinations of ``rules``, numbered from ``first``; ``finest`` takes the first amount key only."""
+def _keys(rules: tuple[str, ...], first: int, finest: bool, scope: str = "scope") -> Column:
+    """ARRAY<STRUCT<r, k>>: the key combinations of ``rules``, numbered from ``first`` and hashed with number and scope; ``finest`` takes the first amount key only."""
     parts = []
     for r, rule in enumerate(rules, first):
         many = [c for c in rule if c in _MANY and not (c == "v" and finest)]
         names = ", ".join(f"x_{c}" if c in many else "v[0]" if c == "v" else c for c in rule)
-        expr = f"struct({r} as r, xxhash64({names}) as k)"
+        expr = f"struct({r} as r, xxhash64({scope}, {r}, {names}) as k)"
         for depth, c in enumerate(many):
             expr = f"transform({c}, x_{c} -> {expr})" if depth == 0 else f"flatten(transform({c}, x_{c} -> {expr}))"
         expr = expr if many else f"array({expr})"
-        there = " and ".join(f"{c} is not null" for c in rule)
+        there = " and ".join(f"{c} is not null" for c in (scope, *rule))
         parts.append(f"if({there}, {expr}, array())")
     return F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])
 
@@ -99,13 +99,15 @@ def cascade(left: DataFrame, right: DataFrame, passes: tuple[tuple[str, ...], ..
     for rules in passes:
         # a rule without amount does not join records of different bureaus
         free = [at + n for n, rule in enumerate(rules) if "v" in rule or "q" in rule]
-        single = right.select("scope", "rid", "b", F.explode(_keys(rules, at, False)).alias("x")).groupBy("scope", F.col("x.r").alias("r"), F.col("x.k").alias("k")).agg(F.min("rid").alias("rid"), F.max("rid").alias("_z"), F.min("b").alias("_b")).where("rid = _z")
-        mine = todo.select("scope", "lid", "b", F.explode(_keys(rules, at, True)).alias("x")).select("scope", "lid", "b", "x.r", "x.k").distinct()
+        bureau = F.when(F.col("b").isNotNull(), F.xxhash64("b")).alias("b")
+        # numbers only from here on, so that aggregation is by hash and rows are short
+        single = right.select("rid", bureau, F.explode(_keys(rules, at, False)).alias("x")).groupBy(F.col("x.k").alias("k")).agg(F.min("rid").alias("rid"), F.max("rid").alias("_z"), F.min("b").alias("_b")).where("rid = _z")
+        mine = todo.select("lid", bureau, F.explode(_keys(rules, at, True)).alias("x")).select("lid", "b", "x.r", "x.k")
         fits = F.col("r").isin(free) | F.col("b").isNull() | F.col("_b").isNull() | (F.col("b") == F.col("_b"))
-        per = mine.join(single, ["scope", "r", "k"]).where(fits).groupBy("lid", "r").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z")).where("rid = _z")
-        best = per.groupBy("lid").agg(F.min(F.struct("r", "rid")).alias("m"))
+        per = mine.join(single, "k").where(fits).groupBy("lid", "r").agg(F.min("rid").alias("rid"), F.max("rid").alias("_z")).where("rid = _z")
+        best = per.groupBy("lid").agg(F.min_by("rid", "r").alias("rid"), F.min("r").alias("r"))
         names = F.array(*map(F.lit, rules))
-        hit = cut(best.select("lid", F.col("m.rid").alias("rid"), F.get(names, F.col("m.r") - at).alias("rule")), "pass")
+        hit = cut(best.select("lid", "rid", F.get(names, F.col("r") - at).alias("rule")), "pass")
         done.append(hit)
         todo = todo.join(hit.select("lid"), "lid", "left_anti")
         at += len(rules)
@@ -119,11 +121,11 @@ def rule_confidence(matches: DataFrame, labels: DataFrame) -> DataFrame:
     return judged.groupBy("rule").agg(n.alias("n_labelled"), right.alias("n_right")).withColumn("confidence", F.round((F.col("n_right") + 1) / (F.col("n_labelled") + 2), 6))
 
 
-def _vote(left: DataFrame, right: DataFrame, rules: tuple[str, ...] = ("tbn", "bnv", "tnv", "bn", "nv")) -> DataFrame:
+def _vote(left: DataFrame, right: DataFrame, rules: tuple[str, ...] = ("tbn", "bnv", "tnv", "bn", "nv", "bl", "bw")) -> DataFrame:
     """(source, scope): the target that most keys speak for, of the keys that only one target has."""
-    one = lambda d, i: d.select(i, "congress", F.explode(_keys(rules, 0, True)).alias("x")).select(i, "congress", "x.r", "x.k").distinct()
-    single = one(right, "target").groupBy("congress", "r", "k").agg(F.min("target").alias("target"), F.max("target").alias("_z")).where("target = _z")
-    sums = one(left, "source").join(single, ["congress", "r", "k"]).groupBy("source", "target").agg(F.count("*").alias("w"))
+    one = lambda d, i: d.select(i, F.explode(_keys(rules, 0, True, "congress")).alias("x")).select(i, "x.k").distinct()
+    single = one(right, "target").groupBy("k").agg(F.min("target").alias("target"), F.max("target").alias("_z")).where("target = _z")
+    sums = one(left, "source").join(single, "k").groupBy("source", "target").agg(F.count("*").alias("w"))
     return sums.groupBy("source").agg(F.max_by("target", F.struct("w", "target")).alias("scope"))
 
 
@@ -136,7 +138,6 @@ class AccountLinks:
     """
 
     def __init__(self, accounts: DataFrame, nodes: DataFrame, truth: DataFrame) -> None:
-        no = F.lit(None).cast("string")
         figure, beside = printed_amount(F.col("amount_text"))
         factor = F.coalesce(beside, stated_factor(F.col("unit_note")), label_factor(F.col("heading")), F.lit(1))
         decimals = F.length(F.regexp_extract("amount_text", r"\.(\d+)", 1))
@@ -150,7 +151,7 @@ class AccountLinks:
         name = F.when(F.trim("header_text") != "", F.col("header_text")).otherwise(F.element_at("path", -1))
         n = keyed(n, F.get("path", F.lit(0)), bureau, name, F.col("amount"), F.lit(0)).withColumn("pathkey", F.array_join("path", " > "))
         n = cut(n.select("node_id", "scope", "congress", "pathkey", *KEYS), "nodes")
-        entity = n.groupBy("scope", "pathkey").agg(F.min("node_id").cast("string").alias("rid"))
+        entity = n.groupBy("scope", "pathkey").agg(F.min("node_id").cast("bigint").alias("rid"))
         self.nodes = n.join(entity, ["scope", "pathkey"])
 
         noted = F.coalesce(stated_factor(F.col("note")), label_factor(F.col("excel_name")), F.lit(1))
@@ -169,7 +170,7 @@ class AccountLinks:
 
         # accounts that no bill node shows: ground-truth rows are matched with the accounts themselves
         mine = scoped.withColumn("aid", F.concat(F.lit("a"), F.col("lid").cast("string"))).join(self.resolved.select(F.col("lid").alias("aid"), "rid"), "aid", "left")
-        own = F.concat_ws("|", F.lit("own"), "scope", F.coalesce("n", no))
+        own = -1 - F.abs(F.xxhash64("scope", "n") % F.lit(1 << 62))  # below all node ids
         mine = mine.withColumn("rid", F.coalesce("rid", own))
         open_truth = self.truth.select(F.concat(F.lit("v"), F.col("lid").cast("string")).alias("lid"), "scope", *KEYS).join(self.resolved.select("lid"), "lid", "left_anti")
         late = cascade(open_truth, mine.select("rid", "scope", *KEYS), (tuple(r for rules in PASSES for r in rules),))
