@@ -12,6 +12,26 @@ from lexdelta.sources.tables import table
 
 R = Registry()
 
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_LATIN = r"A-Za-z\x{c0}-\x{24f}"
+_FOREIGN = "".join(sorted(confusables.PROTOTYPES))
+#: What is improper in a text; a look-alike counts beside a Latin letter.
+_ODD = (
+    r"[\t\x0b\x0c\x{a0}\x{ad}\x{34f}\x{61c}\x{1680}\x{180e}\x{2000}-\x{200f}\x{202a}-\x{202f}\x{205f}-\x{2064}\x{2066}-\x{206f}\x{3000}\x{fe00}-\x{fe0f}\x{feff}\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}"
+    rf"\x{{20d0}}-\x{{20ff}}\x{{fe20}}-\x{{fe2f}}\x{{ff01}}-\x{{ffee}}\x{{fb00}}-\x{{fb06}}\x{{3358}}-\x{{33ff}}]|[{_LATIN}][{_FOREIGN}]|[{_FOREIGN}][{_LATIN}]"
+)
+_P3 = " union all ".join(f"select '{t}' source_table, {k} row_key, '{f}' field_name from {t} where regexp_matches({f}, '{_ODD}')" for t, k, f in (("bill_nodes", "node_id", "body_text"), ("pdf_hunks", "hunk_id", "v1_text"), ("pdf_hunks", "hunk_id", "v2_text")))
+_GRAMS = "list_distinct(list_transform(range(1, len(w) - {0}), lambda i: array_to_string(w[i:i + {1}], ' ')))"
+_P4 = f"""with lab as (select bill_id, version_label, max(version_no) v from bill_versions where version_no is not null group by all),
+t as (select 'body_text' field_name, node_id id, n.bill_id, {_WORDS.format("body_text")} w from bill_nodes n left join lab on n.bill_id = lab.bill_id and n.version_label = lab.version_label where coalesce(n.version_no, lab.v) = 1
+ union all select 'old_text', change_id, bill_id, {_WORDS.format("old_text")} from node_changes where old_text is not null union all select 'new_text', change_id, bill_id, {_WORDS.format("new_text")} from node_changes where new_text is not null),
+g as (select field_name, id, bill_id, {_GRAMS.format(1, 2)} s from t where len(w) >= 25), e as (select field_name, id, bill_id, len(s) n, unnest(s) x from g),
+p as (select a.field_name, a.id id_a, b.id id_b, a.n na, b.n nb, count(*) c from e a join e b on a.field_name = b.field_name and a.x = b.x and a.id < b.id and a.bill_id <> b.bill_id group by all)
+select field_name, id_a, id_b from p where cast(c as double) / (na + nb - c) >= 0.6"""
+_P7 = f"""with d as (select distinct doc_id, unnest({_GRAMS.format(16, 17)}) x from (select doc_id, {_WORDS.format('"text"')} w from documents where "text" is not null) where len(w) >= 18),
+i as (select distinct item_id, unnest({_GRAMS.format(16, 17)}) x from (select item_id, {_WORDS.format('"text"')} w from eval_items where "text" is not null) where len(w) >= 18)
+select distinct doc_id, item_id from d join i using (x)"""
+
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """(source_table, row_key, field_name, text) of problem 3."""
@@ -21,7 +41,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return n
 
 
-@R.add("p3_found")
+@R.add("p3_found", _P3)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.improper(_texts(spark, d)).select("source_table", "row_key", "field_name")
 
@@ -49,7 +69,7 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
     return pick(first_version(spark, d, "node_id", "body_text"), "body_text", "node_id").unionByName(pick(changes, "old_text", "change_id")).unionByName(pick(changes, "new_text", "change_id"))
 
 
-@R.add("p4_found")
+@R.add("p4_found", _P4)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(_fields(spark, d)).expanded().withColumnRenamed("field", "field_name")
 
@@ -96,7 +116,7 @@ def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-@R.add("p7_found")
+@R.add("p7_found", _P7)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d).select("doc_id", "item_id")
 
