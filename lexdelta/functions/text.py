@@ -121,8 +121,30 @@ def congress_of_year(year: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Lower case, other characters to single dashes."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), F.lit("-"))
+    """Lower case, other characters to single dashes; ``unknown`` where nothing is left."""
+    s = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", "-"), F.lit("-"))
+    return F.when(s == "", F.lit("unknown")).otherwise(s)
+
+
+def version_path(bill: Column, number: Column, label: Column, ext: str = "xml") -> Column:
+    """Where a version's file stands: ``<bill>/<number>_<label>.<ext>``."""
+    return F.concat(bill, F.lit("/"), number.cast("string"), F.lit("_"), slug(label), F.lit(f".{ext}"))
+
+
+def printed_congress(head: Column) -> Column:
+    """The number in ``118TH CONGRESS`` of a cover's first lines; ``""`` without one."""
+    return F.regexp_extract(head, r"(?i)(\d{1,3})(?:ST|ND|RD|TH)\s+CONGRESS", 1)
+
+
+def printed_title(text: Column, within: int = 1500, most: int = 140) -> Column:
+    """Designator and long title in the opening of a printed bill, as far as they are found."""
+    head = F.array_join(F.filter(F.transform(F.split(F.substring(text, 1, within), r"\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
+    kinds = r"\b(H\.\s?R\.|[SH]\.\s?J\.\s?RES\.|[SH]\.\s?CON\.\s?RES\.|[SH]\.\s?RES\.|S\.)\s?(\d{1,5})\b"
+    name = F.concat_ws(" ", F.replace(F.regexp_extract(head, kinds, 1), F.lit(" "), F.lit("")), F.nullif(F.regexp_extract(head, kinds, 2), F.lit("")))
+    long_ = lambda opening: F.nullif(F.regexp_extract(head, rf"(?i)\b{opening}\b\s+(.+?\bpurposes\.)", 1), F.lit(""))
+    title = F.regexp_replace(F.coalesce(long_("AN ACT"), long_("A BILL"), F.lit("")), r"\s+", " ")
+    title = F.when(F.length(title) > most, F.concat(F.rtrim(F.substring(title, 1, most - 3)), F.lit("…"))).otherwise(title)
+    return F.array_join(F.filter(F.array(F.trim(name), title), lambda x: x != ""), " — ")
 
 
 def alnum_name(c: Column) -> Column:

@@ -227,3 +227,12 @@ def breadcrumbs(anchors: DataFrame) -> DataFrame:
     parents = F.array("division", "title", "major", F.when((k == "account") & (F.col("agk") == "agency"), F.col("ag")), F.when(k == "section", F.col("grp")))
     chain = F.when(k.isin("title", "preamble"), F.array("division", "text")).otherwise(F.array_append(parents, F.col("text")))
     return rows.withColumn("path", F.filter(chain, lambda x: x.isNotNull() & (x != ""))).drop("tg", "title", "major", "grp", "ag", "agk")
+
+
+def title_descriptors(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, line_number, descriptor): the all-capitals line printed right below a title line, or ``""``."""
+    w = Window.partitionBy("doc_id", "page").orderBy("line_ord")
+    below = F.trim(F.coalesce(F.lead("text").over(w), F.lit("")))
+    rows = lines.withColumn("below", below).where(F.col("line_number").isNotNull() & F.col("text").rlike(TITLE))
+    named = (F.col("below") != "") & (F.col("below") == F.upper("below")) & ~F.col("below").startswith("SEC.")
+    return rows.select("doc_id", "page", "line_number", F.when(named, F.col("below")).otherwise("").alias("descriptor"))

@@ -214,3 +214,10 @@ def money_rows(changes: DataFrame) -> DataFrame:
     """The money table: a row a pair of amounts, with difference and per cent."""
     each = changes.select("pair_id", "change_no", "change_type", F.posexplode("financial.paired_amounts").alias("at", "p"))
     return each.select("pair_id", "change_no", "change_type", F.col("at").alias("pair_no"), F.col("p.old").alias("old_amount"), F.col("p.new").alias("new_amount"), (F.col("p.new") - F.col("p.old")).alias("delta"))
+
+
+def view_filter(changes: DataFrame, mode: str = "all") -> DataFrame:
+    """What a reader's view shows: ``all``, ``financial`` (with real amount pairs) or ``structural`` (not merely modified)."""
+    if mode == "financial":
+        return changes.where(F.size(real_pairs(F.col("financial.paired_amounts"))) > 0)
+    return changes.where("change_type <> 'modified'") if mode == "structural" else changes

@@ -110,3 +110,28 @@ def marks_on_rows(rows: DataFrame, marks: DataFrame, bucket: int = 4096) -> Data
     out = r.join(m, ["doc_id", "b"]).where("start_char < row_end and end_char > row_start")
     out = out.where(F.col("b") == F.greatest(F.floor(F.col("row_start") / bucket), F.floor(F.col("start_char") / bucket)))
     return out.select("doc_id", "row_id", "mark_id", F.greatest("row_start", "start_char").alias("from_char"), F.least("row_end", "end_char").alias("to_char"))
+
+
+def search_spans(changes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pair_id, change_no, start_char, end_char) of texts looked up in their pair's full text, for changes no element id places.
+
+    Looked for from the end of the last find on, then from the start; each find moves the place on, so the changes of one
+    pair are gone through in order (``changes``: pair_id, change_no, target; ``texts``: pair_id, full_text).
+    """
+    import pandas as pd
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, at, out = pdf.sort_values("change_no"), 0, []
+        full = pdf["full_text"].iloc[0]
+        for target in pdf["target"]:
+            start = full.find(target, at) if target and full is not None else -1
+            if start < 0 and target and full is not None:
+                start = full.find(target)
+            at = start + len(target) if start >= 0 else at
+            out.append((start, at) if start >= 0 else (None, None))
+        spots = pd.DataFrame(out, columns=["start_char", "end_char"], index=pdf.index, dtype="Int64")
+        return pd.concat([pdf[["pair_id", "change_no"]], spots], axis=1)
+
+    kinds = {c: changes.schema[c].dataType.simpleString() for c in ("pair_id", "change_no")}
+    both = changes.select("pair_id", "change_no", "target").join(texts.select("pair_id", "full_text"), "pair_id")
+    return both.groupBy("pair_id").applyInPandas(place, f"pair_id {kinds['pair_id']}, change_no {kinds['change_no']}, start_char bigint, end_char bigint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexdelta.functions import text as T
@@ -520,5 +520,28 @@ def top_amounts(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumn("rk", F.row_number().over(Window.partitionBy("bill_id").orderBy(F.desc("amount")))).where("rk <= 16")
 
 
-def col_text(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(""))
+# --- views and names ------------------------------------------------------------------------------
+
+
+@R.add("view_structural", "select change_id, change_type from node_changes where change_type <> 'modified'")
+def view_structural(spark: SparkSession, d: str) -> DataFrame:
+    return compare.view_filter(table(spark, d, "node_changes"), "structural").select("change_id", "change_type")
+
+
+@R.add("version_paths", "select version_id, bill_id || '/' || version_no || '_' || case when trim(regexp_replace(lower(coalesce(version_label, '')), '[^a-z0-9]+', '-', 'g'), '-') = '' then 'unknown' else trim(regexp_replace(lower(version_label), '[^a-z0-9]+', '-', 'g'), '-') end || '.xml' path from bill_versions")
+def version_paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "bill_versions").select("version_id", T.version_path(F.col("bill_id"), F.col("version_no"), F.col("version_label")).alias("path"))
+
+
+@R.add("heading_predicates", f"""select hunk_id, line_ord, regexp_matches("text", '\\p{{L}}') and not regexp_matches("text", '\\p{{Ll}}') and not regexp_matches("text", '^TITLE\\s+[IVXLC]+\\b') and not regexp_matches("text", '^SEC(TION)?\\.?\\s+\\d+\\b') heading, regexp_matches("text", '[a-z]') lower_case, regexp_matches(trim("text"), '^\\(.*\\)$') in_parentheses, upper(list_last(regexp_split_to_array(trim("text"), '\\s+'))) in ('AND','OR','OF','FOR','TO','THE','A','AN','IN','ON','WITH','AT','BY') dangling from {lines_sql('pdf_hunks', 'hunk_id', 'v1_text')}""")
+def heading_predicates(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return lines_of(table(spark, d, "pdf_hunks"), "hunk_id", "v1_text").select("hunk_id", "line_ord", A.is_heading(t).alias("heading"), A.has_lowercase(t).alias("lower_case"), A.is_parenthetical(t).alias("in_parentheses"), A.dangles(t).alias("dangling"))
+
+
+@R.add("searched_spans")
+def searched_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Old texts of archived changes looked up in the joined old texts of their bill."""
+    c = table(spark, d, "node_changes").where("old_text is not null")
+    texts = c.groupBy("bill_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("change_id", "old_text"))), lambda x: x["old_text"]), "\n").alias("full_text")).withColumnRenamed("bill_id", "pair_id")
+    return spans.search_spans(c.select(F.col("bill_id").alias("pair_id"), F.col("change_id").alias("change_no"), F.col("old_text").alias("target")), texts)

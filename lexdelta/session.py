@@ -31,11 +31,13 @@ def get_spark(app: str = "lexdelta", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` when set, else (tests) a local one."""
     sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if given:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(given)
         return given
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lexdelta-")
     sc.setCheckpointDir(f"file://{own}")
     return sc.getCheckpointDir()

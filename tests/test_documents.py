@@ -103,3 +103,9 @@ def test_documents_without_changes(spark):
     empty = contract.print_changes(spark.createDataFrame([], "pair_id string, hunk_no int, change_type string, v1_anchor string, v2_anchor string, v1_range struct<start_page:int,start_line:int,end_page:int,end_line:int>, v2_range struct<start_page:int,start_line:int,end_page:int,end_line:int>, v1_text string, v2_text string, amount_pairs array<struct<old:bigint,new:bigint>>"))
     doc = json.loads(contract.documents(empty, h, "pdf").first()["canonical"])
     assert doc["changes"] == [] and doc["summary"] == {} and doc["tree"] is None and doc["full_text"] is None
+
+
+def test_searched_spans(spark):
+    c = spark.createDataFrame([("p", 1, "x"), ("p", 2, "x"), ("p", 3, "b"), ("p", 4, "none"), ("p", 5, None), ("p", 6, "x"), ("q", 1, "x")], "pair_id string, change_no int, target string")
+    t = spark.createDataFrame([("p", "x b x"), ("q", None)], "pair_id string, full_text string")
+    assert rows(S.search_spans(c, t)) == {("p", 1, 0, 1), ("p", 2, 4, 5), ("p", 3, 2, 3), ("p", 4, None, None), ("p", 5, None, None), ("p", 6, 4, 5), ("q", 1, None, None)}

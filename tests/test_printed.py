@@ -121,3 +121,8 @@ def test_glyphs(spark):
     assert [(r["text"], r["glyph_size"]) for r in P.glyph_lines(df).orderBy("line_ord").collect()] == [("7 ab", 10.0), ("8 c", 9.0)]
     assert {(r["line_number"], r["glyph_size"]) for r in P.margin_sizes(df).collect()} == {(7, 10.0), (8, 9.0)}
     assert P.glyph_lines(df.where(F.lit(False))).count() == 0
+
+
+def test_title_descriptors(spark):
+    lines = P.print_lines(pages(spark, "1 TITLE I\n2 DEPARTMENT OF ROADS\n3 TITLE II\n4 prose\n5 TITLE III\n6 SEC. 1. X\n7 TITLE IV"))
+    assert {r["line_number"]: r["descriptor"] for r in A.title_descriptors(lines).collect()} == {1: "DEPARTMENT OF ROADS", 3: "", 5: "", 7: ""}

@@ -54,3 +54,12 @@ def test_ids_and_titles(spark):
     assert one(spark, T.congress_of_year(F.col("y")), y=2023) == 118
     assert one(spark, T.division_title("c"), c="Division A:  Roads  And\nRails") == "roads and rails"
     assert one(spark, T.path_text(F.array(F.col("a"), F.lit(None), F.lit(" B  c "))), a="X") == "x >  > b c"
+
+
+def test_printed_openings(spark):
+    cover = "118TH CONGRESS\n1ST SESSION\nH. R. 4366\n\nAN ACT\nMaking  appropriations for\nroads, and for other purposes.\nBe it"
+    assert one(spark, T.printed_congress(F.col("t")), t=cover) == "118" and one(spark, T.printed_congress(F.col("t")), t="none") == ""
+    assert one(spark, T.printed_title(F.col("t")), t=cover) == "H.R. 4366 — Making appropriations for roads, and for other purposes."
+    assert one(spark, T.printed_title(F.col("t")), t="A BILL\nTo x" + " y" * 100 + " purposes.") == ("To x" + " y" * 100)[:137].rstrip() + "…"
+    assert one(spark, T.printed_title(F.col("t")), t="nothing") == ""
+    assert one(spark, T.slug(F.col("t")), t="!!") == "unknown" and one(spark, T.slug(F.col("t")), t="Reported in House") == "reported-in-house"
