@@ -23,10 +23,10 @@ def pair_up(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def xml_documents(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, canonical) of pairs of parsed bills, with full texts, trees and places of changes."""
     sides = cut(pair_up(nodes, pairs), "sides")
-    found = compare.compare(sides)
+    found = cut(compare.compare(sides), "changes")
     changes = compare.with_money(found)
     doc = sides.withColumn("doc_id", F.concat_ws("|", "pair_id", "side"))
-    lines = spans.serialise(doc)
+    lines = cut(spans.serialise(doc), "lines")
     name = F.when(F.split("doc_id", r"\|")[1] == "old", "v1").otherwise("v2")
     placed = spans.body_spans(lines).select(F.split("doc_id", r"\|")[0].alias("pair_id"), name.alias("side"), "element_id", "start_char", "end_char")
     items = tree.items_of(doc)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexdelta.operators import compare as C
 from lexdelta.operators.snapshots import resolve_versions
 from lexdelta.plans.registry import Registry
+from lexdelta.session import cut
 from lexdelta.sources.tables import table
 
 R = Registry()
@@ -61,7 +62,7 @@ def compare_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("move_candidates")
 def move_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = C.move_candidates(C.classify(C.match_nodes(sides(spark, d))))
+    c = C.move_candidates(cut(C.classify(cut(C.match_nodes(sides(spark, d)), "matches")), "changes"))
     return c.select("pair_id", F.to_json("ro").alias("removed_ord"), F.to_json("ao").alias("added_ord"), F.round("sim", 9).alias("sim"))
 
 
