@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexdelta import contract, report
 from lexdelta.operators import anchors, blocks, compare, spans, tree
-from lexdelta.session import cut, get_spark
+from lexdelta.session import cut, get_spark, ship
 from lexdelta.sources import print_lines, xml_bills
 
 
@@ -67,6 +67,7 @@ def printed_documents(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def compare_xml(spark: SparkSession, old: bytes | str, new: bytes | str, output: str = "json", labels: tuple[str, str] = ("old", "new")) -> str:
     """One comparison of two bills given as XML: the published JSON, or the HTML report."""
+    ship(spark)
     names = [f"{n}_{label}" for n, label in enumerate(labels, 1)]
     raw = [x if isinstance(x, str) else x.decode("utf-8") for x in (old, new)]
     nodes = cut(xml_bills.parse_documents(spark.createDataFrame(list(zip(names, raw)), "path string, content string")), "nodes")

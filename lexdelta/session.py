@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,24 @@ def get_spark(app: str = "lexdelta", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a context, where their path does not have it already."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, sc = os.path.dirname(package), spark.sparkContext
+    have = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if root in have or getattr(sc, "_lexdelta_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="lexdelta-package-"), "lexdelta.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    sc._lexdelta_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` when set, else (tests) a local one."""
     sc = spark.sparkContext
