@@ -1,4 +1,7 @@
-"""Queries of the comparison itself, over the first two versions of every bill in ``bill_nodes``."""
+"""Queries of the comparison itself, over each two neighbouring versions of every bill in ``bill_nodes``.
+
+The queries that ``NODES_SQL`` checks read versions 1 and 2 only, as it does.
+"""
 
 from __future__ import annotations
 
@@ -20,26 +23,43 @@ two as (select bill_id pair_id, case ver when 1 then 'old' else 'new' end side,
 """
 
 
-def pair_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes of versions 1 and 2 of each bill as the sides of one comparison."""
-    n = resolve_versions(table(spark, d, "bill_nodes"), table(spark, d, "bill_versions")).where("version in (1, 2)")
-    keep = ["match_path", "display_path", "element_id", "body_text", "section_number", "division_label"]
+KEEP = ["match_path", "display_path", "element_id", "body_text", "section_number", "division_label"]
+
+
+def resolved(spark: SparkSession, d: str) -> DataFrame:
+    return resolve_versions(table(spark, d, "bill_nodes"), table(spark, d, "bill_versions"))
+
+
+def latest_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of every version of each bill, a node once a version: the one loaded last."""
     # a row number instead of max_by over a struct: unused columns are pruned, and older loads go before the shuffle
     w = Window.partitionBy("bill_id", "version", "node_ord").orderBy(F.desc("loaded_at"), F.desc("node_id"))
-    last = n.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return last.select(F.col("bill_id").alias("pair_id"), F.when(F.col("version") == 1, "old").otherwise("new").alias("side"), "node_ord", *keep)
+    return resolved(spark, d).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("bill_id", "version", "node_ord", *KEEP)
+
+
+def pair_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of versions 1 and 2 of each bill as the sides of one comparison: the rows of ``NODES_SQL``."""
+    last = latest_nodes(spark, d).where("version in (1, 2)")
+    return last.select(F.col("bill_id").alias("pair_id"), F.when(F.col("version") == 1, "old").otherwise("new").alias("side"), "node_ord", *KEEP)
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """(pair_id, bill_id, old, new): each two neighbouring versions that a bill has nodes of, gaps in the numbers or not."""
+    v = resolved(spark, d).where("bill_id is not null").select("bill_id", F.col("version").alias("old")).distinct()
+    v = v.withColumn("new", F.lead("old").over(Window.partitionBy("bill_id").orderBy("old"))).where("new is not null")
+    return v.select(F.concat("bill_id", F.lit(":"), "old", F.lit("-"), "new").alias("pair_id"), "bill_id", "old", "new")
 
 
 def sides(spark: SparkSession, d: str) -> DataFrame:
-    """``pair_nodes`` of the bills that have both versions."""
-    n = pair_nodes(spark, d)
-    both = n.groupBy("pair_id").agg(F.count_distinct("side").alias("k")).where("k = 2")
-    return n.join(both, "pair_id", "left_semi")
+    """Nodes of each two neighbouring versions of each bill as the sides of one comparison."""
+    side = lambda s: F.struct(F.col(s).alias("version"), F.lit(s).alias("side"))
+    each = steps(spark, d).select("pair_id", "bill_id", F.inline(F.array(side("old"), side("new"))))
+    return latest_nodes(spark, d).join(each, ["bill_id", "version"]).select("pair_id", "side", "node_ord", *KEEP)
 
 
 @R.add("compare_changes")
 def compare_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Every change between versions 1 and 2 of every bill: matched, classified, moves found."""
+    """Every change between neighbouring versions of every bill: matched, classified, moves found."""
     return C.compare(sides(spark, d)).select("pair_id", "change_no", "change_type", F.array_join("match_path", " > ").alias("path_text"), "old_text", "new_text", "section_number", "element_id_old", "element_id_new", F.array_join("text_diff", "\n").alias("diff"))
 
 
