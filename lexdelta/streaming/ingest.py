@@ -23,9 +23,10 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return r.parquet(f"{sf_dir}/{name}.parquet") if folder else r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(window_start, event_type, n, total) of tumbling windows; rows later than ``late`` are dropped by the watermark."""
-    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
+    """(window_start, event_type, n, total) of tumbling windows; rows later than ``late`` are dropped by the watermark, none if it is None."""
+    e = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    e = e if late is None else e.withWatermark(ts, late)
     return e.groupBy(F.window(ts, size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")).select(F.col("w.start").alias("window_start"), "event_type", "n", "cents")
 
 
@@ -38,13 +39,15 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def complete_counts(events: DataFrame, **options: str) -> DataFrame:
+def complete_counts(events: DataFrame, late: str | None = None, **options: str) -> DataFrame:
     """``windowed_counts`` of everything a stream holds, open windows too: each batch updates its windows in a state folder.
 
     Appending would hold back the windows the watermark has not passed; here the newest figures of a window win.
+    Files come in any order of time, so there is no watermark and the state is a row a window and type; a ``late`` that
+    is given bounds the state and drops rows of later batches.
     """
     spark = events.sparkSession
-    counts = windowed_counts(events, **options)
+    counts = windowed_counts(events, late=late, **options)
     base = os.path.join(shared_dir(spark), f"stream-windows-{uuid.uuid4().hex}")
 
     def put(batch: DataFrame, number: int) -> None:
