@@ -9,7 +9,7 @@ from lexdelta import api, contract, report
 from lexdelta.operators import anchors as A
 from lexdelta.operators import compare
 from lexdelta.plans.registry import Registry
-from lexdelta.plans.versions import NODES_SQL, latest_nodes, pair_nodes, steps
+from lexdelta.plans.versions import NODES_SQL, bill_docs, pair_nodes, steps
 from lexdelta.session import cut
 from lexdelta.sources import print_lines as P
 from lexdelta.sources import xml_bills
@@ -133,10 +133,9 @@ def html_reports(spark: SparkSession, d: str) -> DataFrame:
 def xml_documents(spark: SparkSession, d: str) -> DataFrame:
     """Each two neighbouring versions of every bill as published documents, with full texts, trees and places of changes."""
     doc = lambda v: F.concat_ws(":", "bill_id", v)
-    n = latest_nodes(spark, d).withColumns({"tag": F.lit("section"), "header_text": F.lit(""), "display_text": F.lit(""), "bill_type": F.split("bill_id", "-")[1], "bill_number": F.split("bill_id", "-")[2].cast("int"), "congress": F.split("bill_id", "-")[0].cast("int"), "version_label": F.col("version").cast("string"), "error": F.lit(None).cast("string")})
-    n = n.withColumn("doc_id", doc("version")).drop("bill_id", "version")
+    n = bill_docs(spark, d).withColumns({"bill_type": F.split("bill_id", "-")[1], "bill_number": F.split("bill_id", "-")[2].cast("int"), "congress": F.split("bill_id", "-")[0].cast("int"), "version_label": F.col("version").cast("string"), "error": F.lit(None).cast("string")})
     pairs = steps(spark, d).select("pair_id", doc("old").alias("old_doc"), doc("new").alias("new_doc"))
-    docs = api.xml_documents(n, pairs)
+    docs = api.xml_documents(n.drop("bill_id", "version"), pairs)
     return docs.select("pair_id", "canonical")
 
 

@@ -10,7 +10,7 @@ from lexdelta.functions import udfs
 from lexdelta.operators import anchors as A
 from lexdelta.operators import catalog, compare, spans, tree, validation
 from lexdelta.plans.registry import Registry
-from lexdelta.plans.versions import NODES_SQL, pair_nodes
+from lexdelta.plans.versions import NODES_SQL, bill_docs, pair_nodes
 from lexdelta.sources import index as I
 from lexdelta.sources import print_lines as P
 from lexdelta.sources import reports as reports_
@@ -332,6 +332,7 @@ _OLD = NODES_SQL + ", o as (select *, pair_id doc_id from two where side = 'old'
 
 
 def _old(spark: SparkSession, d: str) -> DataFrame:
+    """First versions as the SQL of the tree queries reads them: every node a section, without header and readable text."""
     n = pair_nodes(spark, d).where("side = 'old'").withColumnRenamed("pair_id", "doc_id")
     return n.withColumns({"tag": F.lit("section"), "header_text": F.lit(""), "display_text": F.lit("")})
 
@@ -366,7 +367,8 @@ def tree_money(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("tree_json")
 def tree_json(spark: SparkSession, d: str) -> DataFrame:
-    items = tree.items_of(_old(spark, d))
+    """The tree of every version of every bill."""
+    items = tree.items_of(bill_docs(spark, d))
     return tree.nested_json(tree.group_front_matter(tree.build(items), items))
 
 
@@ -387,8 +389,8 @@ def heading_emission(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("body_spans")
 def body_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Where each element's body stands in the serialised text."""
-    return spans.body_spans(spans.serialise(_old(spark, d)))
+    """Where each element's body stands in the serialised text of every version of every bill."""
+    return spans.body_spans(spans.serialise(bill_docs(spark, d)))
 
 
 # --- index ----------------------------------------------------------------------------------------

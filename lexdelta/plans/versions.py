@@ -24,6 +24,7 @@ two as (select bill_id pair_id, case ver when 1 then 'old' else 'new' end side,
 
 
 KEEP = ["match_path", "display_path", "element_id", "body_text", "section_number", "division_label"]
+SHOWN = ["tag", "header_text", "display_text"]
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +35,7 @@ def latest_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of every version of each bill, a node once a version: the one loaded last."""
     # a row number instead of max_by over a struct: unused columns are pruned, and older loads go before the shuffle
     w = Window.partitionBy("bill_id", "version", "node_ord").orderBy(F.desc("loaded_at"), F.desc("node_id"))
-    return resolved(spark, d).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("bill_id", "version", "node_ord", *KEEP)
+    return resolved(spark, d).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("bill_id", "version", "node_ord", *KEEP, *SHOWN)
 
 
 def pair_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +44,11 @@ def pair_nodes(spark: SparkSession, d: str) -> DataFrame:
     return last.select(F.col("bill_id").alias("pair_id"), F.when(F.col("version") == 1, "old").otherwise("new").alias("side"), "node_ord", *KEEP)
 
 
+def bill_docs(spark: SparkSession, d: str) -> DataFrame:
+    """``latest_nodes`` as documents: a version of a bill each, ``doc_id`` being the bill and its version."""
+    return latest_nodes(spark, d).withColumn("doc_id", F.concat_ws(":", "bill_id", "version"))
+
+
 def steps(spark: SparkSession, d: str) -> DataFrame:
     """(pair_id, bill_id, old, new): each two neighbouring versions that a bill has nodes of, gaps in the numbers or not."""
     v = resolved(spark, d).where("bill_id is not null").select("bill_id", F.col("version").alias("old")).distinct()
