@@ -103,11 +103,13 @@ def move_candidates(changes: DataFrame, threshold: float = K.MOVE_FROM) -> DataF
     r, a = _bag(removed, "ro"), _bag(added, "ao")
     freq = r.select("pair_id", "tok").unionByName(a.select("pair_id", "tok")).groupBy("pair_id", "tok").agg(F.count("*").alias("df"))
     need = threshold / (2 - threshold)
+    # without the small number, sizes whose share is a whole number of words (35, 63, 70) may be rounded up by one
+    at_least = lambda size: F.ceil(F.lit(need) * size - 1e-9)
 
     def prefix(bag: DataFrame, ident: str) -> DataFrame:
         w = Window.partitionBy("pair_id", ident).orderBy("df", "tok")
         ranked = bag.join(freq, ["pair_id", "tok"]).withColumn("rk", F.row_number().over(w))
-        return ranked.where(F.col("rk") <= F.col("size") - F.ceil(F.lit(need) * F.col("size")) + 1).select("pair_id", "tok", ident, F.col("size").alias(f"{ident}_size"))
+        return ranked.where(F.col("rk") <= F.col("size") - at_least(F.col("size")) + 1).select("pair_id", "tok", ident, F.col("size").alias(f"{ident}_size"))
 
     pairs = prefix(r, "ro").join(prefix(a, "ao"), ["pair_id", "tok"])
     short, long_ = F.least("ro_size", "ao_size"), F.greatest("ro_size", "ao_size")

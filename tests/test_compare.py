@@ -102,3 +102,15 @@ def test_summary_filter_and_money(spark):
     assert f["unchanged"] is None and f["modified"]["amounts_changed"] and [tuple(p) for p in f["modified"]["paired_amounts"]] == [(5, 6)]
     assert [(r["old_amount"], r["new_amount"], r["delta"]) for r in C.money_rows(C.with_money(c)).collect()] == [(5, 6, 1)]
     assert c.select(collapse("old_text").alias("x")).count() == 2
+
+
+def test_moves_exactly_on_the_threshold(spark):
+    """Texts of which one is wholly in the other, at ratio 0.6, and share only words that are not the rarest."""
+    rows = []
+    for n, m in ((15, 35), (27, 63), (30, 70), (51, 119), (6, 14)):
+        shared = [f"s{i}" for i in range(n)]
+        assert K.seq_ratio(" ".join(shared), " ".join(shared + [f"x{i}" for i in range(m - n)])) == 0.6
+        rows.append((f"p{m}", "old", 0, ["a"], ["A"], "o", " ".join(shared), "", ""))
+        rows.append((f"p{m}", "new", 0, ["b"], ["B"], "n", " ".join(shared + [f"x{i}" for i in range(m - n)]), "", ""))
+    got = C.compare(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["pair_id"], r["change_type"]) for r in got} == {(f"p{m}", "moved") for m in (35, 63, 70, 119, 14)}
