@@ -73,7 +73,8 @@ def print_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("print_breadcrumbs")
 def print_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
-    lines = hunk_pages(spark, d, "v2")
+    """Anchors with their paths, of both printed sides of each archived hunk."""
+    lines, _ = _printed(spark, d)
     merged = P.page_lines(lines)
     flat = cut(P.flat_lines(merged), "flat")
     return A.breadcrumbs(A.extract_anchors(merged, flat)).select("doc_id", "anchor_no", "kind", F.array_join("path", " > ").alias("path_text"))
