@@ -1,13 +1,13 @@
 """One quantity recorded in different units: read the unit from words, else from a mixture.
 
 ``stated_factor`` reads a unit from text. ``harmonise`` looks at a row's own texts in order, then
-at a neighbouring text, then at the source's convention; where there is none it assigns a unit by
-a log-scale mixture whose components are one distribution of true values, offset by the known
-conversion factors. Whatever decided, a row gets the mixture's posterior of its unit and a flag
+at a neighbouring text; where neither names a unit it assigns one by a log-scale mixture whose
+components are one distribution of true values, offset by the known conversion factors, with what
+the source is known to print in as prior weight. A row gets the posterior of its unit and a flag
 where that posterior is low.
 
-The mixture is fitted to a histogram (a few thousand bins at most, counted over all rows), so its
-input on the driver does not grow with the data.
+Rows that state their unit take part in the fit with that unit given. A source is fitted to a histogram
+counted over all its rows, so no input of the fit grows with the data.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexdelta.functions.text import collapse
+
 FACTORS = (1, 1_000, 1_000_000, 1_000_000_000)
 
 # Words that name a unit. Whole dollars come first, as such words may name the other
@@ -33,7 +36,7 @@ _NOTE = r"^(?:amounts?|figures?|columns?|all|are|is|in|of|the|dollars?|usd|whole
 
 def stated_factor(c: Column) -> Column:
     """Conversion factor named anywhere in a note that is known to speak of units; NULL without one."""
-    t = F.regexp_replace(F.trim(F.lower(c)), r"^[\[(\s]+|[\])\s.]+$", "")
+    t = F.regexp_replace(collapse(F.lower(c)), r"^[\[(\s]+|[\])\s.]+$", "")
     return (
         F.when(t.rlike(_DOLLARS), 1).when(t.rlike(_BILLION), 1_000_000_000).when(t.rlike(_MILLION), 1_000_000).when(t.rlike(_THOUSAND), 1_000)
     ).cast("bigint")
@@ -41,7 +44,7 @@ def stated_factor(c: Column) -> Column:
 
 def label_factor(c: Column) -> Column:
     """Factor named in what trails an account's name: a bracket, ``--…`` or ``, in …`` made of unit words only."""
-    low = F.lower(c)
+    low = collapse(F.lower(c))
     tails = F.concat(
         F.regexp_extract_all(low, F.lit(r"[\[(]([^\[\]()]*)[\])]"), F.lit(1)),
         F.regexp_extract_all(low, F.lit(r"-{1,2} *([^-\[\]()]*)$"), F.lit(1)),
@@ -56,7 +59,7 @@ def statement_factor(c: Column) -> Column:
 
     Sentences that hold amounts of their own do not speak of the statement.
     """
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?<=[.\])])\s+")
+    parts = F.split(collapse(F.coalesce(c, F.lit(""))), r"(?<=[.\])])\s+")
     own = r"\$\s?[1-9]"
     about = r"(?i)\b(?:statement|table|columns?|figures?|amounts)\b"
     notes = F.filter(parts, lambda s: ~s.rlike(own) & (s.rlike(about) | s.rlike(r"^\s*[\[(][^\[\]()]*[\])]\.?\s*$")))
@@ -66,7 +69,7 @@ def statement_factor(c: Column) -> Column:
 
 def printed_amount(c: Column) -> tuple[Column, Column]:
     """(figure DECIMAL, factor named beside it) of an amount as printed; both NULL where the text is no plain amount."""
-    t = F.lower(F.trim(c))
+    t = F.lower(collapse(c))
     shape = r"^\$?\s*(-?\d[\d,]*(?:\.\d+)?)\s*(billion|bn|b|million|mil|mn|m|thousand|thou|k)?\.?\s*(dollars)?$"
     ok = t.rlike(shape)
     word = F.regexp_extract(t, shape, 2)
@@ -78,93 +81,115 @@ def printed_amount(c: Column) -> tuple[Column, Column]:
     return figure, F.when(ok, factor).cast("bigint")
 
 
-def fit_mixture(centres: np.ndarray, counts: np.ndarray, offsets: Sequence[float], mu: float | None = None, sigma: float | None = None, rounds: int = 200) -> dict:
+def _log_like(x: np.ndarray, m: float, s: float, weight: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(weight) - 0.5 * ((x - m) / s) ** 2 - math.log(s)
+
+
+def fit_mixture(centres: np.ndarray, counts: np.ndarray, offsets: Sequence[float], known: np.ndarray | None = None, known_counts: np.ndarray | None = None, prior: Sequence[float] | None = None, rounds: int = 200) -> dict:
     """EM for printed = true − offset, true ~ N(mu, sigma), over a histogram of log10 values.
 
-    ``mu`` and ``sigma`` stay as given (rows with a stated unit tell them); else they are fitted too, from a few
-    starts of which the likeliest end wins. An empty histogram gives equal weights.
+    ``known`` are true log values (of rows that state their unit): they take part in mu and sigma with their
+    component given, however few they are. ``prior`` is the share each component is expected to have; it counts as
+    much as all open rows together. Of several starts the likeliest end wins. Without open rows the weights are
+    the prior's, or equal.
     """
-    off, n = np.asarray(offsets, float), counts.sum()
-    if n == 0:
-        return {"mu": mu or 0.0, "sigma": sigma or 1.0, "weights": [1 / len(off)] * len(off)}
+    off, n = np.asarray(offsets, float), float(np.sum(counts))
+    known, known_counts = (np.zeros(0) if x is None else np.asarray(x, float) for x in (known, known_counts))
+    sure = float(known_counts.sum())
+    expected = np.full(len(off), 1 / len(off)) if prior is None else np.asarray(prior, float) / np.sum(prior)
+    pseudo = 0.0 if prior is None else n
+    if n + sure == 0:
+        return {"mu": 0.0, "sigma": 1.0, "weights": expected.tolist()}
     true = centres[:, None] + off[None, :]
-    fixed = mu is not None and sigma is not None
 
     def run(m: float, s: float) -> tuple[float, float, float, np.ndarray]:
-        weight, level = np.full(len(off), 1 / len(off)), -np.inf
+        weight, level = expected, -np.inf
         for _ in range(rounds):
-            like = weight * np.exp(-0.5 * ((true - m) / s) ** 2) / s + 1e-300
-            total = like.sum(1, keepdims=True)
-            post = like / total * counts[:, None]
-            weight = post.sum(0) / n
-            if not fixed:
-                m = float((post * true).sum() / n)
-                s = max(0.05, math.sqrt(float((post * (true - m) ** 2).sum() / n)))
-            before, level = level, float((np.log(total[:, 0]) * counts).sum())
+            like = _log_like(true, m, s, weight)
+            top = like.max(1, keepdims=True)
+            each = np.exp(like - top)
+            total = each.sum(1, keepdims=True)
+            post = each / total * counts[:, None]
+            if n:
+                weight = (post.sum(0) + pseudo * expected) / (n + pseudo)
+            m = float(((post * true).sum() + (known * known_counts).sum()) / (n + sure))
+            spread = (post * (true - m) ** 2).sum() + (known_counts * (known - m) ** 2).sum()
+            s = max(0.05, math.sqrt(float(spread / (n + sure))))
+            before, level = level, float(((np.log(total) + top)[:, 0] * counts).sum() + (known_counts * (-0.5 * ((known - m) / s) ** 2 - math.log(s))).sum())
             if level - before < 1e-9 * abs(level):
                 break
         return level, m, s, weight
 
-    if fixed:
-        starts = [(mu, sigma)]
-    else:
-        middle = centres[np.searchsorted(np.cumsum(counts), n / 2)]
-        starts = [(middle + o, s) for o in off for s in (0.3, 0.6, 1.0)]
-    _, m, s, weight = max((run(*x) for x in starts), key=lambda r: r[0])
+    starts = [float((known * known_counts).sum() / sure)] if sure else []
+    if n:
+        middle = centres[min(np.searchsorted(np.cumsum(counts), n / 2), len(centres) - 1)]
+        starts += [middle + o for o in off]
+    _, m, s, weight = max((run(x, s) for x in starts for s in (0.3, 0.6, 1.0)), key=lambda r: r[0])
     return {"mu": m, "sigma": s, "weights": weight.tolist()}
 
 
-def harmonise(rows: DataFrame, conventions: dict[str, int] | None = None, factors: Sequence[int] = FACTORS, sure: float = 0.95, bin_width: float = 0.02) -> DataFrame:
+def fit_sources(rows: DataFrame, conventions: dict[str, int] | None = None, factors: Sequence[int] = FACTORS, bin_width: float = 0.02) -> DataFrame:
+    """(source, mu, sigma, weights): the mixture of each source, from rows (source, log, stated).
+
+    A source is a histogram of at most a few thousand bins before it reaches Python, whatever its number of rows.
+    """
+    conventions, offsets = dict(conventions or {}), [math.log10(f) for f in factors]
+    bins = rows.where("log is not null").groupBy("source", "stated", F.round(F.col("log") / bin_width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        source = pdf["source"].iloc[0]
+        said = pdf["stated"].notna()
+        known, open_ = pdf[said], pdf[~said]
+        true = known["bin"].to_numpy(float) * bin_width + np.log10(known["stated"].to_numpy(float))
+        given = conventions.get(source)
+        prior = None if given is None else [float(f == given) * len(factors) * 1e6 + 1 for f in factors]
+        m = fit_mixture(open_["bin"].to_numpy(float) * bin_width, open_["n"].to_numpy(float), offsets, true, known["n"].to_numpy(float), prior)
+        return pd.DataFrame({"source": [source], "mu": [m["mu"]], "sigma": [m["sigma"]], "weights": [m["weights"]]})
+
+    # bins come in any order; sorted, the sums are the same on every attempt
+    return bins.groupBy("source").applyInPandas(lambda p: fit(p.sort_values(["stated", "bin"])), "source string, mu double, sigma double, weights array<double>")
+
+
+def harmonise(rows: DataFrame, conventions: dict[str, int] | None = None, factors: Sequence[int] = FACTORS, sure: float = 0.95, bin_width: float = 0.02, small: int = 10_000) -> DataFrame:
     """Rows (source, key, figure DECIMAL, own BIGINT, near BIGINT) with their amount in the common unit.
 
-    Adds ``factor``, ``unit_source`` (own, near, convention, mixture), ``posterior`` of that factor
-    under the source's mixture, ``uncertain`` and ``amount`` BIGINT. A row whose figure is NULL has
-    no amount and no unit from the mixture; zero and values below have no logarithm, so the mixture
-    leaves them to ``conventions`` or the factor 1, flagged. Repeated rows stay. An empty table stays
-    empty.
+    A stated unit (own, then near) counts; every other row gets the unit of the highest posterior under its
+    source's mixture, in which the source's convention is the prior weight. Adds ``factor``, ``unit_source`` (own, near,
+    mixture), ``posterior`` of that factor, ``uncertain`` and ``amount`` BIGINT. A row whose figure is NULL has no
+    amount; it and a zero have no logarithm, so they get the likeliest unit of their source, flagged. A source
+    without any figure has its convention, else the first factor. Repeated rows stay, a NULL source is a source; an
+    empty table stays empty. Up to ``small`` sources the mixtures are broadcast, beyond that joined.
     """
     conventions = conventions or {}
     stated = F.coalesce("own", "near")
     rows = rows.withColumn("_log", F.when(F.abs("figure") > 0, F.log10(F.abs(F.col("figure").cast("double")))))
-    bins = (
-        rows.where("_log is not null").groupBy("source", stated.alias("stated"), F.round(F.col("_log") / bin_width).cast("int").alias("bin")).count().collect()
-    )  # at most sources x factors x bins
-    convention = F.create_map(*[F.lit(x) for kv in conventions.items() for x in (kv[0], int(kv[1]))]).cast("map<string,bigint>") if conventions else None
-    offsets = [math.log10(f) for f in factors]
-    models = {}
-    for source in sorted({b["source"] for b in bins if b["source"] is not None}):
-        known = [(b["bin"] * bin_width + math.log10(b["stated"]), b["count"]) for b in bins if b["source"] == source and b["stated"]]
-        open_ = [(b["bin"] * bin_width, b["count"]) for b in bins if b["source"] == source and b["stated"] is None]
-        mu = sigma = None
-        if sum(n for _, n in known) >= 30:
-            x, n = np.array(known, float).T
-            mu = float(np.average(x, weights=n))
-            sigma = max(0.05, math.sqrt(float(np.average((x - mu) ** 2, weights=n))))
-        x, n = np.array(open_ or [(0.0, 0)], float).T
-        models[source] = fit_mixture(x, n, offsets, mu, sigma)
-    if not models:
-        models = {"": {"mu": 0.0, "sigma": 1.0, "weights": [1 / len(factors)] * len(factors)}}
-
-    def param(pick) -> Column:
-        return F.create_map(*[F.lit(x) for name, m in models.items() for x in (name, float(pick(m)))])[F.coalesce("source", F.lit(""))]
-
-    likes = [
-        param(lambda m, j=j: m["weights"][j]) * F.exp(F.lit(-0.5) * F.pow((F.col("_log") + F.lit(off) - param(lambda m: m["mu"])) / param(lambda m: m["sigma"]), 2.0))
-        for j, off in enumerate(offsets)
-    ]
-    rows = rows.withColumn("_likes", F.array(*likes))
-    total = F.aggregate("_likes", F.lit(0.0), lambda a, x: a + x)
-    best = F.get(F.array(*map(F.lit, factors)), (F.array_position("_likes", F.array_max("_likes")) - 1).cast("int"))
-    guess = F.when(F.col("_log").isNotNull() & (total > 0), best)
-    given = convention[F.col("source")] if convention is not None else F.lit(None).cast("bigint")
-    rows = rows.withColumn("factor", F.coalesce(stated, given, guess, F.lit(1)).cast("bigint"))
-    source = F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "near").when(given.isNotNull(), "convention").otherwise("mixture")
-    at = (F.array_position(F.array(*[F.lit(int(f)) for f in factors]).cast("array<bigint>"), F.col("factor")) - 1).cast("int")
-    posterior = F.when(F.col("_log").isNotNull() & (total > 0), F.get(F.col("_likes"), at) / total)
+    models = fit_sources(rows.select("source", F.col("_log").alias("log"), stated.alias("stated")), conventions, factors, bin_width)
+    few = models.limit(small + 1).collect()
+    if len(few) <= small:
+        models = F.broadcast(rows.sparkSession.createDataFrame(few, models.schema))
+    models = models.withColumnsRenamed({"source": "_source", "mu": "_mu", "sigma": "_sigma", "weights": "_weights"})
+    rows = rows.join(models, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+    def by_factor(each) -> Column:
+        return F.array(*[each(j, math.log10(f)) for j, f in enumerate(factors)])
+
+    weight = lambda j: F.get("_weights", F.lit(j))
+    likes = by_factor(lambda j, off: F.log(weight(j) + F.lit(1e-300)) - F.lit(0.5) * F.pow((F.coalesce("_log", F.col("_mu") - off) + F.lit(off) - F.col("_mu")) / F.col("_sigma"), 2.0))
+    rows = rows.withColumn("_likes", likes)
+    units_ = F.array(*[F.lit(int(f)).cast("bigint") for f in factors])
+    guess = F.get(units_, (F.array_position("_likes", F.array_max("_likes")) - 1).cast("int"))
+    given = F.create_map(*[F.lit(x) for kv in conventions.items() for x in (kv[0], int(kv[1]))]).cast("map<string,bigint>")[F.col("source")] if conventions else F.lit(None).cast("bigint")
+    rows = rows.withColumn("factor", F.coalesce(stated, guess, given, F.lit(factors[0])).cast("bigint"))
+    source = F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "near").otherwise("mixture")
+    at = (F.array_position(units_, F.col("factor")) - 1).cast("int")
+    top = F.array_max("_likes")
+    total = F.aggregate("_likes", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    posterior = F.when(F.col("_log").isNotNull() & (at >= 0), F.exp(F.get(F.col("_likes"), at) - top) / total)
     rows = rows.withColumns({"unit_source": source, "posterior": posterior})
     uncertain = ~F.col("unit_source").isin("own", "near") & (F.coalesce("posterior", F.lit(0.0)) < sure)
     amount = F.round(F.col("figure") * F.col("factor"), 0).try_cast("bigint")
-    return rows.withColumns({"uncertain": uncertain, "amount": amount}).drop("_log", "_likes")
+    return rows.withColumns({"uncertain": uncertain, "amount": amount}).drop("_log", "_likes", "_mu", "_sigma", "_weights")
 
 
 #: What an account table's figures are in when nothing says otherwise.

@@ -16,30 +16,30 @@ def _amounts(spark: SparkSession, d: str) -> DataFrame:
     return units.stated_amounts(table(spark, d, "report_accounts"), table(spark, d, "comparative_rows"), table(spark, d, "committee_reports"), table(spark, d, "validation_defense"))
 
 
-_UNIT = r"""case when regexp_matches(t, '\b(actual|whole) dollars\b|\bnot (in |cut to )?thousands\b|\bto dollars\b|\bnearest (thousand|million)\b|^usd$|^(in )?dollars$') then 1
- when regexp_matches(t, '\bbillions?\b|\bbn\b|\$b\b') then 1000000000
- when regexp_matches(t, '\bmillions?\b|\bmil\b|\bmn\b|\$m\b|\bsix zeros\b') then 1000000
- when regexp_matches(t, '\bthousands?\b|\bthou\b|\$k\b|\bk\$|\bthree zeros\b|\b000s?\b') then 1000 end"""
-
-
-def _unit(e: str) -> str:
-    return _UNIT.replace("(t,", f"(regexp_replace(trim(lower({e})), '^[\\[(\\s]+|[\\])\\s.]+$', '', 'g'),")
-
-
-_TAIL = r"""regexp_extract(lower({0}), '([\[(]((in |\$|\$ |of |dollars|thousands|millions|in thousands|in millions|\$ in thousands|millions of dollars|000s omitted|000s|\$000|\$m|\$k|\$ thousands)+)[\])]|--thousands of dollars|, in whole dollars)$', 0)"""
-_LABEL = lambda c: _unit("regexp_replace(regexp_replace(" + _TAIL.format(c) + ", '^, |^--', ''), '^in ', '')")
-
-_P1 = rf"""with a as (
- select 'report_accounts' source_table, account_id row_key, regexp_extract(lower(trim(amount_text)), '^\$?\s*(-?\d[\d,]*(\.\d+)?)\s*(billion|bn|b|million|mil|mn|m|thousand|thou|k)?\.?\s*(dollars)?$', 1) f,
-  regexp_extract(lower(trim(amount_text)), '^\$?\s*(-?\d[\d,]*(\.\d+)?)\s*(billion|bn|b|million|mil|mn|m|thousand|thou|k)?\.?\s*(dollars)?$', 3) w,
-  case when lower(amount_text) like '%dollars' then 1 end d, {_unit('unit_note')} n, {_LABEL('heading')} h from report_accounts),
-a2 as (select source_table, row_key, cast(replace(f, ',', '') as decimal(28,6)) f,
-  coalesce(case when w in ('billion','bn','b') then 1000000000 when w in ('million','mil','mn','m') then 1000000 when w in ('thousand','thou','k') then 1000 end, d, n, h, 1) u from a where f <> ''),
-s as (select report_pkg, unnest(regexp_split_to_array(regexp_replace(coalesce(head_text, ''), '([.\])])\s+', '\1' || chr(1), 'g'), chr(1))) p from committee_reports),
-s2 as (select report_pkg, max({_unit('p')}) u from s where not regexp_matches(p, '\$\s?[1-9]') and (regexp_matches(lower(p), '\b(statement|table|columns?|figures?|amounts)\b') or regexp_matches(p, '^\s*[\[(][^\[\]()]*[\])]\.?\s*$')) group by report_pkg),
-c as (select 'comparative_rows' source_table, row_id row_key, cast(committee_recommendation_thousands as decimal(28,6)) f, coalesce({_LABEL('item')}, s2.u, 1000) u from comparative_rows left join s2 using (report_pkg)),
-v as (select 'validation_defense' source_table, validation_id row_key, cast(expected_amount as decimal(28,6)) f, coalesce({_unit('note')}, {_LABEL('excel_name')}, 1) u from validation_defense)
-select source_table, row_key, cast(round(f * u, 0) as bigint) amount_dollars from (select * from a2 union all select * from c union all select * from v) where u <> 1 and f is not null"""
+# Every text that may name a unit is a row (source_table, row_key, rank, t) cut into words; the words decide. A label
+# counts where its tail has unit words only, a report's opening by the sentences on its statement.
+_P1 = r"""with raw as (
+ select 'report_accounts' source_table, account_id row_key, 1 "rank", trim(regexp_replace(lower(amount_text), '[^0-9a-z.,$()-]+', ' ', 'g')) t from report_accounts
+ union all select 'report_accounts', account_id, 2, lower(unit_note) from report_accounts union all select 'report_accounts', account_id, 3, lower(heading) from report_accounts
+ union all select 'comparative_rows', row_id, 3, lower(item) from comparative_rows
+ union all select 'validation_defense', validation_id, 2, lower(note) from validation_defense union all select 'validation_defense', validation_id, 3, lower(excel_name) from validation_defense),
+fig as (select row_key, replace(regexp_extract(t, '^[$]? ?(-?[0-9][0-9,]*([.][0-9]+)?)', 1), ',', '') f, trim(regexp_replace(t, '^[$]? ?-?[0-9][0-9,]*([.][0-9]+)?', '')) rest from raw where "rank" = 1),
+tails as (select * replace (case "rank" when 3 then coalesce(nullif(regexp_extract(t, '[\[(]([^\[\]()]*)[\])]\s*$', 1), ''), nullif(regexp_extract(t, ', (in [^,]*)$', 1), ''), regexp_extract(t, '--?([^-\[\]()]*)$', 1)) else t end as t) from raw where "rank" > 1 and t is not null),
+head as (select report_pkg, unnest(string_split(regexp_replace(regexp_replace(head_text, '\s+', ' ', 'g'), '([.\])]) ', '\1' || chr(1), 'g'), chr(1))) t from committee_reports),
+heads as (select report_pkg, lower(t) t from head where not regexp_matches(t, '[$] ?[1-9]') and (regexp_matches(t, '^[\[(]') or list_has_any(regexp_split_to_array(lower(t), '[^a-z]+'), ['statement', 'table', 'column', 'columns', 'figure', 'figures', 'amounts']))),
+texts as (select source_table, cast(row_key as varchar) k, "rank", t from tails union all select 'head', report_pkg, 4, t from heads
+ union all select 'report_accounts', cast(row_key as varchar), 1, case when rest in ('k', 'thou', 'thou.', 'thousand', 'thousand dollars') then 'thousand' when rest in ('m', 'mn', 'mil', 'mil.', 'million', 'million dollars') then 'million'
+  when rest in ('b', 'bn', 'billion', 'billion dollars') then 'billion' when rest = 'dollars' then 'dollars' end from fig where f <> ''),
+w as (select *, list_filter(string_split(regexp_replace(t, '[^a-z0-9$]+', ' ', 'g'), ' '), lambda x: x <> '') w from texts where t is not null),
+named as (select source_table, k, "rank", case when "rank" = 3 and len(list_filter(w, lambda x: not regexp_matches(x, '^(in|of|the|all|are|amounts?|figures?|columns?|omitted|whole|actual|dollars|usd|(thous|mill|bill)(and|ion)s?|three|six|zeros|mn|mil|[$]|[$]?0+s?|[$][kmb]|[kmb][$])$'))) > 0 then null
+ when list_has_any(w, ['usd', 'nearest', 'converted', 'not']) or regexp_matches(array_to_string(w, ' '), '(actual|whole) dollars') then 1
+ when list_has_any(w, ['billion', 'billions', 'bn', '$b']) then 1000000000 when list_has_any(w, ['million', 'millions', 'mn', 'mil', '$m', '$mm', 'm$']) or list_has_all(w, ['six', 'zeros']) then 1000000
+ when list_has_any(w, ['thousand', 'thousands', 'thou', '000s', '000', '$000', '$k', 'k$']) or list_has_all(w, ['three', 'zeros']) then 1000 when list_contains(w, 'dollars') then 1 end u from w),
+best as (select source_table, k, min_by(u, "rank") u from named where u is not null and source_table <> 'head' group by all), said as (select k report_pkg, max(u) u from named where source_table = 'head' and u is not null group by 1),
+a as (select 'report_accounts' source_table, row_key, try_cast(f as decimal(28,6)) f, 1 d from fig where f <> '' and rest in ('', 'dollars', 'k', 'thou', 'thou.', 'thousand', 'thousand dollars', 'm', 'mn', 'mil', 'mil.', 'million', 'million dollars', 'b', 'bn', 'billion', 'billion dollars')
+ union all select 'comparative_rows', row_id, cast(committee_recommendation_thousands as decimal(28,6)), coalesce(said.u, 1000) from comparative_rows left join said using (report_pkg)
+ union all select 'validation_defense', validation_id, cast(expected_amount as decimal(28,6)), 1 from validation_defense)
+select distinct a.source_table, row_key, cast(round(f * coalesce(u, d), 0) as bigint) amount_dollars from a left join best on a.source_table = best.source_table and cast(row_key as varchar) = k where f is not null and coalesce(u, d) <> 1"""
 
 
 @R.add("p1_found", _P1)
