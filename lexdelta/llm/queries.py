@@ -13,12 +13,12 @@ from lexdelta.sources.tables import table
 R = Registry()
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
-_LATIN = r"A-Za-z\x{c0}-\x{24f}"
-_FOREIGN = "".join(sorted(confusables.PROTOTYPES))
-#: What is improper in a text; a look-alike counts beside a Latin letter.
+#: What is improper in a text, from the problem's words and Unicode's own classes. Raised letters and curly quotes are proper.
 _ODD = (
-    r"[\t\x0b\x0c\x{a0}\x{ad}\x{34f}\x{61c}\x{1680}\x{180e}\x{2000}-\x{200f}\x{202a}-\x{202f}\x{205f}-\x{2064}\x{2066}-\x{206f}\x{3000}\x{fe00}-\x{fe0f}\x{feff}\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}"
-    rf"\x{{20d0}}-\x{{20ff}}\x{{fe20}}-\x{{fe2f}}\x{{ff01}}-\x{{ffee}}\x{{fb00}}-\x{{fb06}}\x{{3358}}-\x{{33ff}}]|[{_LATIN}][{_FOREIGN}]|[{_FOREIGN}][{_LATIN}]"
+    r"[\p{Cf}\x{34f}\x{115f}\x{1160}\x{3164}\x{fe00}-\x{fe0f}]|[\t\x0b\x0c\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"  # no width; blanks
+    r"|[\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{20d0}-\x{20ff}\x{fe20}-\x{fe2f}]"  # accents apart
+    r"|[\x{2100}-\x{2101}\x{2103}\x{2105}-\x{2107}\x{2109}-\x{2113}\x{2115}-\x{2116}\x{2119}-\x{211d}\x{2150}-\x{217f}\x{2460}-\x{24ea}\x{3250}-\x{33ff}\x{fb00}-\x{fb06}\x{ff01}-\x{ff9f}\x{ffe0}-\x{ffee}\x{1d400}-\x{1d7ff}\x{bc}-\x{be}\x{2026}\x{132}\x{133}\x{1c4}-\x{1cc}]"
+    r"|\p{Latin}[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}]|[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}]\p{Latin}"  # letters of two scripts side by side
 )
 _P3 = " union all ".join(f"select '{t}' source_table, {k} row_key, '{f}' field_name from {t} where regexp_matches({f}, '{_ODD}')" for t, k, f in (("bill_nodes", "node_id", "body_text"), ("pdf_hunks", "hunk_id", "v1_text"), ("pdf_hunks", "hunk_id", "v2_text")))
 _GRAMS = "list_distinct(list_transform(range(1, len(w) - {0}), lambda i: array_to_string(w[i:i + {1}], ' ')))"
