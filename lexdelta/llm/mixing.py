@@ -14,7 +14,9 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,15 @@ def _encoding(path: str):
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """(_id, _source, n_tokens) of whole texts; NULL and empty texts have no tokens."""
-    path = os.path.join(tokenizers, vocabulary)
+    """(_id, _source, n_tokens) of whole texts; NULL and empty texts have no tokens.
+
+    The vocabulary is read on the driver's machine and sent to the executors as a file of the job.
+    """
+    docs.sparkSession.sparkContext.addFile(os.path.join(tokenizers, vocabulary))
     key = docs.schema[doc_id].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(SparkFiles.get(vocabulary)).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["_id", "_source", "n_tokens"])
@@ -55,23 +60,20 @@ def poisson_cdf(rate: float, cap: int) -> list[float]:
         return [1.0] * max(cap, 1)
     if rate >= cap * (1 - 1e-9):
         return [0.0] * cap
+    j = np.arange(cap)
+    factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, cap)))])
+
+    def cdf(lam: float) -> np.ndarray:
+        return np.minimum(1.0, np.cumsum(np.exp(j * math.log(lam) - lam - factorials)))  # terms by logarithm: no rate is too high
 
-    def cdf(lam: float) -> list[float]:
-        term, total, out = math.exp(-lam), 0.0, []
-        for j in range(cap):
-            total += term
-            out.append(min(1.0, total))
-            term *= lam / (j + 1)
-        return out
-
-    mean = lambda lam: cap - sum(cdf(lam))  # noqa: E731  E[min(X, cap)] = sum over j < cap of P(X > j)
-    low, high = 0.0, max(1.0, rate)
-    while mean(high) < rate and high < 600:
+    mean = lambda lam: cap - float(cdf(lam).sum())  # noqa: E731  E[min(X, cap)] = sum over j < cap of P(X > j)
+    low, high = 1e-300, max(1.0, rate)
+    while mean(high) < rate:
         high *= 2
-    for _ in range(80):
+    for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if mean(mid) < rate else (low, mid)
-    return cdf((low + high) / 2)
+    return cdf((low + high) / 2).tolist()
 
 
 def plan_rates(targets: list[dict], tokens: dict[str, int], total: int | None = None) -> list[dict]:
@@ -114,7 +116,7 @@ class Mixture:
     def _drawn(self, rows: DataFrame) -> DataFrame:
         """``rows`` once for each mix that names their source, with the number of copies ``_n``."""
         table = self.spark.createDataFrame([(r["mix_name"], r["source"], r["cdf"]) for r in self.rates], "_mix string, _source string, _cdf array<double>")
-        out = rows.join(F.broadcast(table) if len(self.rates) <= 100_000 else table, "_source")
+        out = rows.join(F.broadcast(table) if sum(len(r["cdf"]) for r in self.rates) <= 1_000_000 else table, "_source")
         u = F.shiftrightunsigned(F.xxhash64("_id", "_mix", F.lit(self.seed)), 11) / F.lit(float(1 << 53))
         out = out.withColumn("_u", u)
         return out.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).drop("_cdf", "_u")

@@ -31,6 +31,11 @@ select field_name, id_a, id_b from p where cast(c as double) / (na + nb - c) >=
 _P7 = f"""with d as (select distinct doc_id, unnest({_GRAMS.format(16, 17)}) x from (select doc_id, {_WORDS.format('"text"')} w from documents where "text" is not null) where len(w) >= 18),
 i as (select distinct item_id, unnest({_GRAMS.format(16, 17)}) x from (select item_id, {_WORDS.format('"text"')} w from eval_items where "text" is not null) where len(w) >= 18)
 select distinct doc_id, item_id from d join i using (x)"""
+# runs of matching 18-grams on one diagonal are one match
+_AT = "select {0}, unnest(range(0, len(w) - 17)) p, unnest(list_transform(range(1, len(w) - 16), lambda i: array_to_string(w[i:i + 17], ' '))) x from (select {0}, {1} w from {2} where \"text\" is not null) where len(w) >= 18"
+_P7_SPANS = f"""with d as ({_AT.format("doc_id", _WORDS.format('"text"'), "documents")}), i as ({_AT.format("item_id", _WORDS.format('"text"'), "eval_items")}),
+m as (select doc_id, item_id, d.p, i.p q, d.p - row_number() over (partition by doc_id, item_id, d.p - i.p order by d.p) g from d join i using (x))
+select doc_id, item_id, min(p) word_at, min(q) item_word_at, count(*) + 17 n_words from m group by doc_id, item_id, p - q, g"""
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -118,12 +123,12 @@ def _leaked(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("p7_found", _P7)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaked(spark, d).select("doc_id", "item_id")
+    return leakage.leaked_items(_leaked(spark, d))
 
 
-@R.add("p7_spans")
+@R.add("p7_spans", _P7_SPANS)
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Longest verbatim match of each leaked item in each document."""
+    """Every longest verbatim match of an item in a document, with its places and length."""
     return _leaked(spark, d)
 
 

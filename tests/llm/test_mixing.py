@@ -61,3 +61,10 @@ def test_tokens_round_trip():
     full = tokenizers.Tokenizer.from_file(M.TOKENIZERS + "/byte_bpe_50k.json")
     for t in ["The § 3 of “roads” — é.", "it's 123's  and   more \n text"]:
         assert full.encode(t, add_special_tokens=False).ids == enc.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("rate, cap", [(900, 1000), (650, 700), (3.5, 4), (0.2, 1), (5000, 20000), (1e-6, 3), (999.9, 1000)])
+def test_mean_is_the_rate_however_high(rate, cap):
+    cdf = M.poisson_cdf(rate, cap)
+    assert abs(cap - sum(cdf) - rate) < 1e-6 * max(rate, 1)
+    assert all(a <= b for a, b in zip(cdf, cdf[1:]))
