@@ -2,19 +2,21 @@
 
 1. A text is reduced to its set of word shingles and that to a min-hash signature of ``LANES``
    coordinates. Texts with the same words are one class, and one representative of a class goes on.
-2. Representatives are posted under the first ``INDEXED`` (coordinate, value) pairs. Two texts at
-   the threshold share at least two of those (a miss has probability 3e-4 at similarity 0.6, less
-   above), so a value may be skipped when its posting list is long, as long as pairs of long values are
-   posted instead: the pair of texts then meets under a short value or under a pair of long ones.
-   Which lists are long is told by a count sketch of fixed size over all texts.
-3. Each posting carries the whole signature, six bits a coordinate, so collisions are counted inside
-   the join and only pairs with ``NEED`` of them leave it (a miss: 9e-4 at 0.6, 1e-4 at 0.65).
+2. Two texts are a candidate pair where ``NEED`` coordinates or more have equal values. Representatives are posted
+   under the rarest ``PREFIX = LANES - NEED + 1`` of their (coordinate, value) pairs: in any one order of all values, two
+   texts with ``NEED`` equal ones share one of those, so the values with long lists are skipped without losing a
+   candidate. The order is by a count sketch of fixed size; a poor sketch costs time, never a pair.
+3. Each posting carries its signature, four bits a coordinate, so collisions are counted inside the lists and only
+   candidates leave them. A list longer than ``BLOCK`` is split into blocks, and pairs of blocks are merged apart.
 4. Pairs of representatives are verified exactly on their texts.
+
+What is lost is a pair with fewer than ``NEED`` equal coordinates: with probability 9e-4 at similarity 0.6, 1e-4 at 0.65.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 from lexdelta.llm.words import WordHashes, mix, shingle_hashes, shingle_set, words
 from lexdelta.session import cut
 
-LANES, BITS, PER_LONG = 30, 6, 10
-INDEXED, NEED = 12, 10
+LANES, NEED, BITS, PER_LONG = 30, 10, 4, 15
+PREFIX = LANES - NEED + 1
 SHINGLE, MIN_WORDS, THRESHOLD = 3, 25, 0.6
-BUCKETS, LONG_LIST = 1 << 20, 100
+BUCKETS, BLOCK, COPIES = 1 << 18, 4096, 1000
 
 _SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_STAGE = "field string, id bigint, grp string, cls binary, s0 bigint, s1 bigint, s2 bigint, keys array<bigint>"
+_STAGE = "field string, id bigint, grp string, cls binary, lanes array<int>"
 
 
 def _signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -48,7 +50,6 @@ def _signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int, min_words: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    lane_shift = np.array([BITS * (k % PER_LONG) for k in range(LANES)], np.uint64)
     for batch in batches:
         fields, ids, groups = (batch.column(i).to_pylist() for i in range(3))
         keep, sets, classes = [], [], []
@@ -62,108 +63,132 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, min_words: int) -> It
         if not keep:
             continue
         sig = _signatures(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]]))
-        low = mix(sig) & np.uint64((1 << BITS) - 1)
-        packed = [np.bitwise_or.reduce(low[:, j : j + PER_LONG] << lane_shift[j : j + PER_LONG], axis=1).view(np.int64) for j in range(0, LANES, PER_LONG)]
-        salt = np.array([xxhash.xxh64_intdigest(str(fields[i])) for i in keep], np.uint64)
-        keys = mix(sig[:, :INDEXED] + salt[:, None] + _SEEDS[None, :INDEXED]).view(np.int64)
-        offsets = np.arange(0, keys.size + 1, INDEXED, dtype=np.int32)
+        lanes = (mix(sig) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        offsets = np.arange(0, lanes.size + 1, LANES, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([fields[i] for i in keep], pa.string()), pa.array([ids[i] for i in keep], pa.int64()), pa.array([groups[i] for i in keep], pa.string()), pa.array(classes, pa.binary()),
-             *map(pa.array, packed), pa.ListArray.from_arrays(offsets, keys.ravel())],
-            names=["field", "id", "grp", "cls", "s0", "s1", "s2", "keys"],
+            [pa.array([fields[i] for i in keep], pa.string()), pa.array([ids[i] for i in keep], pa.int64()), pa.array([groups[i] for i in keep], pa.string()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(offsets, lanes.ravel())],
+            names=["field", "id", "grp", "cls", "lanes"],
         )
 
 
 def signed(rows: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(field, id, grp, text) to (field, id, grp, class, packed signature, index keys); texts that are NULL or too short are left out."""
+    """(field, id, grp, text) to (field, id, grp, class, signature); texts that are NULL or too short are left out."""
     lean = rows.select(F.col("field").cast("string"), F.col("id").cast("bigint"), F.col("grp").cast("string"), F.col("text").cast("string")).where("text is not null and id is not null")
     return lean.mapInArrow(lambda b: _sign(b, shingle, min_words), _STAGE)
 
 
-def _long_lists(reps: DataFrame, buckets: int, long_list: int) -> np.ndarray:
-    """Which buckets of index keys are long. The sketch has a fixed number of counters over all texts."""
+def _lanes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(values, keys) of a batch (f, lanes): a row a text, a column a coordinate; a key tells value, coordinate and field."""
+    values = batch.column("lanes").flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, LANES).astype(np.uint64)
+    salt = mix(batch.column("f").to_numpy().astype(np.int64).view(np.uint64))
+    return values, mix(values + (np.arange(LANES, dtype=np.uint64) << np.uint64(32)) + salt[:, None])
+
+
+def _prefix(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The columns of each row's ``PREFIX`` rarest keys: one order for all rows, by sketched count and then by key."""
+    rank = np.minimum(sketch[_bucket(keys, len(sketch))], (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | keys >> np.uint64(24)
+    return np.argsort(rank, axis=1, kind="stable")[:, :PREFIX]
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys % np.uint64(buckets)).astype(np.int64)
+
+
+def _sketch(reps: DataFrame, buckets: int, order=None) -> np.ndarray:
+    """How often the keys of each bucket occur, over all texts; with ``order`` (a sketch) only the keys of prefixes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            total += np.bincount(_bucket(b.column(0).flatten().to_numpy(), buckets), minlength=buckets)
+            if b.num_rows:
+                _, keys = _lanes(b)
+                keys = keys if order is None else np.take_along_axis(keys, _prefix(keys, order.value), 1)
+                total += np.bincount(_bucket(keys.ravel(), buckets), minlength=buckets)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["b", "n"])
 
-    sums = reps.select("keys").mapInArrow(count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
-    mean = 0.0
-    got = sums.toPandas()  # at most ``buckets`` rows, whatever the input
-    if len(got):
-        mean = got["n"].sum() / buckets
-    out = np.zeros(buckets, bool)
-    out[got["b"].to_numpy()[got["n"].to_numpy() > long_list + 4 * mean]] = True
+    got = reps.select("f", "lanes").mapInArrow(count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()  # at most ``buckets`` rows, whatever the input
+    out = np.zeros(buckets, np.int64)
+    out[got["b"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _post(batches: Iterator[pa.RecordBatch], is_long, buckets: int) -> Iterator[pa.RecordBatch]:
-    first, second = np.triu_indices(INDEXED, 1)
+def _post(batches: Iterator[pa.RecordBatch], order, sizes, block: int) -> Iterator[pa.RecordBatch]:
+    """Postings (f, k, s0, s1, id) of each text. The lowest bit of ``k`` tells the two sides of a pair of blocks."""
+    spread = sizes.value
+    blocks_of = -(-np.maximum(spread - 2 * int(spread.mean()), 1) // block)  # by bucket; a bucket holds other lists besides
+    shift = np.array([BITS * (k % PER_LONG) for k in range(LANES)], np.uint64)
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        keys = b.column("keys").flatten().to_numpy().reshape(n, INDEXED)
-        long_ = is_long.value[_bucket(keys.ravel(), buckets)].reshape(n, INDEXED)
-        r1, c1 = np.nonzero(~long_)
-        r2, c2 = np.nonzero(long_[:, first] & long_[:, second])
-        pair = mix(keys[r2, first[c2]].view(np.uint64) * np.uint64(3) + keys[r2, second[c2]].view(np.uint64)).view(np.int64)
-        row = np.concatenate([r1, r2])
-        names = ["id", "f", "s0", "s1", "s2"]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[r1, c1], pair])), *(b.column(x).take(pa.array(row)) for x in names)], names=["k", *names])
+        values, keys = _lanes(b)
+        low = (values & np.uint64((1 << BITS) - 1)) << shift
+        sig = [np.bitwise_or.reduce(low[:, j : j + PER_LONG], axis=1).view(np.int64) for j in range(0, LANES, PER_LONG)]
+        k = np.take_along_axis(keys, _prefix(keys, order.value), 1).ravel()
+        row = np.repeat(np.arange(n), PREFIX)
+        parts = blocks_of[_bucket(k, len(spread))]
+        ids = b.column("id").to_numpy()
+        mine = (mix(ids.view(np.uint64))[row] % parts.astype(np.uint64)).astype(np.int64)
+        # a row of block x meets every block y: once in each pair (x, y)
+        at = np.repeat(np.arange(len(k)), parts)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, second = np.minimum(mine[at], other), np.maximum(mine[at], other)
+        k = mix(k[at] + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        k = (k & ~np.uint64(1)) | (mine[at] > other).astype(np.uint64)
+        to = row[at]
+        yield pa.RecordBatch.from_arrays([b.column("f").take(pa.array(to)), pa.array(k.view(np.int64)), *(pa.array(x[to]) for x in sig), pa.array(ids[to])], names=["f", "k", "s0", "s1", "id"])
 
 
 _LANE_ONES = np.uint64(sum(1 << (BITS * i) for i in range(PER_LONG)))
-_ONE, _TWO, _FOUR = np.uint64(1), np.uint64(2), np.uint64(4)
+_ONE, _TWO = np.uint64(1), np.uint64(2)
 
 
 def _equal_lanes(d: np.ndarray) -> np.ndarray:
-    """One bit for each six-bit lane of ``d`` that is zero, at the lane's start."""
+    """One bit for each four-bit lane of ``d`` that is zero, at the lane's start."""
     y = d | (d >> _ONE)
-    return ~(y | (y >> _TWO) | (y >> _FOUR)) & _LANE_ONES
+    return ~(y | (y >> _TWO)) & _LANE_ONES
 
 
 def _collisions(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """How many lanes of packed signatures (columns s0, s1, s2) are equal."""
-    m = _equal_lanes(x[0] ^ y[0])
-    m |= _equal_lanes(x[1] ^ y[1]) << _ONE
-    m |= _equal_lanes(x[2] ^ y[2]) << _TWO
-    return np.bitwise_count(m)
+    """How many lanes of packed signatures (columns s0, s1) are equal."""
+    return np.bitwise_count(_equal_lanes(x[0] ^ y[0]) | (_equal_lanes(x[1] ^ y[1]) << _ONE))
+
 
+def _partners(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each posting of lists one after another, from where to where its partners stand: those behind it, or the list's other block."""
+    n = len(k)
+    bounds = np.flatnonzero(np.r_[True, k[1:] >> 1 != k[:-1] >> 1])
+    sizes = np.diff(np.r_[bounds, n])
+    ends = np.repeat(bounds + sizes, sizes)
+    second = (k & 1).astype(bool)
+    seconds = np.repeat(np.add.reduceat(second.astype(np.int64), bounds), sizes)
+    first = np.where(seconds > 0, ends - seconds, np.arange(n) + 1)
+    return first, np.where((seconds > 0) & second, first, ends)
 
-def _merge(f: np.ndarray, ids: np.ndarray, sig: list[np.ndarray], sizes: np.ndarray, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs within each list (``sizes`` rows, one after another) whose signatures collide enough.
 
-    Short lists are merged together, about ``block`` pairs at a time; a long one row by row against those that follow it.
+def _merge(sig: list[np.ndarray], first: np.ndarray, last: np.ndarray, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of a row and one of its partners (``first`` to before ``last``) whose signatures collide enough.
+
+    Rows with few partners are merged together, about ``block`` pairs at a time; one with many by itself.
     """
-    ends = np.cumsum(sizes)
-    long_ = sizes > 256
-    for k in np.flatnonzero(long_):
-        lo, hi = int(ends[k] - sizes[k]), int(ends[k])
-        for i in range(lo, hi - 1):
-            for at in range(i + 1, hi, block):
-                to = min(hi, at + block)
-                hit = np.flatnonzero(_collisions([c[i] for c in sig], [c[at:to] for c in sig]) >= NEED)
-                if len(hit):
-                    yield np.full(len(hit), i), hit + at
-    rows = np.arange(len(ids))
-    after = np.where(np.repeat(long_, sizes), 0, np.repeat(ends, sizes) - rows - 1)
-    total = np.cumsum(after)
+    n = np.maximum(last - first, 0)
+    many = n > 256
+    for i in np.flatnonzero(many):
+        lo, hi = int(first[i]), int(last[i])
+        hit = np.flatnonzero(_collisions([c[i] for c in sig], [c[lo:hi] for c in sig]) >= NEED)
+        if len(hit):
+            yield np.full(len(hit), i), hit + lo
+    n = np.where(many, 0, n)
+    total = np.cumsum(n)
     start = 0
-    while start < len(rows):
+    while start < len(n):
         end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + block, "right")))
-        n = after[start:end]
-        a = np.repeat(rows[start:end], n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        m = n[start:end]
+        a = np.repeat(np.arange(start, end), m)
+        b = np.repeat(first[start:end], m) + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
         hit = _collisions([c[a] for c in sig], [c[b] for c in sig]) >= NEED
         if hit.any():
             yield a[hit], b[hit]
@@ -171,16 +196,11 @@ def _merge(f: np.ndarray, ids: np.ndarray, sig: list[np.ndarray], sizes: np.ndar
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each posting list whose signatures collide enough, from postings sorted by key.
-
-    Memory is one list's rows and a block of pairs.
-    """
+    """Candidates (f, a, b) of each posting list, from postings sorted by key. Memory is one list's rows and a block of pairs."""
 
     def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, f, ids = part[:3]
-        bounds = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        sig = [c.view(np.uint64) for c in part[3:]]
-        for a, b in _merge(f, ids, sig, np.diff(np.r_[bounds, len(k)])):
+        f, k, s0, s1, ids = part
+        for a, b in _merge([s0.view(np.uint64), s1.view(np.uint64)], *_partners(k)):
             x, y = ids[a], ids[b]
             ok = (f[a] == f[b]) & (x != y)
             yield pa.RecordBatch.from_arrays([pa.array(f[a][ok]), pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], names=["f", "a", "b"])
@@ -190,23 +210,28 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        if last == 0 and held and held[-1][0][0] == rows[0][0]:
+        lists = rows[1] >> 1
+        last = int(np.searchsorted(lists, lists[-1]))
+        if last == 0 and held and held[-1][1][0] >> 1 == lists[0]:
             held.append(rows)
             continue
-        whole = [np.concatenate([*(h[c] for h in held), rows[c][:last]]) for c in range(6)]
+        whole = [np.concatenate([*(h[c] for h in held), rows[c][:last]]) for c in range(5)]
         held = [[c[last:] for c in rows]]
         if len(whole[0]):
             yield from out(whole)
     if held:
-        yield from out([np.concatenate([h[c] for h in held]) for c in range(6)])
+        yield from out([np.concatenate([h[c] for h in held]) for c in range(5)])
 
 
 def _verify(batches: Iterator[pd.DataFrame], shingle: int, threshold: float) -> Iterator[pd.DataFrame]:
+    @lru_cache(256)
+    def shingles(text: str) -> frozenset:
+        return frozenset(shingle_set(text, shingle))
+
     for b in batches:
         keep = []
         for x, y in zip(b["ta"], b["tb"]):
-            p, q = shingle_set(x, shingle), shingle_set(y, shingle)
+            p, q = shingles(x), shingles(y)
             n = len(p & q)
             keep.append(n / (len(p) + len(q) - n))
         out = b[["field", "a", "b"]].assign(similarity=keep)
@@ -222,18 +247,18 @@ class NearDuplicates:
     columns are not read; an empty table gives empty results.
     """
 
-    def __init__(self, rows: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, buckets: int = BUCKETS, long_list: int = LONG_LIST) -> None:
+    def __init__(self, rows: DataFrame, shingle: int = SHINGLE, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, buckets: int = BUCKETS, block: int = BLOCK, copies: int = COPIES) -> None:
         spark = rows.sparkSession
+        code = F.hash("field").alias("f")  # the field as a number
         stage = cut(signed(rows, shingle, min_words), "signed")
-        reps = stage.groupBy("field", "cls").agg(F.min("id").alias("rep"))
+        reps = stage.groupBy("field", "cls").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
         self.members = cut(stage.select("field", "id", "grp", "cls").join(reps, ["field", "cls"]).drop("cls"), "members")
-        firsts = self.members.where("id = rep").select("field", "id")
-        lean = stage.select("field", "id", "s0", "s1", "s2", "keys").join(firsts, ["field", "id"], "left_semi")
-        is_long = spark.sparkContext.broadcast(_long_lists(stage.select("keys"), buckets, long_list))
-        # the field as a number; index keys are salted by field besides
-        code = F.hash("field").alias("f")
-        posts = lean.select("id", code, "s0", "s1", "s2", "keys").mapInArrow(lambda b: _post(b, is_long, buckets), "k bigint, id bigint, f int, s0 bigint, s1 bigint, s2 bigint")
-        lists = posts.select("k", "f", "id", "s0", "s1", "s2").repartition("k").sortWithinPartitions("k")
+        self.copies = copies
+        lean = cut(stage.select(code, "field", "id", "lanes").join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").select("f", "id", "lanes"), "representatives")
+        order = spark.sparkContext.broadcast(_sketch(lean, buckets))
+        sizes = spark.sparkContext.broadcast(_sketch(lean, buckets, order))
+        posts = lean.mapInArrow(lambda b: _post(b, order, sizes, block), "f int, k bigint, s0 bigint, s1 bigint, id bigint")
+        lists = posts.repartition(F.shiftright("k", 1)).sortWithinPartitions("k")
         pairs = lists.mapInArrow(_lists, "f int, a bigint, b bigint").distinct()
         text = rows.select(F.col("field").cast("string").alias("field"), F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("t")).withColumn("f", code)
         first = text.select("f", F.col("id").alias("a"), "field", F.col("t").alias("ta"))
@@ -244,12 +269,17 @@ class NearDuplicates:
     def expanded(self) -> DataFrame:
         """(field, id_a, id_b), id_a < id_b: all pairs of near-duplicate rows of different groups.
 
-        Copies are expanded here and nowhere else. Rows of unknown group are in no pair.
+        Copies are expanded here and nowhere else. The members of a class are joined in blocks of about ``copies``
+        rows, so no key of a join has more of them, however large a class is. Rows of unknown group are in no pair.
         """
-        m = self.members.where("grp is not null")
-        a = m.select("field", F.col("rep").alias("a"), F.col("id").alias("ia"), F.col("grp").alias("ga"))
-        b = m.select("field", F.col("rep").alias("b"), F.col("id").alias("ib"), F.col("grp").alias("gb"))
-        linked = self.pairs.select("field", "a", "b").join(a, ["field", "a"]).join(b, ["field", "b"])
-        copies = a.join(b.withColumnRenamed("b", "a"), ["field", "a"]).where("ia < ib")
-        out = linked.where("ga <> gb").select("field", "ia", "ib").unionByName(copies.where("ga <> gb").select("field", "ia", "ib"))
+        blocks = F.ceil(F.col("n") / self.copies).cast("int")
+        m = self.members.where("grp is not null").select("field", "rep", "id", "grp", F.pmod(F.hash("id"), blocks).alias("part"))
+        large = self.members.where((F.col("id") == F.col("rep")) & (F.col("n") > self.copies)).select("field", "rep", blocks.alias("parts"))
+        own = self.members.where("id = rep and n > 1").select("field", F.col("rep").alias("a"), F.col("rep").alias("b"))
+        out = self.pairs.select("field", "a", "b").unionByName(own)
+        for side in "ab":
+            many = large.select("field", F.col("rep").alias(side), "parts")
+            out = out.join(many, ["field", side], "left").withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+            out = out.join(m.select("field", F.col("rep").alias(side), F.col("part").alias(f"part_{side}"), F.col("id").alias(f"i{side}"), F.col("grp").alias(f"g{side}")), ["field", side, f"part_{side}"])
+        out = out.where("ga <> gb and (a <> b or ia < ib)")
         return out.select("field", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))

@@ -46,8 +46,8 @@ def test_against_brute_force(spark):
     want = brute(data)
     assert len(want) > 500
     assert rows(N.NearDuplicates(frame(spark, data)).expanded()) == want
-    # every list long: texts meet under pairs of values only
-    assert rows(N.NearDuplicates(frame(spark, data), long_list=0, buckets=64).expanded()) == want
+    # a sketch that tells nothing, every list and every class of copies split
+    assert rows(N.NearDuplicates(frame(spark, data), buckets=1, block=2, copies=7).expanded()) == want
 
 
 def test_members_and_pairs(spark):
@@ -70,18 +70,38 @@ def test_lists_are_merged_whole():
     rng = np.random.default_rng(0)
     for sizes in ([1, 5, 300, 2, 1, 700], [1], [2, 2]):
         n = sum(sizes)
-        sig = [rng.integers(0, 2, n).astype(np.uint64) * np.uint64((1 << 60) - 1) for _ in range(3)]
-        got = {(int(x), int(y)) for a, b in N._merge(np.zeros(n), np.arange(n), sig, np.array(sizes), block=97) for x, y in zip(a, b)}
-        want, at = set(), 0
-        for s in sizes:
-            want |= {(i, j) for i in range(at, at + s) for j in range(i + 1, at + s) if sum(int(c[i] == c[j]) for c in sig) * 10 >= N.NEED}
-            at += s
-        assert got == want
+        sig = [rng.integers(0, 2, n).astype(np.uint64) * np.uint64((1 << 60) - 1) for _ in range(2)]
+        for split in (False, True):
+            side = np.concatenate([np.sort(rng.integers(0, 2 if split else 1, s)) for s in sizes])
+            k = np.repeat(np.arange(len(sizes)), sizes) * 2 + side
+            got = [(int(x), int(y)) for a, b in N._merge(sig, *N._partners(k), block=97) for x, y in zip(a, b)]
+            want, at = set(), 0
+            for s in sizes:
+                part = range(at, at + s)
+                both = len({side[i] for i in part}) > 1
+                want |= {(i, j) for i in part for j in part if i < j and (side[i] < side[j] or not both) and sum(15 * int(c[i] == c[j]) for c in sig) >= N.NEED}
+                at += s
+            assert len(got) == len(set(got))
+            # a list whose rows are all of the second side has no pairs of its own
+            alone = {p for p in want if side[p[0]] == side[p[1]] == 1}
+            assert set(got) | alone == want
 
 
 def test_lanes_are_counted_alone():
     rng = np.random.default_rng(1)
-    lanes = rng.integers(0, 64, (2, 500, 30)).astype(np.uint64)
+    lanes = rng.integers(0, 16, (2, 500, 30)).astype(np.uint64)
     lanes[1, :, ::3] = lanes[0, :, ::3]
-    pack = lambda v: [np.bitwise_or.reduce(v[:, j : j + 10] << (np.uint64(6) * np.arange(10, dtype=np.uint64)), axis=1) for j in (0, 10, 20)]
+    pack = lambda v: [np.bitwise_or.reduce(v[:, j : j + 15] << (np.uint64(4) * np.arange(15, dtype=np.uint64)), axis=1) for j in (0, 15)]
     assert (N._collisions(pack(lanes[0]), pack(lanes[1])) == (lanes[0] == lanes[1]).sum(1)).all()
+
+
+def test_prefixes_lose_no_candidate():
+    """Rows with NEED equal coordinates share a key of their prefixes, whatever the sketch says."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = rng.integers(0, 1 << 62, (2, N.LANES)).astype(np.uint64)
+        same = rng.choice(N.LANES, N.NEED, replace=False)
+        b[same] = a[same]
+        keys = np.stack([a, b])
+        at = N._prefix(keys, rng.integers(0, 5, 64))
+        assert set(a[at[0]]) & set(b[at[1]])
