@@ -119,7 +119,9 @@ class Mojibake:
     @staticmethod
     def _originals(vocabulary: DataFrame, sources: DataFrame | None = None) -> DataFrame:
         """(word, original, chain) of the words that are a garbled form of a likelier word of ``sources``."""
-        forms = (vocabulary if sources is None else sources).select("word", "n").mapInPandas(_forms, "form string, original string, n_original bigint, chain string")
+        # repartitioned, as garbling is the work here and adaptive execution puts a short list of words into one task
+        words = (vocabulary if sources is None else sources).select("word", "n")
+        forms = words.repartition(words.sparkSession.sparkContext.defaultParallelism, "word").mapInPandas(_forms, "form string, original string, n_original bigint, chain string")
         hit = vocabulary.join(forms, vocabulary["word"] == forms["form"])
         likelier = (F.col("n_original") >= F.col("n")) | (F.length("word") > F.length("original"))
         best = hit.where(likelier).groupBy("word").agg(F.max_by(F.struct("original", "chain"), F.struct("n_original", "original")).alias("b"))

@@ -130,10 +130,10 @@ def _vote(left: DataFrame, right: DataFrame, rules: tuple[str, ...] = ("tbn", "b
 
 
 class AccountLinks:
-    """Report accounts matched with the account nodes of bills and with ground-truth rows.
+    """Report accounts matched with the nodes of bills and with ground-truth rows.
 
-    ``nodes`` (node_id, bill_id, match_path, header_text, body_text) are the account nodes of first
-    versions. NULL attributes match nothing; repeated rows each get their match; empty tables give
+    ``nodes`` (node_id, bill_id, match_path, header_text, body_text) are all nodes of first versions, whatever they
+    are; rows of one path are one entity. NULL attributes match nothing; repeated rows each get their match; empty tables give
     no matches; other columns are not read.
     """
 
@@ -178,15 +178,18 @@ class AccountLinks:
         self.all = cut(self.resolved.unionByName(late), "links")
 
     def confidence(self) -> DataFrame:
-        """Each rule's smoothed precision on ground-truth rows whose bill path is known."""
+        """Each rule's smoothed precision on the ground-truth rows with a known path that it resolved to a node.
+
+        Matches with accounts that no node shows have no label and are not counted.
+        """
         paths = self.nodes.select("scope", "pathkey", "rid").distinct()
         labels = self.truth.where("pathkey is not null").join(paths, ["scope", "pathkey"]).select(F.concat(F.lit("v"), F.col("lid").cast("string")).alias("lid"), "rid")
-        return rule_confidence(self.all, labels)
+        return rule_confidence(self.resolved.where(F.col("lid").startswith("v")), labels)
 
     def links(self) -> DataFrame:
         """(account_id, other_table, other_id, confidence), the confidence being that of the weaker rule used."""
         conf = self.confidence().select("rule", "confidence")
-        scored = self.all.join(conf, "rule", "left")
+        scored = self.all.join(F.broadcast(conf), "rule", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))  # a row a rule
         mine = self.entities.join(scored.select(F.col("lid").alias("aid"), F.col("confidence").alias("ca")), "aid", "left")
         to_nodes = mine.join(self.nodes.select("rid", F.col("node_id").alias("other_id")), "rid").select("account_id", F.lit("bill_nodes").alias("other_table"), "other_id", F.col("ca").alias("confidence"))
         rows = scored.where(F.col("lid").startswith("v")).select("rid", F.expr("cast(substring(lid, 2) as bigint)").alias("other_id"), F.col("confidence").alias("cv"))

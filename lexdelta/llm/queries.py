@@ -95,7 +95,7 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, d: str) -> linkage.AccountLinks:
-    nodes = first_version(spark, d, "node_id", "match_path", "header_text", "body_text", "tag").where(F.col("tag").startswith("appropriations"))
+    nodes = first_version(spark, d, "node_id", "match_path", "header_text", "body_text")
     return linkage.AccountLinks(table(spark, d, "report_accounts"), nodes, table(spark, d, "validation_defense"))
 
 
