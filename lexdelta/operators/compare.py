@@ -96,10 +96,15 @@ def move_candidates(changes: DataFrame, threshold: float = K.MOVE_FROM) -> DataF
     """(pair_id, ro, ao, sim): removed and added texts of one pair whose ratio reaches ``threshold``.
 
     Two texts of similarity t share at least t/(2-t) of the larger one's words, so it is enough to join on
-    the rarest words of each (a prefix filter that loses nothing); lengths and then the exact ratio decide.
+    the rarest words of each (a prefix filter that loses nothing); lengths and then the exact ratio decide. Of pairs of
+    empty texts, which all have ratio 1, only those are given that the assignment takes.
     """
-    side = lambda kind, node, o: changes.where(F.col("change_type") == kind).select("pair_id", F.col("change_ord").alias(o), collapse(f"{node}.body_text").alias("norm")).where("norm <> ''")
-    removed, added = side("removed", "old", "ro"), side("added", "new", "ao")
+    side = lambda kind, node, o: changes.where(F.col("change_type") == kind).select("pair_id", F.col("change_ord").alias(o), collapse(f"{node}.body_text").alias("norm"))
+    gone, come = side("removed", "old", "ro"), side("added", "new", "ao")
+    # empty texts are wholly alike: the ones that greedy assignment takes are the last with the last, and so on
+    last = lambda df, o: df.where("norm = ''").withColumn("nth", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc(o)))).drop("norm")
+    empty = last(gone, "ro").join(last(come, "ao"), ["pair_id", "nth"]).select("pair_id", "ro", "ao", F.lit(1.0).alias("sim"))
+    removed, added = gone.where("norm <> ''"), come.where("norm <> ''")
     r, a = _bag(removed, "ro"), _bag(added, "ao")
     freq = r.select("pair_id", "tok").unionByName(a.select("pair_id", "tok")).groupBy("pair_id", "tok").agg(F.count("*").alias("df"))
     need = threshold / (2 - threshold)
@@ -115,7 +120,7 @@ def move_candidates(changes: DataFrame, threshold: float = K.MOVE_FROM) -> DataF
     short, long_ = F.least("ro_size", "ao_size"), F.greatest("ro_size", "ao_size")
     pairs = pairs.where(2.0 * short >= threshold * (short + long_)).select("pair_id", "ro", "ao").distinct()
     texts = pairs.join(removed.withColumnRenamed("norm", "rt"), ["pair_id", "ro"]).join(added.withColumnRenamed("norm", "at"), ["pair_id", "ao"])
-    return texts.withColumn("sim", udfs.seq_ratio_move("rt", "at")).where(F.col("sim") >= threshold).select("pair_id", "ro", "ao", "sim")
+    return texts.withColumn("sim", udfs.seq_ratio_move("rt", "at")).where(F.col("sim") >= threshold).select("pair_id", "ro", "ao", "sim").unionByName(empty)
 
 
 def assign_moves(candidates: DataFrame) -> DataFrame:

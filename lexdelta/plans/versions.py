@@ -113,7 +113,7 @@ def _norm(c: str) -> str:
 select pair_id, array_to_string(match_path, ' > ') path_text, o = n same, case when o <> n then '--- old' || chr(10) || '+++ new' || chr(10) || '@@ -' || case when o = '' then '0,0' else '1' end || ' +' || case when n = '' then '0,0' else '1' end || ' @@' || case when o = '' then '' else chr(10) || '-' || o end || case when n = '' then '' else chr(10) || '+' || n end else '' end diff from g""")
 def one_to_one_status(spark: SparkSession, d: str) -> DataFrame:
     """Unified diffs of the paths both versions have once."""
-    m = C.match_nodes(pair_nodes(spark, d)).where("old is not null and new is not null and k = 0")
-    w = C.side_nodes(pair_nodes(spark, d)).groupBy("pair_id", "match_path").agg(F.count("*").alias("n")).where("n = 2")
-    o, n = C.collapse("old.body_text"), C.collapse("new.body_text")
-    return m.join(w, ["pair_id", "match_path"], "left_semi").select("pair_id", F.array_join("match_path", " > ").alias("path_text"), (o == n).alias("same"), F.array_join(C.unified_diff(o, n), "\n").alias("diff"))
+    text = lambda side: F.max(F.when(F.col("side") == side, C.collapse("body_text")))
+    n = lambda side: F.count_if(F.col("side") == side)
+    g = C.side_nodes(pair_nodes(spark, d)).groupBy("pair_id", "match_path").agg(n("old").alias("a"), n("new").alias("b"), text("old").alias("o"), text("new").alias("n")).where("a = 1 and b = 1")
+    return g.select("pair_id", F.array_join("match_path", " > ").alias("path_text"), (F.col("o") == F.col("n")).alias("same"), F.array_join(C.unified_diff(F.col("o"), F.col("n")), "\n").alias("diff"))

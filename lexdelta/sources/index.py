@@ -49,19 +49,23 @@ def by_id(index: DataFrame, congress: int, bill_type: str, number: int) -> DataF
     return index.where(F.col("id") == f"{congress}-{bill_type}-{number}")
 
 
-def upsert(index: DataFrame, batch: DataFrame, mode: str = "merge") -> DataFrame:
+def upsert(index: DataFrame, batch: DataFrame, mode: str = "merge", order: str | None = None) -> DataFrame:
     """``batch`` put into ``index`` by ``id``: ``skip`` keeps known records, ``merge`` overwrites the batch's columns in them.
 
     Columns that are new to one side are ``""`` there; the batch's columns come first. A record without id stops it.
-    Merging overwrites with empty values too. One full outer join on ``id``.
+    Merging overwrites with empty values too. Of several records of a known id the last counts, by ``order`` or as read;
+    several of a new id are all put in. One window over the batch and one full outer join, both on ``id``.
     """
     if mode not in ("skip", "merge"):
         raise ValueError("mode is 'skip' or 'merge'")
-    b = batch.select(*(F.col(c).cast("string").alias(c) for c in batch.columns)).withColumn("id", F.when(F.coalesce("id", F.lit("")) == "", F.raise_error(F.lit("a record has no id"))).otherwise(F.col("id")))
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    b = batch.select(*(F.col(c).cast("string").alias(c) for c in batch.columns), at.alias("_at")).withColumn("id", F.when(F.coalesce("id", F.lit("")) == "", F.raise_error(F.lit("a record has no id"))).otherwise(F.col("id")))
+    b = b.withColumn("_from_last", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_at")))).drop("_at")
     i = index.select(*(F.col(c).cast("string").alias(c) for c in index.columns))
     columns = [*batch.columns, *(c for c in index.columns if c not in batch.columns)]
     j = i.alias("i").join(b.alias("b"), F.col("i.id") == F.col("b.id"), "full")
     known = F.col("i.id").isNotNull()
+    j = j.where(~known | F.coalesce(F.col("b._from_last") == 1, F.lit(True)))
 
     def pick(c: str) -> Column:
         old = F.coalesce(F.col(f"i.{c}"), F.lit("")) if c in i.columns else F.lit("")

@@ -1,5 +1,6 @@
 """The comparison pipeline against a direct one over Python lists, and its invariants."""
 
+import difflib
 import random
 from collections import Counter
 
@@ -18,29 +19,49 @@ def div(label):
     return norm(label.split(":", 1)[1].lower()) if ":" in (label or "") else ""
 
 
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, norm(a).split(), norm(b).split()).ratio()
+
+
+def claim(lefts, rights, allowed, score):
+    """Again and again the best pair that is free; of equal ones the later."""
+    made, lefts, rights = [], list(lefts), list(rights)
+    while open_ := [(score(x, y), i, j) for i, x in enumerate(lefts) for j, y in enumerate(rights) if x is not None and y is not None and allowed(x, y)]:
+        _, i, j = max(open_)
+        made.append((lefts[i], rights[j]))
+        lefts[i] = rights[j] = None
+    return made, [x for x in lefts if x], [y for y in rights if y]
+
+
+def collide(a, b):
+    order = list(dict.fromkeys(div(n[8]) for n in (*a, *b)))
+    a, b = (sorted(x, key=lambda n: order.index(div(n[8]))) for x in (a, b))
+    score = lambda x, y: ratio(x[6], y[6])
+    same, a, b = claim(a, b, lambda x, y: div(x[8]) == div(y[8]), score)
+    apart, a, b = claim(a, b, lambda x, y: True, score)
+    return [*sorted(same, key=lambda p: order.index(div(p[0][8]))), *apart, *((x, None) for x in a), *((None, y) for y in b)]
+
+
 def plain(old, new):
-    """Changes of one pair as (type, old id, new id) in order, worked out on lists."""
+    """Changes of one pair as (type, old id, new id) in order, worked out on lists by the standard library alone."""
     paths = dict.fromkeys([tuple(n[3]) for n in old] + [tuple(n[3]) for n in new])
     changes = []
     for p in paths:
         a, b = [n for n in old if tuple(n[3]) == p], [n for n in new if tuple(n[3]) == p]
-        pairs = [(0 if a else None, 0 if b else None)] if len(a) <= 1 and len(b) <= 1 else K.pair_collisions([(div(n[8]), norm(n[6])) for n in a], [(div(n[8]), norm(n[6])) for n in b])
-        for i, j in pairs:
-            o, n = (a[i] if i is not None else None), (b[j] if j is not None else None)
+        for o, n in [((a or [None])[0], (b or [None])[0])] if len(a) <= 1 and len(b) <= 1 else collide(a, b):
             if o and n:
                 if norm(o[6]) == norm(n[6]):
                     changes.append(("unchanged", o, n))
-                elif K.seq_ratio(norm(o[6]), norm(n[6])) < 0.4:
+                elif ratio(o[6], n[6]) < 0.4:
                     changes += [("removed", o, None), ("added", None, n)]
                 else:
                     changes.append(("modified", o, n))
             else:
                 changes.append(("removed" if o else "added", o, n))
     gone, come = [c for c in changes if c[0] == "removed"], [c for c in changes if c[0] == "added"]
-    cands = [(s, i, j) for i, r in enumerate(gone) for j, x in enumerate(come) if (s := K.seq_ratio(norm(r[1][6]), norm(x[2][6]))) >= 0.6 and norm(r[1][6])]
-    moved = K.greedy_pairs(cands)
-    used = [id(gone[i]) for _, i, _ in moved] + [id(come[j]) for _, _, j in moved]
-    out = [c for c in changes if id(c) not in used] + [("moved", gone[i][1], come[j][2]) for _, i, j in moved]
+    moved, _, _ = claim(gone, come, lambda r, x: ratio(r[1][6], x[2][6]) >= 0.6, lambda r, x: ratio(r[1][6], x[2][6]))
+    used = {id(c) for pair in moved for c in pair}
+    out = [c for c in changes if id(c) not in used] + [("moved", r[1], x[2]) for r, x in moved]
     return [(t, o[5] if o else "", n[5] if n else "") for t, o, n in out]
 
 
@@ -48,7 +69,9 @@ def version(rnd, pair, side, n, texts):
     out = []
     for i in range(n):
         t = list(rnd.choice(texts))
-        for _ in range(rnd.choice([0, 0, 1, 3])):
+        if rnd.random() < 0.15:
+            t = [" "]  # an empty text
+        for _ in range(rnd.choice([0, 0, 1, 3]) if t != [" "] else 0):
             t[rnd.randrange(len(t))] = rnd.choice("uvwxyz")
         path = [rnd.choice(["a", "b"]), f"sec. {rnd.randrange(12)}"][: rnd.randrange(3)]
         out.append((pair, side, i, path, path, f"{side}{i}", (" " if rnd.random() < 0.7 else "\n").join(t), f"Sec. {i}" if rnd.random() < 0.5 else "", rnd.choice(["", "Division A: X", "Division B: X", "Division B: Y"])))

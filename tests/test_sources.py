@@ -57,6 +57,14 @@ def index(spark):
     return spark.createDataFrame([("119-hr-1", "One", "007"), ("119-hr-10", "Ten", ""), ("118-s-1", "Old", "x")], "id string, title string, n string")
 
 
+def test_upsert_with_repeated_ids(spark):
+    batch = spark.createDataFrame([("119-hr-1", "first"), ("9-hr-9", "a"), ("119-hr-1", "last"), ("9-hr-9", "b")], "id string, title string").coalesce(1)
+    got = [tuple(r) for r in I.upsert(index(spark), batch).select("id", "title").collect()]
+    assert sorted(t for i, t in got if i == "119-hr-1") == ["last"] and sorted(t for i, t in got if i == "9-hr-9") == ["a", "b"]
+    assert [r["title"] for r in I.upsert(index(spark), batch, order="title").where("id = '119-hr-1'").collect()] == ["last"]
+    assert [r["title"] for r in I.upsert(index(spark), batch, "skip").where("id = '119-hr-1'").collect()] == ["One"]
+
+
 def test_upsert(spark):
     batch = spark.createDataFrame([("119-hr-1", "", "new"), ("119-s-2", "Two", None)], "id string, title string, extra string")
     assert rows(I.upsert(index(spark), batch)) == {("119-hr-1", "", "new", "007"), ("119-hr-10", "Ten", "", ""), ("118-s-1", "Old", "", "x"), ("119-s-2", "Two", "", "")}
