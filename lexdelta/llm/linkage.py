@@ -30,7 +30,7 @@ ABBREVIATIONS = {
 _SMALL = ("and", "of", "the", "for")
 
 #: Combinations of keys from strong to weak. t: title, b: bureau, v: amount, q: amount within a sixth, n: name's
-#: words, l: name's letters, e: letters but one, w: words but one, i: initials, p: openings of words.
+#: words, l: name's letters, e: letters with one more or less, w: words but one, i: initials, p: openings of words.
 PASSES = (("tbn", "bn", "tnv", "nv", "tnq", "nq"), ("bl", "lv", "ev", "be", "teq", "eq"), ("bw", "wv", "twq", "bi", "iv", "bpv", "pv", "tn", "n"))
 
 
@@ -52,8 +52,13 @@ def keyed(df: DataFrame, title: Column, bureau: Column, name: Column, amount: Co
     added for each degree up to tens of millions, so figures printed in different units can meet.
     """
     df = df.withColumns({"_w": name_words(name), "_amt": F.abs(amount), "_dig": digits})
-    letters = F.array_join(F.array_sort(F.split(F.array_join("_w", ""), "")), "")
-    df = df.withColumns({"n": F.when(F.size("_w") > 0, F.array_join(F.array_sort("_w"), " ")), "l": F.when(F.size("_w") > 0, F.trim(letters))})
+    # a name's letters are the sum of their numbers, so their order does not count, and one more or less is a sum too
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(_SUM))
+    letters = F.filter(F.split(F.array_join("_w", ""), ""), lambda c: c != "")
+    df = df.withColumn("_l", letters).withColumns({"n": F.when(F.size("_w") > 0, F.array_join(F.array_sort("_w"), " ")), "l": F.when(F.size("_l") > 0, F.aggregate("_l", F.lit(0).cast("bigint"), lambda a, c: F.pmod(a + number(c), F.lit(_SUM))))})
+    alphabet = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz"))
+    fewer = F.transform(F.array_distinct("_l"), lambda c: F.pmod(F.col("l") - number(c) + F.lit(_SUM), F.lit(_SUM)))
+    more = F.transform(alphabet, lambda c: F.pmod(F.col("l") + number(c), F.lit(_SUM)))
     bureau_words = F.filter(F.regexp_extract_all(F.lower(bureau), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: ~w.isin(*_SMALL))
     less_one = lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.array_sort(F.filter(w, lambda x, j: j != i - 1)), " "))
     return df.withColumns({
@@ -61,21 +66,27 @@ def keyed(df: DataFrame, title: Column, bureau: Column, name: Column, amount: Co
         "b": F.when(F.size(bureau_words) > 0, F.array_join(F.array_sort(bureau_words), " ")),
         "v": F.when(F.col("_amt") > 0, F.transform(F.filter(F.array(*map(F.lit, (3, 4, 5, 6, 7))), lambda r: r >= F.col("_dig")), lambda r: F.concat_ws(":", r.cast("string"), F.round(F.col("_amt") / F.pow(F.lit(10.0), r)).cast("bigint").cast("string")))),
         "q": F.when(F.col("_amt") > 0, F.expr("array(floor(ln(_amt) / ln(1.15)), floor(ln(_amt) / ln(1.15)) + 1)")),
-        "e": F.when(F.length("l") > 4, F.expr("array_append(transform(filter(array_distinct(split(l, '')), c -> c <> ''), c -> overlay(l placing '' from locate(c, l) for 1)), l)")),
+        "e": F.when(F.size("_l") > 4, F.concat(F.array("l"), fewer, more)),
         "w": F.when(F.size("_w") > 2, F.array_append(less_one(F.col("_w")), F.col("n"))),
         "i": F.when(F.size("_w") > 1, F.array_join(F.array_sort(F.transform("_w", lambda x: x.substr(1, 1))), "")),
         "p": F.when(F.size("_w") > 0, F.array_distinct(F.transform("_w", lambda x: x.substr(1, 3)))),
-    }).drop("_w", "_amt", "_dig")
+    }).drop("_w", "_l", "_amt", "_dig")
 
 
 KEYS = ("t", "b", "v", "q", "n", "l", "e", "w", "i", "p")
 _MANY = {"v", "q", "e", "w", "p"}
+_SUM = 1 << 61
 
 
-def _keys(rules: tuple[str, ...], first: int, finest: bool, scope: str = "scope") -> Column:
-    """ARRAY<STRUCT<r, k>>: the key combinations of ``rules``, numbered from ``first`` and hashed with number and scope; ``finest`` takes the first amount key only."""
-    parts = []
+def _keys(rules: tuple[str, ...], first: int, left: bool, scope: str = "scope") -> Column:
+    """ARRAY<STRUCT<r, k>>: the key combinations of ``rules``, numbered from ``first`` and hashed with number and scope.
+
+    The left side has its finest amount key only, and all names one letter away; the right side, which has more rows, all
+    amount keys and the name as it is.
+    """
+    finest, parts = left, []
     for r, rule in enumerate(rules, first):
+        rule = rule if left else rule.replace("e", "l")
         many = [c for c in rule if c in _MANY and not (c == "v" and finest)]
         names = ", ".join(f"x_{c}" if c in many else "v[0]" if c == "v" else c for c in rule)
         expr = f"struct({r} as r, xxhash64({scope}, {r}, {names}) as k)"
