@@ -14,7 +14,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def serialise(nodes: DataFrame) -> DataFrame:
-    """(doc_id, line_no, text, kind, label, element_id, start_char, body_start, body_end): full text, a row a line.
+    """(doc_id, node_ord, line_no, text, kind, label, element_id, start_char, body_start, body_end): full text, a row a line.
 
     A node gives the part of its path that the node before had not, then its header if it has no path, then its body
     (with ``SEC. N.`` before a section's), each heading and body set apart by a blank line. Offsets count code points.
@@ -44,7 +44,7 @@ def serialise(nodes: DataFrame) -> DataFrame:
     start = F.sum("step").over(o.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text") - 1
     rows = rows.withColumn("start_char", start).withColumn("line_no", F.row_number().over(o) - 1 + F.sum("blank").over(o.rowsBetween(Window.unboundedPreceding, 0)))
     is_body = F.col("kind").isin("section", "body")
-    return rows.select("doc_id", "line_no", "text", "kind", "label", "element_id", "start_char", F.when(is_body, F.col("start_char") + F.col("prefix")).alias("body_start"), F.when(is_body, F.col("start_char") + F.length("text")).alias("body_end"), "blank")
+    return rows.select("doc_id", "node_ord", "line_no", "text", "kind", "label", "element_id", "start_char", F.when(is_body, F.col("start_char") + F.col("prefix")).alias("body_start"), F.when(is_body, F.col("start_char") + F.length("text")).alias("body_end"), "blank")
 
 
 def full_text(lines: DataFrame) -> DataFrame:
@@ -67,6 +67,11 @@ def body_spans(lines: DataFrame) -> DataFrame:
     return b.groupBy("doc_id", "element_id").agg(F.max_by(F.struct("body_start", "body_end"), "line_no").alias("s")).select("doc_id", "element_id", F.col("s.body_start").alias("start_char"), F.col("s.body_end").alias("end_char"))
 
 
+def item_spans(lines: DataFrame) -> DataFrame:
+    """(doc_id, item_ord, start_char, end_char): the body of each node that has one."""
+    return lines.where("body_start is not null").select("doc_id", F.col("node_ord").alias("item_ord"), F.col("body_start").alias("start_char"), F.col("body_end").alias("end_char"))
+
+
 def range_spans(ranges: DataFrame, shown: DataFrame) -> DataFrame:
     """Adds ``start_char`` and ``end_char`` of page and line ranges by two look-ups; NULL where a line has no number or is not found."""
     at = shown.where("line_number is not null").groupBy("doc_id", "page", "line_number").agg(F.max_by(F.struct("start_char", "end_char"), "line_ord").alias("s"))

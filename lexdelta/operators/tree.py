@@ -97,15 +97,17 @@ def walk(tree: DataFrame) -> DataFrame:
 
 
 def nested_json(tree: DataFrame) -> DataFrame:
-    """(doc_id, tree JSON): nodes nested below their parents; a document a group."""
+    """(doc_id, tree JSON): nodes nested below their parents, with their places where ``container_spans`` gave them; a document a group."""
     import pandas as pd
 
     def nest(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = {r.node_id: {"label": r.label, "level": r.level, "own_amounts": [int(a) for a in r.own_amounts], "full_text_span": None, "children": []} for r in pdf.itertuples()}
+        made = {r.node_id: {"label": r.label, "level": r.level, "own_amounts": [int(a) for a in r.own_amounts], "full_text_span": None if pd.isna(r.start_char) else {"start": int(r.start_char), "end": int(r.end_char)}, "children": []} for r in pdf.itertuples()}
         roots = []
         for r in pdf.sort_values(["sort_ord", "depth", "node_id"]).itertuples():
             (made[r.parent_id]["children"] if r.parent_id in made else roots).append(made[r.node_id])
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "tree": [json.dumps(roots, ensure_ascii=False)]})
 
-    lean = tree.select("doc_id", "node_id", "parent_id", "sort_ord", "depth", "label", "level", "own_amounts")
+    for c in ("start_char", "end_char"):
+        tree = tree if c in tree.columns else tree.withColumn(c, F.lit(None).cast("bigint"))
+    lean = tree.select("doc_id", "node_id", "parent_id", "sort_ord", "depth", "label", "level", "own_amounts", "start_char", "end_char")
     return lean.groupBy("doc_id").applyInPandas(nest, "doc_id string, tree string")

@@ -9,7 +9,7 @@ from lexdelta import api, contract, report
 from lexdelta.operators import anchors as A
 from lexdelta.operators import compare
 from lexdelta.plans.registry import Registry
-from lexdelta.plans.versions import NODES_SQL, bill_docs, pair_nodes, steps
+from lexdelta.plans.versions import DOCS_SQL, bill_docs, steps
 from lexdelta.session import cut
 from lexdelta.sources import print_lines as P
 from lexdelta.sources import xml_bills
@@ -19,29 +19,48 @@ from lexdelta.streaming import ingest
 R = Registry()
 
 
-def _escape(c: str) -> Column:
-    return F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def _escape(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def bill_xml(spark: SparkSession, d: str) -> DataFrame:
-    """(path, content): the sections of every first version as a simple bill."""
-    n = pair_nodes(spark, d).where("side = 'old' and section_number <> '' and body_text <> ''")
-    sec = F.concat(F.lit('<section id="'), F.col("element_id"), F.lit('"><enum>'), F.col("section_number"), F.lit(".</enum><text>"), _escape("body_text"), F.lit("</text></section>"))
-    docs = n.groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_ord", sec.alias("x")))), lambda s: s["x"]), "").alias("x"))
-    return docs.select(F.col("pair_id").alias("path"), F.concat(F.lit("<bill><legis-body>"), F.col("x"), F.lit("</legis-body></bill>")).alias("content"))
+    """(path, content): every version of every bill as XML, its titles and divisions as they first occur, bare sections first."""
+    n = bill_docs(spark, d).where("tag like 'appropriations-%' or tag = 'section'")
+    path = F.coalesce("display_path", F.array().cast("array<string>"))
+    title = F.coalesce(F.get(F.filter(path, lambda x: x.rlike(r"^TITLE\s+[^\s—]+—")), F.lit(0)), F.lit(""))
+    division = F.when((title != "") & F.col("division_label").rlike(r"^Division [A-Z]: "), F.col("division_label")).otherwise("")
+    tag = lambda name, text: F.concat(F.lit(f"<{name}>"), _escape(text), F.lit(f"</{name}>"))
+    number = F.when((F.col("tag") == "section") & (F.coalesce("section_number", F.lit("")) != ""), F.concat(F.lit("<enum>"), F.trim("section_number"), F.lit(".</enum>"))).otherwise("")
+    element = F.concat(F.lit("<"), F.col("tag"), F.lit(' id="'), F.coalesce("element_id", F.lit("")), F.lit('">'), number, tag("header", F.coalesce("header_text", F.lit(""))), tag("text", F.coalesce("body_text", F.lit(""))), F.lit("</"), F.col("tag"), F.lit(">"))
+    n = n.select("doc_id", "node_ord", title.alias("t"), division.alias("v"), element.alias("x")).where("t <> '' or x like '<section%'")
+    part = lambda label, shape, i: F.regexp_extract(label, shape, i)
+    shape, banner = r"^TITLE\s+([^\s—]+)—(.*)$", r"^Division ([A-Z]): (.*)$"
+    head = lambda label, s: F.concat(F.lit("<enum>"), part(label, s, 1), F.lit("</enum>"), tag("header", part(label, s, 2)))
+    inner = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_ord", "x"))), lambda s: s["x"]), "")
+    g = n.groupBy("doc_id", "t", "v").agg(F.min("node_ord").alias("first"), inner.alias("inner"))
+    x = F.when(F.col("t") == "", F.col("inner")).otherwise(F.concat(F.lit("<title>"), head("t", shape), F.col("inner"), F.lit("</title>")))
+    x = F.when(F.col("v") != "", F.concat(F.lit("<division>"), head("v", banner), x, F.lit("</division>"))).otherwise(x)
+    docs = g.select("doc_id", F.struct(F.col("t") != "", F.col("v") != "", "first").alias("at"), x.alias("x")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]), "").alias("x"))
+    return docs.select(F.col("doc_id").alias("path"), F.concat(F.lit("<bill><legis-body>"), F.col("x"), F.lit("</legis-body></bill>")).alias("content"))
 
 
 _MARK = r" (\((?:[0-9]{1,2}|[a-z]{1,4}|[A-Z])\))"
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_ONE = lambda c: f"trim(regexp_replace({c}, '{_WS}', ' ', 'g'))"
+_PLAIN = lambda c: f"regexp_replace({_ONE(c)}, '{_MARK}', '\\1', 'g')"
+# what an account stands under: the last intermediate account of its title; one in brackets bears the name before it
+_PARSED = "with " + DOCS_SQL + f""", n as (select doc_id, node_ord, tag, coalesce(element_id, '') element_id, coalesce(section_number, '') num, {_PLAIN("coalesce(body_text, '')")} body, trim({_PLAIN("coalesce(header_text, '')")}) hdr, coalesce(list_filter(display_path, lambda x: regexp_matches(x, '^TITLE\\s+[^\\s—]+—'))[1], '') t, coalesce(division_label, '') dl from docs where tag like 'appropriations-%' or tag = 'section'),
+v as (select *, case when t <> '' and regexp_matches(dl, '^Division [A-Z]: ') then dl else '' end v, tag = 'appropriations-intermediate' mid, tag in ('appropriations-intermediate', 'appropriations-small') acc, regexp_matches(hdr, '^\\(.+\\)$') aside from n where t <> '' or tag = 'section'),
+c as (select *, min(node_ord) over (partition by doc_id, t, v) g, last_value(case when mid then hdr end ignore nulls) over w middle, case when aside then last_value(case when acc and hdr <> '' and not aside then hdr end ignore nulls) over w else hdr end called from v window w as (partition by doc_id, t, v order by node_ord rows between unbounded preceding and current row)),
+p as (select *, list_filter([regexp_replace(t, '^TITLE\\s+[^\\s—]+—', '')] || case when t = '' then [] when mid then [called] when acc then [middle] || case when called is distinct from middle then [called] else [] end else [middle] end || case when tag = 'section' and num <> '' then ['sec. ' || trim(num)] else [] end, lambda x: coalesce(x, '') <> '') path from c)
+select doc_id, row_number() over (partition by doc_id order by t <> '', v <> '', g, node_ord) - 1 node_ord, array_to_string(list_transform(path, lambda x: {_ONE('lower(x)')}), ' > ') path_text, tag, element_id, body body_text, case when v = '' then '' else trim(regexp_extract(v, '^Division [A-Z]: ')) || ' ' || trim({_PLAIN("regexp_replace(v, '^Division [A-Z]: ', '')")}) end division_label from p where body <> ''"""
 
 
-@R.add("parse_bill_xml", "with " + NODES_SQL + f"""select pair_id doc_id, row_number() over (partition by pair_id order by node_ord) - 1 node_ord, 'sec. ' || lower(section_number) path_text, regexp_replace(trim(regexp_replace(body_text, '{_WS}', ' ', 'g')), '{_MARK}', '\\1', 'g') body_text, element_id
-from two where side = 'old' and section_number <> '' and body_text <> ''""")
+@R.add("parse_bill_xml", _PARSED)
 def parse_bill_xml(spark: SparkSession, d: str) -> DataFrame:
-    """XML documents made of the sections, parsed back to nodes."""
-    n = xml_bills.parse_documents(bill_xml(spark, d)).where("error is null and tag = 'section'")
-    first = F.min("node_ord").over(Window.partitionBy("doc_id"))
-    return n.withColumn("node_ord", F.col("node_ord") - first).select("doc_id", "node_ord", F.array_join("match_path", " > ").alias("path_text"), "body_text", "element_id")
+    """XML made of the nodes of every version, parsed back: paths, texts and divisions of all of them."""
+    n = xml_bills.parse_documents(bill_xml(spark, d)).where("error is null")
+    return n.select("doc_id", F.col("node_ord").cast("bigint").alias("node_ord"), F.array_join("match_path", " > ").alias("path_text"), "tag", "element_id", "body_text", "division_label")
 
 
 def hunk_pages(spark: SparkSession, d: str, side: str) -> DataFrame:
@@ -80,6 +99,12 @@ def print_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
     return A.breadcrumbs(A.extract_anchors(merged, flat)).select("doc_id", "anchor_no", "kind", F.array_join("path", " > ").alias("path_text"))
 
 
+@R.add("change_groups", """with h as (select bill_id pair_id, row_number() over (partition by bill_id order by hunk_id) n, coalesce(v2_anchor, v1_anchor, 'Uncategorized') g from pdf_hunks), a as (select pair_id, g, count(*) n, min(n) f from h group by all)
+select pair_id, cast(row_number() over (partition by pair_id order by g = 'Uncategorized', f) as int) group_no, g group_label, n from a""")
+def change_groups(spark: SparkSession, d: str) -> DataFrame:
+    return contract.groups(contract.views(_print_docs(spark, d)))
+
+
 def archived(spark: SparkSession, d: str) -> DataFrame:
     """Archived hunks as the canonical producer takes them, numbered within their bill."""
     h = table(spark, d, "pdf_hunks").withColumnRenamed("bill_id", "pair_id")
@@ -119,11 +144,6 @@ def change_views(spark: SparkSession, d: str) -> DataFrame:
     return contract.views(_print_docs(spark, d)).drop("at")
 
 
-@R.add("change_groups")
-def change_groups(spark: SparkSession, d: str) -> DataFrame:
-    return contract.groups(contract.views(_print_docs(spark, d)))
-
-
 @R.add("html_reports")
 def html_reports(spark: SparkSession, d: str) -> DataFrame:
     """A self-contained report of each bill's archived hunks."""

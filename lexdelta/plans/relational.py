@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lexdelta.functions import text as T
 from lexdelta.functions import udfs
 from lexdelta.operators import anchors as A
-from lexdelta.operators import catalog, compare, spans, tree, validation
+from lexdelta.operators import catalog, compare, spans, validation
 from lexdelta.plans.registry import Registry
-from lexdelta.plans.versions import NODES_SQL, bill_docs, pair_nodes
+from lexdelta.plans.versions import LAST_SQL, latest_nodes
 from lexdelta.sources import index as I
 from lexdelta.sources import print_lines as P
 from lexdelta.sources import reports as reports_
@@ -326,73 +326,6 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return A.coverage(l).select("doc_id", F.round("coverage", 9).alias("coverage"))
 
 
-# --- trees ----------------------------------------------------------------------------------------
-
-_OLD = NODES_SQL + ", o as (select *, pair_id doc_id from two where side = 'old')"
-
-
-def _old(spark: SparkSession, d: str) -> DataFrame:
-    """First versions as the SQL of the tree queries reads them: every node a section, without header and readable text."""
-    n = pair_nodes(spark, d).where("side = 'old'").withColumnRenamed("pair_id", "doc_id")
-    return n.withColumns({"tag": F.lit("section"), "header_text": F.lit(""), "display_text": F.lit("")})
-
-
-@R.add("tree_nodes", "with " + _OLD + f""", p as (select doc_id, node_ord, display_path path, {amounts_sql('body_text')} a from o where len(display_path) > 0),
-e as (select doc_id, node_ord, unnest(list_transform(range(1, len(path) + 1), lambda k: path[1:k])) prefix from p), f as (select doc_id, prefix, min(node_ord) sort_ord from e group by all),
-k as (select *, row_number() over (partition by doc_id, path order by node_ord) rk from p)
-select f.doc_id, array_to_string(prefix, ' > ') path_text, sort_ord, cast(len(prefix) as int) depth, case when k.doc_id is not null then 'section' when regexp_matches(prefix[len(prefix)], '^Division [A-Z]($|[\\s:])') then 'division' when regexp_matches(prefix[len(prefix)], '(?i)^TITLE\\s+[IVXLCDM]+\\b') then 'title' else 'heading' end as "level", k.node_ord item_ord from f left join k on k.doc_id = f.doc_id and k.path = f.prefix and rk = 1
-union all select doc_id, array_to_string(path, ' > '), node_ord, cast(len(path) as int), 'section', node_ord from k where rk > 1
-union all select doc_id, '', node_ord, 0, 'section', node_ord from o where len(display_path) = 0""")
-def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The structure of every first version as an adjacency table."""
-    t = tree.build(tree.items_of(_old(spark, d)))
-    return t.select("doc_id", F.array_join("path", " > ").alias("path_text"), "sort_ord", "depth", "level", "item_ord")
-
-
-@R.add("tree_parents", "with " + _OLD + """, p as (select doc_id, node_ord, display_path path from o where len(display_path) > 0), e as (select doc_id, node_ord, unnest(list_transform(range(1, len(path) + 1), lambda k: path[1:k])) prefix from p)
-select distinct doc_id, array_to_string(prefix, ' > ') path_text, case when len(prefix) > 1 then array_to_string(prefix[1:len(prefix) - 1], ' > ') end parent_text from e""")
-def tree_parents(spark: SparkSession, d: str) -> DataFrame:
-    t = tree.build(tree.items_of(_old(spark, d))).where(F.size("path") > 0)
-    up = t.select("doc_id", F.col("node_id").alias("parent_id"), F.array_join("path", " > ").alias("parent_text"))
-    return t.join(up, ["doc_id", "parent_id"], "left").select("doc_id", F.array_join("path", " > ").alias("path_text"), "parent_text").distinct()
-
-
-@R.add("tree_money", "with " + _OLD + f" select doc_id, amount, count(*) n from (select doc_id, unnest({amounts_sql('body_text')}) amount from o) group by all")
-def tree_money(spark: SparkSession, d: str) -> DataFrame:
-    """The amounts in the grouped tree: as many of each as in the document."""
-    items = tree.items_of(_old(spark, d))
-    t = tree.group_front_matter(tree.build(items), items)
-    return t.select("doc_id", F.explode("own_amounts").alias("amount")).groupBy("doc_id", "amount").agg(F.count("*").alias("n"))
-
-
-@R.add("tree_json")
-def tree_json(spark: SparkSession, d: str) -> DataFrame:
-    """The tree of every version of every bill."""
-    items = tree.items_of(bill_docs(spark, d))
-    return tree.nested_json(tree.group_front_matter(tree.build(items), items))
-
-
-@R.add("heading_emission", "with " + _OLD + """, h as (select doc_id, node_ord, case when section_number <> '' and len(display_path) > 0 then display_path[1:len(display_path) - 1] else display_path end h from o), l as (select *, coalesce(lag(h) over (partition by doc_id order by node_ord), []) p from h),
-c as (select *, coalesce(list_min(list_filter(range(1, greatest(len(h), len(p)) + 2), lambda i: i > len(h) or i > len(p) or h[i] <> p[i])), 1) - 1 c from l), e as (select doc_id, node_ord, unnest(range(c, len(h))) i, h from c)
-select doc_id, node_ord, i as "at", h[i + 1] as "label", case when i = 0 or upper(h[i + 1]) like 'TITLE %' then 'title' else 'account' end kind from e""")
-def heading_emission(spark: SparkSession, d: str) -> DataFrame:
-    """The part of each node's path that the node before had not."""
-    w = Window.partitionBy("doc_id").orderBy("node_ord")
-    p = F.col("display_path")
-    h = F.when((F.col("section_number") != "") & (F.size(p) > 0), F.slice(p, 1, F.size(p) - 1)).otherwise(p)
-    n = _old(spark, d).withColumn("h", h).withColumn("prev", F.coalesce(F.lag("h").over(w), F.array().cast("array<string>")))
-    n = n.withColumn("c", spans.common_prefix(F.col("prev"), F.col("h")))
-    e = n.select("doc_id", "node_ord", "c", F.posexplode(F.slice("h", F.col("c") + 1, F.greatest(F.size("h") - F.col("c"), F.lit(0)))).alias("i", "label"))
-    at = F.col("c") + F.col("i")
-    return e.select("doc_id", "node_ord", at.alias("at"), "label", F.when((at == 0) | F.upper("label").startswith("TITLE "), "title").otherwise("account").alias("kind"))
-
-
-@R.add("body_spans")
-def body_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Where each element's body stands in the serialised text of every version of every bill."""
-    return spans.body_spans(spans.serialise(bill_docs(spark, d)))
-
-
 # --- index ----------------------------------------------------------------------------------------
 
 _IX = "with i as (select cast(s_suppkey as varchar) id, s_name \"name\", cast(s_nationkey as varchar) nation from supplier), b as (select cast(c_custkey as varchar) id, c_name \"name\", c_mktsegment segment from customer)"
@@ -454,11 +387,10 @@ def ingest_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _first(spark: SparkSession, d: str) -> DataFrame:
-    n = pair_nodes(spark, d).where("side = 'old'").withColumnRenamed("pair_id", "bill_id")
-    return n.withColumn("node_id", F.col("node_ord"))
+    return latest_nodes(spark, d).where("version = 1").withColumn("node_id", F.col("node_ord"))
 
 
-_TRUTH = "with " + NODES_SQL + f""", n as (select pair_id bill_id, match_path, {amounts_sql('body_text')} a from two where side = 'old' and len(match_path) > 0),
+_TRUTH = "with " + LAST_SQL + f""", n as (select bill_id, match_path, {amounts_sql('body_text')} a from last where ver = 1 and len(match_path) > 0),
 ag as (select distinct bill_id, trim(regexp_replace(lower(match_path[1]), '[^a-z0-9 ]', '', 'g')) agency, unnest(a) amount from n),
 pl as (select bill_id, match_path, amount from (select distinct bill_id, match_path, unnest(a) amount from n)),
 v as (select *, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9 ]', '', 'g')) t, trim(regexp_replace(lower(coalesce(bureau, '')), '[^a-z0-9 ]', '', 'g')) b from validation_defense),

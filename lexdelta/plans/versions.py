@@ -1,7 +1,4 @@
-"""Queries of the comparison itself, over each two neighbouring versions of every bill in ``bill_nodes``.
-
-The queries that ``NODES_SQL`` checks read versions 1 and 2 only, as it does.
-"""
+"""Queries of the comparison itself, over each two neighbouring versions of every bill in ``bill_nodes``."""
 
 from __future__ import annotations
 
@@ -16,10 +13,14 @@ from lexdelta.sources.tables import table
 
 R = Registry()
 
-#: The rows of versions 1 and 2, a node once a version: the one loaded last.
-NODES_SQL = r"""lab as (select bill_id, version_label, max(version_no) v from bill_versions where version_no is not null group by all),
+#: Nodes of every version, a node once a version: the one loaded last; as documents; as sides of two neighbouring versions.
+LAST_SQL = r"""lab as (select bill_id, version_label, max(version_no) v from bill_versions where version_no is not null group by all),
 vn as (select n.*, coalesce(n.version_no, lab.v) ver from bill_nodes n left join lab on n.bill_id = lab.bill_id and n.version_label = lab.version_label),
-two as (select bill_id pair_id, case ver when 1 then 'old' else 'new' end side, * from (select *, row_number() over (partition by bill_id, ver, node_ord order by loaded_at desc nulls last, node_id desc) k from vn where ver in (1, 2)) where k = 1)
+last as (select * from (select *, row_number() over (partition by bill_id, ver, node_ord order by loaded_at desc nulls last, node_id desc) k from vn where ver is not null) where k = 1)
+"""
+DOCS_SQL = LAST_SQL + ", docs as (select *, bill_id || ':' || ver doc_id from last)"
+SIDES_SQL = LAST_SQL + """, st as (select * from (select bill_id, ver o, lead(ver) over (partition by bill_id order by ver) w from (select distinct bill_id, ver from vn where ver is not null and bill_id is not null)) where w is not null),
+sides as (select st.bill_id || ':' || o || '-' || w pair_id, 'old' side, last.* from last join st on last.bill_id = st.bill_id and ver = o union all select st.bill_id || ':' || o || '-' || w, 'new', last.* from last join st on last.bill_id = st.bill_id and ver = w)
 """
 
 
@@ -38,12 +39,6 @@ def latest_nodes(spark: SparkSession, d: str) -> DataFrame:
     return resolved(spark, d).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("bill_id", "version", "node_ord", *KEEP, *SHOWN)
 
 
-def pair_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes of versions 1 and 2 of each bill as the sides of one comparison: the rows of ``NODES_SQL``."""
-    last = latest_nodes(spark, d).where("version in (1, 2)")
-    return last.select(F.col("bill_id").alias("pair_id"), F.when(F.col("version") == 1, "old").otherwise("new").alias("side"), "node_ord", *KEEP)
-
-
 def bill_docs(spark: SparkSession, d: str) -> DataFrame:
     """``latest_nodes`` as documents: a version of a bill each, ``doc_id`` being the bill and its version."""
     return latest_nodes(spark, d).withColumn("doc_id", F.concat_ws(":", "bill_id", "version"))
@@ -92,12 +87,12 @@ def move_candidates(spark: SparkSession, d: str) -> DataFrame:
     return c.select("pair_id", F.to_json("ro").alias("removed_ord"), F.to_json("ao").alias("added_ord"), F.round("sim", 9).alias("sim"))
 
 
-@R.add("full_outer_match", "with " + NODES_SQL + """, g as (select pair_id, match_path, count(*) filter (side = 'old') n_old, count(*) filter (side = 'new') n_new from two group by all)
+@R.add("full_outer_match", "with " + SIDES_SQL + """, g as (select pair_id, match_path, count(*) filter (side = 'old') n_old, count(*) filter (side = 'new') n_new from sides group by all)
 select pair_id, array_to_string(match_path, ' > ') path_text, n_old, n_new, case when n_old > 1 or n_new > 1 then 'collision' when n_old = 0 then 'only_new' when n_new = 0 then 'only_old' else 'one_to_one' end outcome from g""")
 def full_outer_match(spark: SparkSession, d: str) -> DataFrame:
-    """How each path of the two versions matches."""
+    """How each path of two neighbouring versions matches."""
     old, new = F.count_if(F.col("side") == "old"), F.count_if(F.col("side") == "new")
-    g = C.side_nodes(pair_nodes(spark, d)).groupBy("pair_id", "match_path").agg(old.alias("n_old"), new.alias("n_new"))
+    g = C.side_nodes(sides(spark, d)).groupBy("pair_id", "match_path").agg(old.alias("n_old"), new.alias("n_new"))
     kind = F.when((F.col("n_old") > 1) | (F.col("n_new") > 1), "collision").when(F.col("n_old") == 0, "only_new").when(F.col("n_new") == 0, "only_old").otherwise("one_to_one")
     return g.select("pair_id", F.array_join("match_path", " > ").alias("path_text"), "n_old", "n_new", kind.alias("outcome"))
 
@@ -109,11 +104,11 @@ def _norm(c: str) -> str:
     return f"trim(regexp_replace(coalesce({c}, ''), '{_WS}', ' ', 'g'))"
 
 
-@R.add("one_to_one_status", "with " + NODES_SQL + f""", g as (select pair_id, match_path, max(case when side = 'old' then {_norm('body_text')} end) o, max(case when side = 'new' then {_norm('body_text')} end) n from two group by all having count(*) filter (side = 'old') = 1 and count(*) filter (side = 'new') = 1)
+@R.add("one_to_one_status", "with " + SIDES_SQL + f""", g as (select pair_id, match_path, max(case when side = 'old' then {_norm('body_text')} end) o, max(case when side = 'new' then {_norm('body_text')} end) n from sides group by all having count(*) filter (side = 'old') = 1 and count(*) filter (side = 'new') = 1)
 select pair_id, array_to_string(match_path, ' > ') path_text, o = n same, case when o <> n then '--- old' || chr(10) || '+++ new' || chr(10) || '@@ -' || case when o = '' then '0,0' else '1' end || ' +' || case when n = '' then '0,0' else '1' end || ' @@' || case when o = '' then '' else chr(10) || '-' || o end || case when n = '' then '' else chr(10) || '+' || n end else '' end diff from g""")
 def one_to_one_status(spark: SparkSession, d: str) -> DataFrame:
     """Unified diffs of the paths both versions have once."""
     text = lambda side: F.max(F.when(F.col("side") == side, C.collapse("body_text")))
     n = lambda side: F.count_if(F.col("side") == side)
-    g = C.side_nodes(pair_nodes(spark, d)).groupBy("pair_id", "match_path").agg(n("old").alias("a"), n("new").alias("b"), text("old").alias("o"), text("new").alias("n")).where("a = 1 and b = 1")
+    g = C.side_nodes(sides(spark, d)).groupBy("pair_id", "match_path").agg(n("old").alias("a"), n("new").alias("b"), text("old").alias("o"), text("new").alias("n")).where("a = 1 and b = 1")
     return g.select("pair_id", F.array_join("match_path", " > ").alias("path_text"), (F.col("o") == F.col("n")).alias("same"), F.array_join(C.unified_diff(F.col("o"), F.col("n")), "\n").alias("diff"))

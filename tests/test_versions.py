@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from lexdelta.plans import documents, relational, versions
+from lexdelta.plans import documents, structure, versions
 
 
 def write(spark, d, nodes):
@@ -49,7 +49,7 @@ def test_every_neighbouring_pair_is_published(spark, data):
 
 
 def test_trees_have_levels_headers_and_readable_texts_of_every_version(spark, shown):
-    got = {r["doc_id"]: json.loads(r["tree"]) for r in relational.tree_json(spark, shown).collect()}
+    got = {r["doc_id"]: json.loads(r["tree"]) for r in structure.tree_json(spark, shown).collect()}
     assert got.keys() == {"118-hr-5:1", "118-hr-5:2"}
     for v in (1, 2):
         front, title = got[f"118-hr-5:{v}"]
@@ -60,7 +60,7 @@ def test_trees_have_levels_headers_and_readable_texts_of_every_version(spark, sh
 
 
 def test_spans_are_those_of_the_readable_text(spark, shown):
-    got = {(r["doc_id"], r["element_id"]): r["end_char"] - r["start_char"] for r in relational.body_spans(spark, shown).collect()}
+    got = {(r["doc_id"], r["element_id"]): r["end_char"] - r["start_char"] for r in structure.body_spans(spark, shown).collect()}
     assert got == {(f"118-hr-5:{v}", f"{e}{v}"): n for v in (1, 2) for e, n in (("t", len("To pay.")), ("p", len("(1) pay $1, of which $7")))}
 
 
