@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexdelta.functions import kernels as K
 from lexdelta.functions import udfs
-from lexdelta.functions.text import amounts, has_annotation
+from lexdelta.functions.text import WS_CLASS, amounts, has_annotation
 from lexdelta.operators import anchors as A
 
 FRONT = "Front Matter"
@@ -50,7 +50,7 @@ def blocks(flat: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def block_key(anchor_text: Column, text: Column) -> Column:
-    return F.concat(F.coalesce(anchor_text, F.lit("(preamble)")), F.lit("::"), F.trim(F.substring(text, 1, 80)))
+    return F.concat(F.coalesce(anchor_text, F.lit("(preamble)")), F.lit("::"), F.regexp_replace(F.substring(text, 1, 80), rf"^{WS_CLASS}+|{WS_CLASS}+$", ""))
 
 
 def align(old: DataFrame, new: DataFrame) -> DataFrame:

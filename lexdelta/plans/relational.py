@@ -219,17 +219,6 @@ def running_offsets(spark: SparkSession, d: str) -> DataFrame:
     return P.rendered(l).select("doc_id", "line_ord", "start_char")
 
 
-@R.add("trim_headings", f"""with l as (select *, trim("text") = '' or (regexp_matches("text", '\\p{{L}}') and not regexp_matches("text", '\\p{{Ll}}') and not regexp_matches("text", '^TITLE\\s+[IVXLC]+\\b') and not regexp_matches("text", '^SEC(TION)?\\.?\\s+\\d+\\b') and len({amounts_sql('"text"')}) = 0) chrome from {lines_sql('pdf_hunks', 'hunk_id', 'v1_text')}),
-b as (select *, min(line_ord) filter (not chrome) over (partition by hunk_id) a, max(line_ord) filter (not chrome) over (partition by hunk_id) z from l) select hunk_id, line_ord from b where a is null or line_ord between a and z""")
-def trim_headings(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that stay when heading lines at either end go."""
-    t = F.col("text")
-    l = lines_of(table(spark, d, "pdf_hunks"), "hunk_id", "v1_text").withColumn("chrome", A.is_blank(t) | (A.is_heading(t) & (F.size(T.amounts(t)) == 0)))
-    w = Window.partitionBy("hunk_id")
-    keep = F.when(~F.col("chrome"), F.col("line_ord"))
-    return l.withColumns({"a": F.min(keep).over(w), "z": F.max(keep).over(w)}).where("a is null or line_ord between a and z").select("hunk_id", "line_ord")
-
-
 def _heading_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines_of(table(spark, d, "documents").where("source = 'committee_report'"), "doc_id", "text").select(F.col("doc_id").alias("report_id"), F.col("line_ord").alias("line_no"), F.col("text").alias("line"))
 
@@ -251,32 +240,7 @@ def report_cells(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "comparative_rows").select("row_id", F.posexplode(reports_.cells(F.col("cells_text"))).alias("cell_no", "cell"))
 
 
-# --- order, carry-forward, as-of (over events) --------------------------------------------------
-
-
-@R.add("asof_banner", "select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) banner_id from events")
-def asof_banner(spark: SparkSession, d: str) -> DataFrame:
-    """Each event with the last banner event of its user at or before it."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("banner_id"))
-
-
-@R.add("carry_forward", "with g as (select *, count(*) filter (event_type = 'signup') over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) g from events) select event_id, last_value(case when event_type = 'click' then \"value\" end ignore nulls) over (partition by user_id, g order by ts, event_id rows between unbounded preceding and 1 preceding) carried from g")
-def carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest click's value before each event, forgotten at each signup: a carry-forward with scope resets."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("g", F.count_if(F.col("event_type") == "signup").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    up = Window.partitionBy("user_id", "g").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return e.select("event_id", F.last(F.when(F.col("event_type") == "click", F.col("value")), ignorenulls=True).over(up).alias("carried"))
-
-
-@R.add("block_ranges", "select event_id, row_number() over w first_ix, lead(n) over (partition by user_id order by n) next_ix from (select *, row_number() over (partition by user_id order by ts, event_id) n from events) where event_type = 'purchase' window w as (partition by user_id order by n)")
-def block_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Banner events with their number and where the next block starts."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("n", F.row_number().over(w)).where("event_type = 'purchase'")
-    o = Window.partitionBy("user_id").orderBy("n")
-    return e.select("event_id", F.row_number().over(o).alias("first_ix"), F.lead("n").over(o).alias("next_ix"))
+# --- marks ----------------------------------------------------------------------------------------
 
 
 @R.add("overlap_marks", f"""with l as (select hunk_id, line_ord, coalesce(sum(length("text") + 1) over (partition by hunk_id order by line_ord rows between unbounded preceding and 1 preceding), 0) s, length("text") n from {lines_sql('pdf_hunks', 'hunk_id', 'v1_text')}), m as (select hunk_id, hunk_id mark_id, start_page s, start_page + 10 * start_line e from (select hunk_id, v1_range.start_page start_page, v1_range.start_line start_line from pdf_hunks))
@@ -301,13 +265,6 @@ def accept_marks(spark: SparkSession, d: str) -> DataFrame:
 # --- statistics over printed sizes (lineitem stands in for measured lines) -----------------------
 
 
-@R.add("size_mode", "select l_suppkey doc_id, max(s) body from (select l_suppkey, round(l_quantity, 1) s, count(*) n, max(count(*)) over (partition by l_suppkey) m from lineitem group by 1, 2) where n = m group by 1")
-def size_mode(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent size, the larger one on ties."""
-    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id"), F.round("l_quantity", 1).alias("s")).count()
-    return g.groupBy("doc_id").agg(F.max_by("s", F.struct("count", "s")).alias("body"))
-
-
 @R.add("median_width", "select l_suppkey doc_id, round(median(l_extendedprice) - median(l_quantity), 6) width from lineitem group by 1")
 def median_width(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_quantity").alias("content_left"), F.col("l_extendedprice").alias("content_right"), F.lit("a").alias("text"))
