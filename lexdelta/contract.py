@@ -23,15 +23,15 @@ def _or_null(path: str) -> Column:
 def xml_changes(changes: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """(pair_id, n, change STRUCT) of structured changes; unchanged ones are dropped before numbering.
 
-    ``spans`` (pair_id, side v1/v2, element_id, start_char, end_char) places changes in the full texts.
+    ``spans`` (pair_id, side v1/v2, change_no, start_char, end_char) places changes in the full texts.
     """
     c = changes.where("change_type <> 'unchanged'")
     w = Window.partitionBy("pair_id").orderBy("change_no")
     c = c.withColumn("n", F.row_number().over(w))
     if spans is not None:
-        for side, ident, text in (("v1", "element_id_old", "old_text"), ("v2", "element_id_new", "new_text")):
-            s = spans.where(F.col("side") == side).select("pair_id", F.col("element_id").alias(ident), F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end")).alias(f"_{side}"))
-            c = c.join(s, ["pair_id", ident], "left").withColumn(f"_{side}", F.when(F.coalesce(text, F.lit("")) != "", F.col(f"_{side}")))
+        for side in ("v1", "v2"):
+            at = spans.where((F.col("side") == side) & F.col("start_char").isNotNull()).select("pair_id", "change_no", F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end")).alias(f"_{side}"))
+            c = c.join(at, ["pair_id", "change_no"], "left")
         span = F.struct(F.col("_v1").cast(SPAN).alias("v1"), F.col("_v2").cast(SPAN).alias("v2"))
     else:
         span = F.lit(None).cast(_NULL_SPANS)
@@ -103,6 +103,28 @@ def documents(changes: DataFrame, headers: DataFrame, source: str, unchanged: Da
     return h.withColumns({"head": head, "tree": tree, "body": body}).select("pair_id", doc.alias("canonical"))
 
 
+def diff_documents(changes: DataFrame, headers: DataFrame, financial: bool = False) -> DataFrame:
+    """(pair_id, diff JSON): the plain record of a comparison, every change given, in order.
+
+    ``headers``: pair_id, old_version, new_version, congress, bill_type, bill_number. With ``financial`` the changes of
+    ``compare.with_money`` carry their amounts, and how many sections changed theirs is counted. A record is bounded
+    by one comparison.
+    """
+    to = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    entry = to(F.struct(_or_null("display_path_old").alias("display_path_old"), _or_null("display_path_new").alias("display_path_new"), "match_path", "change_type", "old_text", "new_text", "text_diff", "section_number", "element_id_old", "element_id_new"))
+    if financial:
+        paid = F.col("financial").withField("paired_amounts", F.transform("financial.paired_amounts", lambda p: F.array(p["old"], p["new"])))
+        entry = F.when(F.col("financial").isNull(), entry).otherwise(F.concat(F.substring(entry, F.lit(1), F.length(entry) - 1), F.lit(',"financial":'), to(paid), F.lit("}")))
+    counted = F.count_if(F.coalesce(F.col("financial.amounts_changed"), F.lit(False))) if financial else F.max(F.lit(0))
+    per = changes.withColumn("j", entry).groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("change_no", "j"))), lambda x: x["j"]).alias("_c"), *(F.count_if(F.col("change_type") == t).alias(f"_{t}") for t in TYPES), counted.alias("_paid"))
+    h = headers.join(per, "pair_id", "left")
+    counts = F.map_from_entries(F.array(*(F.struct(F.lit(t).alias("k"), F.coalesce(f"_{t}", F.lit(0)).alias("v")) for t in TYPES)))
+    head = to(F.struct("old_version", "new_version", "congress", "bill_type", "bill_number", counts.alias("summary")))
+    tail = F.concat(F.lit(',"financial_summary":{"sections_with_financial_changes":'), F.coalesce(F.col("_paid"), F.lit(0)).cast("string"), F.lit("}}")) if financial else F.lit("}")
+    doc = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"changes":['), F.array_join(F.coalesce("_c", F.array().cast("array<string>")), ","), F.lit("]"), tail)
+    return h.select("pair_id", doc.alias("diff"))
+
+
 #: The form of a published change, for reading documents back.
 CHANGE = (
     "struct<id:string,change_type:string,section_number:string,path:struct<v1:array<string>,v2:array<string>>,"

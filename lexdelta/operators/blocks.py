@@ -21,7 +21,8 @@ def blocks(flat: DataFrame, anchors: DataFrame) -> DataFrame:
     left out with their place. Lines above the first anchor are the front matter; a document without anchors is one
     block without anchor. Headings at a block's ends are trimmed unless nothing would be left.
     """
-    at = anchors.join(A.positions(flat), ["doc_id", "page", "line_number"]).withColumn("anchor", F.struct("kind", "text", "division"))
+    path = F.col("path") if "path" in anchors.columns else F.array("text")
+    at = anchors.join(A.positions(flat), ["doc_id", "page", "line_number"]).withColumn("anchor", F.struct("kind", "text", "division", path.alias("path")))
     w = Window.partitionBy("doc_id").orderBy("anchor_no")
     spans = at.select("doc_id", "anchor_no", "anchor", F.col("flat_ix").alias("lo"), F.lead("flat_ix").over(w).alias("hi"))
     # anchors of one line give empty blocks but for the last of them
@@ -30,7 +31,7 @@ def blocks(flat: DataFrame, anchors: DataFrame) -> DataFrame:
     run = Window.partitionBy("doc_id").orderBy("flat_ix").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.join(opened, ["doc_id", "flat_ix"], "left").withColumns({"anchor": F.last("anchor", ignorenulls=True).over(run), "block_no": F.coalesce(F.last("anchor_no", ignorenulls=True).over(run), F.lit(0))})
     some = F.max(F.col("block_no") > 0).over(Window.partitionBy("doc_id"))
-    front = F.struct(F.lit("preamble").alias("kind"), F.lit(FRONT).alias("text"), F.lit("").alias("division"))
+    front = F.struct(F.lit("preamble").alias("kind"), F.lit(FRONT).alias("text"), F.lit("").alias("division"), F.array(F.lit(FRONT)).alias("path"))
     rows = rows.withColumn("anchor", F.when(F.col("anchor").isNull() & some, front).otherwise(F.col("anchor")))
     t = F.col("text")
     inner = Window.partitionBy("doc_id", "block_no").orderBy("flat_ix")
@@ -105,7 +106,7 @@ def hunk_table(hunks: DataFrame) -> DataFrame:
     w = Window.partitionBy("pair_id").orderBy("hunk_ord")
     rng = lambda s: F.when(F.col(s).isNotNull(), F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("start_page", "start_line", "end_page", "end_line"))))
     text = lambda s: F.coalesce(F.col(f"{s}.text"), F.lit(""))
-    h = hunks.select("pair_id", F.row_number().over(w).alias("hunk_no"), "change_type", F.col("old.anchor.text").alias("v1_anchor"), F.col("new.anchor.text").alias("v2_anchor"), rng("old").alias("v1_range"), rng("new").alias("v2_range"), text("old").alias("v1_text"), text("new").alias("v2_text"))
+    h = hunks.select("pair_id", F.row_number().over(w).alias("hunk_no"), "change_type", F.col("old.anchor.text").alias("v1_anchor"), F.col("new.anchor.text").alias("v2_anchor"), F.col("old.anchor.path").alias("v1_path"), F.col("new.anchor.path").alias("v2_path"), rng("old").alias("v1_range"), rng("new").alias("v2_range"), text("old").alias("v1_text"), text("new").alias("v2_text"))
     two = h.where("v1_range is not null and v2_range is not null").withColumn("amount_pairs", udfs.pair_amounts("v1_text", "v2_text"))
     one = h.where("v1_range is null or v2_range is null").withColumn("amount_pairs", F.array().cast("array<struct<old:bigint,new:bigint>>"))
     return two.unionByName(one).withColumn("has_amendment_annotations", has_annotation("v1_text") | has_annotation("v2_text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexdelta.session import cut
+
 
 def common_prefix(a: Column, b: Column) -> Column:
     """How many first elements two arrays have in common."""
@@ -18,23 +20,24 @@ def serialise(nodes: DataFrame) -> DataFrame:
 
     A node gives the part of its path that the node before had not, then its header if it has no path, then its body
     (with ``SEC. N.`` before a section's), each heading and body set apart by a blank line. Offsets count code points.
+    ``path`` is the path a heading stands for.
     """
     w = Window.partitionBy("doc_id").orderBy("node_ord")
     path = F.coalesce("display_path", F.array().cast("array<string>"))
     heading = F.when((F.coalesce("section_number", F.lit("")) != "") & (F.size(path) > 0), F.slice(path, 1, F.size(path) - 1)).otherwise(path)
     n = nodes.withColumns({"_path": path, "_h": heading}).withColumn("_prev", F.coalesce(F.lag("_h").over(w), F.array().cast("array<string>")))
     n = n.withColumn("_c", common_prefix(F.col("_prev"), F.col("_h")))
-    line = lambda text, kind, label, gap, pre: F.struct(text.alias("text"), kind.alias("kind"), label.alias("label"), gap.alias("gap"), pre.alias("prefix"))
+    line = lambda text, kind, label, gap, pre, path=F.lit(None): F.struct(text.alias("text"), kind.alias("kind"), label.alias("label"), gap.alias("gap"), pre.alias("prefix"), path.alias("path"))
     no, zero = F.lit(None).cast("string"), F.lit(0)
     new = F.slice("_h", F.col("_c") + 1, F.greatest(F.size("_h") - F.col("_c"), F.lit(0)))
-    heads = F.transform(new, lambda s, i: line(s, F.when((F.col("_c") + i == 0) | F.upper(s).startswith("TITLE "), "title").otherwise("account"), s, F.lit(True), zero))
+    heads = F.transform(new, lambda s, i: line(s, F.when((F.col("_c") + i == 0) | F.upper(s).startswith("TITLE "), "title").otherwise("account"), s, F.lit(True), zero, F.slice("_h", F.lit(1), F.col("_c") + i + 1)))
     lone = F.when((F.size("_path") == 0) & (F.coalesce("header_text", F.lit("")) != ""), F.array(line(F.col("header_text"), no, no, F.lit(False), zero)))
     shown = F.when(F.coalesce("display_text", F.lit("")) != "", F.col("display_text")).otherwise(F.col("body_text"))
     number = F.coalesce("section_number", F.lit(""))
     prefix = F.when(number != "", F.concat(F.upper(number), F.lit(".  "))).otherwise(F.lit(""))
     body = F.when(F.coalesce("body_text", F.lit("")) != "", F.array(line(F.concat(prefix, shown), F.when(number != "", "section").otherwise("body"), F.when(number != "", number), F.lit(True), F.length(prefix))))
-    empty = F.array().cast("array<struct<text:string,kind:string,label:string,gap:boolean,prefix:int>>")
-    kind = "array<struct<text:string,kind:string,label:string,gap:boolean,prefix:int>>"
+    empty = F.array().cast("array<struct<text:string,kind:string,label:string,gap:boolean,prefix:int,path:array<string>>>")
+    kind = "array<struct<text:string,kind:string,label:string,gap:boolean,prefix:int,path:array<string>>>"
     rows = n.select("doc_id", "node_ord", "element_id", F.posexplode(F.concat(heads.cast(kind), F.coalesce(lone.cast(kind), empty), F.coalesce(body.cast(kind), empty))).alias("at", "l")).select("doc_id", "node_ord", "at", "element_id", "l.*")
     o = Window.partitionBy("doc_id").orderBy("node_ord", "at")
     before = F.lag("kind").over(o)
@@ -44,7 +47,7 @@ def serialise(nodes: DataFrame) -> DataFrame:
     start = F.sum("step").over(o.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text") - 1
     rows = rows.withColumn("start_char", start).withColumn("line_no", F.row_number().over(o) - 1 + F.sum("blank").over(o.rowsBetween(Window.unboundedPreceding, 0)))
     is_body = F.col("kind").isin("section", "body")
-    return rows.select("doc_id", "node_ord", "line_no", "text", "kind", "label", "element_id", "start_char", F.when(is_body, F.col("start_char") + F.col("prefix")).alias("body_start"), F.when(is_body, F.col("start_char") + F.length("text")).alias("body_end"), "blank")
+    return rows.select("doc_id", "node_ord", "line_no", "text", "kind", "label", "element_id", "start_char", F.when(is_body, F.col("start_char") + F.col("prefix")).alias("body_start"), F.when(is_body, F.col("start_char") + F.length("text")).alias("body_end"), "blank", "path")
 
 
 def full_text(lines: DataFrame) -> DataFrame:
@@ -67,9 +70,9 @@ def body_spans(lines: DataFrame) -> DataFrame:
     return b.groupBy("doc_id", "element_id").agg(F.max_by(F.struct("body_start", "body_end"), "line_no").alias("s")).select("doc_id", "element_id", F.col("s.body_start").alias("start_char"), F.col("s.body_end").alias("end_char"))
 
 
-def item_spans(lines: DataFrame) -> DataFrame:
-    """(doc_id, item_ord, start_char, end_char): the body of each node that has one."""
-    return lines.where("body_start is not null").select("doc_id", F.col("node_ord").alias("item_ord"), F.col("body_start").alias("start_char"), F.col("body_end").alias("end_char"))
+def heading_spans(lines: DataFrame) -> DataFrame:
+    """(doc_id, path, start_char): where the heading of each path first stands."""
+    return lines.where("path is not null").groupBy("doc_id", "path").agg(F.min("start_char").alias("start_char"))
 
 
 def range_spans(ranges: DataFrame, shown: DataFrame) -> DataFrame:
@@ -118,25 +121,55 @@ def marks_on_rows(rows: DataFrame, marks: DataFrame, bucket: int = 4096) -> Data
 
 
 def search_spans(changes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(pair_id, change_no, start_char, end_char) of texts looked up in their pair's full text, for changes no element id places.
+    """(pair_id, change_no, start_char, end_char) of texts looked up in their pair's full text.
 
     Looked for from the end of the last find on, then from the start; each find moves the place on, so the changes of one
-    pair are gone through in order (``changes``: pair_id, change_no, target; ``texts``: pair_id, full_text).
+    pair are gone through in order (``changes``: pair_id, change_no, target; ``texts``: pair_id, full_text). Changes that
+    have a place already (``known_start``, ``known_end``, where the table has them) keep it and move the place on too.
+    A text is held once a pair.
     """
     import pandas as pd
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+    for c in ("known_start", "known_end"):
+        changes = changes if c in changes.columns else changes.withColumn(c, F.lit(None).cast("bigint"))
+
+    def place(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         pdf, at, out = pdf.sort_values("change_no"), 0, []
-        full = pdf["full_text"].iloc[0]
-        for target in pdf["target"]:
-            start = full.find(target, at) if target and full is not None else -1
-            if start < 0 and target and full is not None:
-                start = full.find(target)
-            at = start + len(target) if start >= 0 else at
-            out.append((start, at) if start >= 0 else (None, None))
+        full = held["full_text"].iloc[0] if len(held) else None
+        for target, start, end in zip(pdf["target"], pdf["known_start"], pdf["known_end"]):
+            if target and not pd.isna(start):
+                at = int(end)
+                out.append((int(start), at))
+                continue
+            found = full.find(target, at) if target and full is not None else -1
+            if found < 0 and target and full is not None:
+                found = full.find(target)
+            at = found + len(target) if found >= 0 else at
+            out.append((found, at) if found >= 0 else (None, None))
         spots = pd.DataFrame(out, columns=["start_char", "end_char"], index=pdf.index, dtype="Int64")
         return pd.concat([pdf[["pair_id", "change_no"]], spots], axis=1)
 
     kinds = {c: changes.schema[c].dataType.simpleString() for c in ("pair_id", "change_no")}
-    both = changes.select("pair_id", "change_no", "target").join(texts.select("pair_id", "full_text"), "pair_id")
-    return both.groupBy("pair_id").applyInPandas(place, f"pair_id {kinds['pair_id']}, change_no {kinds['change_no']}, start_char bigint, end_char bigint")
+    lean = changes.select("pair_id", "change_no", "target", "known_start", "known_end").groupBy("pair_id")
+    out = lean.cogroup(texts.select("pair_id", "full_text").groupBy("pair_id")).applyInPandas(place, f"pair_id {kinds['pair_id']}, change_no {kinds['change_no']}, start_char bigint, end_char bigint")
+    return out.where("pair_id is not null")
+
+
+def change_spans(changes: DataFrame, bodies: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pair_id, side, change_no, start_char, end_char): changes placed by their element, else by looking their text up.
+
+    ``bodies`` (pair_id, side v1/v2, element_id, start_char, end_char), ``texts`` (pair_id, side, full_text). Only pairs with
+    a change that no element places have their texts searched.
+    """
+    one = lambda side, ident, text: changes.where("change_type <> 'unchanged'").select("pair_id", F.lit(side).alias("side"), "change_no", F.col(ident).alias("element_id"), F.col(text).alias("target"))
+    c = one("v1", "element_id_old", "old_text").unionByName(one("v2", "element_id_new", "new_text")).where("coalesce(target, '') <> ''")
+    known = bodies.select("pair_id", "side", "element_id", F.col("start_char").cast("bigint").alias("known_start"), F.col("end_char").cast("bigint").alias("known_end"))
+    c = cut(c.join(known, ["pair_id", "side", "element_id"], "left").withColumn("k", F.struct("pair_id", "side")), "spans")
+    missing = c.where("known_start is null").select("k").distinct()
+    whole = c.join(missing, "k", "left_anti").select("pair_id", "side", "change_no", F.col("known_start").alias("start_char"), F.col("known_end").alias("end_char"))
+    key = lambda df: df.withColumn("pair_id", F.to_json("k"))
+    part = key(c.join(missing, "k", "left_semi"))
+    full = key(texts.withColumn("k", F.struct("pair_id", "side")).join(missing, "k", "left_semi"))
+    names = part.select("pair_id", "k").distinct()
+    looked = search_spans(part, full).join(names, "pair_id").select(F.col("k.pair_id").alias("pair_id"), F.col("k.side").alias("side"), "change_no", "start_char", "end_char")
+    return whole.unionByName(looked)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexdelta.functions.text import amounts
+from lexdelta.session import cut
 
 # Levels by element.
 LEAF = {"appropriations-major": "major", "appropriations-intermediate": "agency", "appropriations-small": "account", "section": "section", "front-matter": "preamble"}
@@ -29,7 +30,7 @@ def interior_level(label: Column) -> Column:
 def items_of(nodes: DataFrame) -> DataFrame:
     """Tree items of parsed bill nodes; amounts come from the readable text, which keeps what the body text drops."""
     text = F.when(F.coalesce("display_text", F.lit("")) != "", F.col("display_text")).otherwise(F.col("body_text"))
-    return nodes.select("doc_id", F.col("node_ord").alias("item_ord"), F.coalesce("display_path", F.array().cast("array<string>")).alias("path"), leaf_level(F.col("tag")).alias("level"), amounts(text).alias("own_amounts"), "header_text", "tag", "section_number")
+    return nodes.select("doc_id", F.col("node_ord").alias("item_ord"), F.coalesce("display_path", F.array().cast("array<string>")).alias("path"), leaf_level(F.col("tag")).alias("level"), amounts(text).alias("own_amounts"), "header_text", "tag", "section_number", "element_id")
 
 
 def build(items: DataFrame) -> DataFrame:
@@ -80,14 +81,28 @@ def conservation(tree: DataFrame, items: DataFrame) -> DataFrame:
     return both.na.fill(0, ["in_tree", "in_items"]).where("in_tree <> in_items")
 
 
-def container_spans(tree: DataFrame, spans: DataFrame) -> DataFrame:
-    """Adds ``start_char`` and ``end_char``: a node's own span widened by those of all nodes below its path."""
-    own = tree.join(spans.select("doc_id", "item_ord", "start_char", "end_char"), ["doc_id", "item_ord"], "left")
-    up = own.where("start_char is not null").select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("path"), "start_char", "end_char")
-    wide = up.groupBy("doc_id", "path").agg(F.min("start_char").alias("lo"), F.max("end_char").alias("hi"))
-    out = own.join(wide, ["doc_id", "path"], "left")
-    inner = F.col("node_id").startswith("p") | (F.col("node_id") == "front")
-    return out.withColumns({"start_char": F.when(inner, F.col("lo")).otherwise(F.col("start_char")), "end_char": F.when(inner, F.col("hi")).otherwise(F.col("end_char"))}).drop("lo", "hi")
+def placed(tree: DataFrame, items: DataFrame, bodies: DataFrame, headings: DataFrame) -> DataFrame:
+    """Adds ``start_char`` and ``end_char``: a node's body, else its heading, else all that stands directly below it.
+
+    ``bodies`` (doc_id, element_id, start_char, end_char) and ``headings`` (doc_id, path, start_char) are places in the
+    full text. A node of neither spans the nearest placed nodes below; NULL where there are none.
+    """
+    ids = items.select("doc_id", "item_ord", "element_id")
+    body = bodies.select("doc_id", "element_id", F.col("start_char").alias("_bs"), F.col("end_char").alias("_be"))
+    head = headings.select("doc_id", "path", F.col("start_char").alias("_hs"))
+    own = tree.join(ids, ["doc_id", "item_ord"], "left").join(body, ["doc_id", "element_id"], "left").join(head, ["doc_id", "path"], "left")
+    own = own.withColumns({"_s": F.coalesce("_bs", "_hs"), "_e": F.coalesce("_be", F.col("_hs") + F.length("label"))}).drop("_bs", "_be", "_hs", "element_id")
+    own = cut(own, "placed")
+    # a placed node counts for the open nodes above it, up to the first placed one
+    up = own.where("_s is not null").select("doc_id", "node_id", "_s", "_e", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("k", "up")).where(F.size("up") == F.col("k"))
+    owners = own.where(F.col("node_id").startswith("p")).select("doc_id", F.col("path").alias("up"), F.col("node_id").alias("_owner"), F.col("_s").isNotNull().alias("_placed"))
+    up = up.join(owners, ["doc_id", "up"]).where("_owner <> node_id")
+    stop = F.max(F.when(F.col("_placed"), F.col("k"))).over(Window.partitionBy("doc_id", "node_id"))
+    wide = up.withColumn("_stop", F.coalesce(stop, F.lit(-1))).where("k > _stop").groupBy("doc_id", F.col("_owner").alias("node_id")).agg(F.min("_s").alias("_lo"), F.max("_e").alias("_hi"))
+    out = own.join(wide, ["doc_id", "node_id"], "left").withColumns({"start_char": F.coalesce("_s", "_lo"), "end_char": F.coalesce("_e", "_hi")})
+    front = out.where("parent_id = 'front'").groupBy("doc_id").agg(F.min("start_char").alias("_fs"), F.max("end_char").alias("_fe")).withColumn("node_id", F.lit("front"))
+    out = out.join(front, ["doc_id", "node_id"], "left").withColumns({"start_char": F.coalesce("start_char", "_fs"), "end_char": F.coalesce("end_char", "_fe")})
+    return out.drop("_s", "_e", "_lo", "_hi", "_fs", "_fe")
 
 
 def walk(tree: DataFrame) -> DataFrame:
@@ -97,7 +112,7 @@ def walk(tree: DataFrame) -> DataFrame:
 
 
 def nested_json(tree: DataFrame) -> DataFrame:
-    """(doc_id, tree JSON): nodes nested below their parents, with their places where ``container_spans`` gave them; a document a group."""
+    """(doc_id, tree JSON): nodes nested below their parents, with their places where ``placed`` gave them; a document a group."""
     import pandas as pd
 
     def nest(pdf: pd.DataFrame) -> pd.DataFrame:

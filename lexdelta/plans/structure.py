@@ -9,6 +9,7 @@ from lexdelta.operators import spans, tree
 from lexdelta.plans.registry import Registry
 from lexdelta.plans.relational import amounts_sql
 from lexdelta.plans.versions import DOCS_SQL, bill_docs
+from lexdelta.session import cut
 
 R = Registry()
 
@@ -69,12 +70,16 @@ def money_conserved(spark: SparkSession, d: str) -> DataFrame:
     return tree.conservation(tree.group_front_matter(t, items), items)
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    t, items = _tree(spark, d)
+    lines = cut(_lines(spark, d), "lines")
+    return tree.placed(tree.group_front_matter(t, items), items, spans.body_spans(lines), spans.heading_spans(lines))
+
+
 @R.add("tree_json")
 def tree_json(spark: SparkSession, d: str) -> DataFrame:
     """The tree of every version of every bill, with the places of its nodes in the full text."""
-    docs = bill_docs(spark, d)
-    t, items = _tree(spark, d)
-    return tree.nested_json(tree.container_spans(tree.group_front_matter(t, items), spans.item_spans(spans.serialise(docs))))
+    return tree.nested_json(_placed(spark, d))
 
 
 # --- full text ------------------------------------------------------------------------------------
@@ -119,13 +124,14 @@ def body_spans(spark: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", "element_id", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"))
 
 
-_PLACED = _LINES.rstrip() + ", own as (select doc_id, node_ord item_ord, start_char + pre lo, start_char + length(\"text\") hi from s where kind in ('section', 'body'))"
+_N = _LINES[_LINES.index("n as (select doc_id, node_ord, element_id"):].rstrip()
 
 
-@R.add("tree_spans", (_ITEMS.rstrip() + ", " + _PLACED[_PLACED.index("n as (select doc_id, node_ord, element_id"):]).replace(" k as (select *, row_number() over (partition by doc_id, path", " k as (select *, row_number() over (partition by doc_id, path") + """,
-gs as (select g.*, own.lo, own.hi from g left join own using (doc_id, item_ord)), up as (select doc_id, unnest(list_transform(range(0, len(path) + 1), lambda i: path[1:i])) path, lo, hi from gs where lo is not null), wide as (select doc_id, path, min(lo) wlo, max(hi) whi from up group by all)
-select gs.doc_id, array_to_string(gs.path, ' > ') path_text, sort_ord, item_ord, cast(case when inner_node then wlo else lo end as bigint) start_char, cast(case when inner_node then whi else hi end as bigint) end_char from gs left join wide using (doc_id, path)""")
+@R.add("tree_spans", _ITEMS.rstrip() + ", " + _N + """, bs as (select doc_id, element_id, arg_max(start_char + pre, rn) lo, arg_max(start_char + length("text"), rn) hi from s where kind in ('section', 'body') and coalesce(element_id, '') <> '' group by all),
+hs as (select s.doc_id, c.h[1:s.level_no] path, min(start_char) lo from (select *, "at" + (select c.c from c where c.doc_id = s.doc_id and c.node_ord = s.node_ord) + 1 level_no from s where kind in ('title', 'account')) s join c on c.doc_id = s.doc_id and c.node_ord = s.node_ord group by all),
+o as (select g.*, coalesce(bs.lo, hs.lo) lo, coalesce(bs.hi, hs.lo + length(g.path[len(g.path)])) hi from g left join docs on g.doc_id = docs.doc_id and g.item_ord = docs.node_ord left join bs on bs.doc_id = g.doc_id and bs.element_id = docs.element_id left join hs on hs.doc_id = g.doc_id and hs.path = g.path),
+top as (select doc_id, min(lo) flo, max(hi) fhi from o where front group by 1)
+select o.doc_id, array_to_string(o.path, ' > ') path_text, sort_ord, item_ord, cast(case when o.path = ['Front Matter'] and item_ord is null then flo else lo end as bigint) start_char, cast(case when o.path = ['Front Matter'] and item_ord is null then fhi else hi end as bigint) end_char from o left join top using (doc_id)""")
 def tree_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The places of tree nodes in the full text, each widened by those below it."""
-    placed = tree.container_spans(_grouped(spark, d), spans.item_spans(_lines(spark, d)))
-    return placed.select("doc_id", F.array_join("path", " > ").alias("path_text"), "sort_ord", "item_ord", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"))
+    """The places of tree nodes in the full text: body, heading, or what stands below."""
+    return _placed(spark, d).select("doc_id", F.array_join("path", " > ").alias("path_text"), "sort_ord", "item_ord", F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"))

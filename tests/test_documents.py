@@ -43,8 +43,12 @@ def test_tree(spark):
     assert [n["label"] for n in top] == ["Front Matter", "TITLE I"]
     assert [n["label"] for n in top[1]["children"]] == ["Roads", "Rails", "Roads"] and [n["label"] for n in top[1]["children"][0]["children"]] == ["Bridges", "sec. 1"]
     assert T.conservation(T.group_front_matter(t, items), items).count() == 0
-    spans = T.container_spans(t, spark.createDataFrame([("d", 1, 10, 20), ("d", 2, 30, 45), ("d", 4, 5, 8)], "doc_id string, item_ord int, start_char int, end_char int"))
-    assert {(tuple(r["path"]), r["start_char"], r["end_char"]) for r in spans.where("item_ord is null or item_ord in (1, 4)").collect()} == {(("TITLE I",), 5, 45), (("TITLE I", "Roads"), 5, 45), (("TITLE I", "Roads", "Bridges"), 10, 20)}
+    bodies = spark.createDataFrame([("d", "e1", 10, 20), ("d", "e2", 30, 45), ("d", "fm", 0, 4)], "doc_id string, element_id string, start_char int, end_char int")
+    headings = spark.createDataFrame([("d", ["TITLE I"], 6)], "doc_id string, path array<string>, start_char int")
+    spans = T.placed(T.group_front_matter(t, items), items, bodies, headings)
+    got = {(tuple(r["path"]), r["start_char"], r["end_char"]) for r in spans.where("coalesce(item_ord, 9) not in (3, 5)").collect()}
+    # a body, a heading, what stands below, and the opening around its parts
+    assert got == {(("TITLE I", "Roads", "Bridges"), 10, 20), (("TITLE I", "Roads", "sec. 1"), 30, 45), (("TITLE I",), 6, 13), (("TITLE I", "Roads"), 10, 45), (("Front Matter",), 0, 4), (("Front Matter", ""), 0, 4)}
     assert [r["walk_no"] for r in T.walk(t).collect() if r["item_ord"] == 0] == [1]
 
 
@@ -98,6 +102,47 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "o.json").read_text())["summary"]["modified"] == 1
 
 
+def test_plain_record(spark):
+    doc = json.loads(api.compare_xml(spark, OLD, NEW, output="diff", labels=("a", "b"), include_unchanged=True))
+    assert list(doc) == ["old_version", "new_version", "congress", "bill_type", "bill_number", "summary", "changes"]
+    assert (doc["old_version"], doc["congress"], doc["bill_number"]) == ("a", 118, 7) and doc["summary"] == {"added": 1, "removed": 1, "modified": 1, "unchanged": 2, "moved": 0}
+    assert [c["change_type"] for c in doc["changes"]].count("unchanged") == 2 and all("financial" not in c for c in doc["changes"])
+    doc = json.loads(api.compare_xml(spark, OLD, NEW, output="diff", financial=True, include_unchanged=False, needle="SEC. 1"))
+    (c,) = doc["changes"]
+    assert c["financial"]["old_amounts"] == [5000] and c["financial"]["paired_amounts"] == [[5000, 6000]] and c["financial"]["amounts_changed"] and doc["financial_summary"] == {"sections_with_financial_changes": 1}
+    assert doc["summary"]["modified"] == 1 and doc["summary"]["added"] == 0
+
+
+COVER = "118TH CONGRESS\n1 A BILL\n2 To pay for roads.\n"
+PAGE = COVER + "3 TITLE I\n4 SEC. 1. For roads, $5,000, to remain\n5 available.\n6 SEC. 2. Gone with the wind and rain for all.\n"
+
+
+def test_compare_printed(spark):
+    doc = json.loads(api.compare_printed(spark, [PAGE], [PAGE.replace("$5,000", "$6,000")]))
+    assert doc["bill"]["congress"] == "118" and doc["versions"]["v1"]["source"] == "pdf" and doc["summary"] == {"modified": 1}
+    (c,) = doc["changes"]
+    assert c["path"] == {"v1": ["TITLE I", "SEC. 1"], "v2": ["TITLE I", "SEC. 1"]} and c["amounts"] == [{"old": 5000, "new": 6000}]
+    for v, amount in (("v1", 5000), ("v2", 6000)):
+        text, span = doc["full_text"][v], c["full_text_span"][v]
+        assert text[span["start"] : span["end"]].lstrip().startswith("4  SEC. 1. For roads") and text[span["start"] : span["end"]].endswith("available.")
+        front, title = doc["tree"][v]
+        assert front["label"] == "Front Matter" and front["full_text_span"]["start"] == 0 and front["children"] == []
+        assert title["label"] == "TITLE I" and [n["label"] for n in title["children"]] == ["SEC. 1", "SEC. 2"]
+        assert title["children"][0]["own_amounts"] == [amount] and title["own_amounts"] == title["children"][1]["own_amounts"] == []
+        # own texts follow on each other and cover the whole
+        parts = [front["full_text_span"], title["full_text_span"], *(n["full_text_span"] for n in title["children"])]
+        assert all(a["end"] == b["start"] for a, b in zip(parts, parts[1:])) and parts[-1]["end"] == len(text)
+    page = api.compare_printed(spark, [PAGE], [PAGE.replace("$5,000", "$6,000")], "html")
+    assert "<del>$5,000,</del> <ins>$6,000,</ins>" in page
+
+
+def test_changes_without_element_are_looked_up(spark):
+    changes = spark.createDataFrame([("p", 1, "modified", "e1", "x", "one two", "one 2"), ("p", 2, "modified", "", "", "one", "one"), ("p", 3, "added", "", "", None, "nowhere"), ("p", 4, "unchanged", "", "", "one", "one"), ("q", 1, "removed", "e9", "", "z", None)], "pair_id string, change_no int, change_type string, element_id_old string, element_id_new string, old_text string, new_text string")
+    bodies = spark.createDataFrame([("p", "v1", "e1", 4, 11), ("q", "v1", "e9", 0, 1)], "pair_id string, side string, element_id string, start_char int, end_char int")
+    texts = spark.createDataFrame([("p", "v1", "one one two one"), ("p", "v2", "one 2 one"), ("q", "v1", "z")], "pair_id string, side string, full_text string")
+    assert rows(S.change_spans(changes, bodies, texts)) == {("p", "v1", 1, 4, 11), ("p", "v1", 2, 12, 15), ("p", "v2", 1, 0, 5), ("p", "v2", 2, 6, 9), ("p", "v2", 3, None, None), ("q", "v1", 1, 0, 1)}
+
+
 def test_documents_without_changes(spark):
     h = spark.createDataFrame([("p", "hr", 1, 118, "a", "b")], "pair_id string, bill_type string, number int, congress int, v1_label string, v2_label string")
     empty = contract.print_changes(spark.createDataFrame([], "pair_id string, hunk_no int, change_type string, v1_anchor string, v2_anchor string, v1_range struct<start_page:int,start_line:int,end_page:int,end_line:int>, v2_range struct<start_page:int,start_line:int,end_page:int,end_line:int>, v1_text string, v2_text string, amount_pairs array<struct<old:bigint,new:bigint>>"))
