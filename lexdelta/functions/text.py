@@ -53,6 +53,13 @@ def amounts(c: str | Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, r"[$,]", "").try_cast("bigint"))
 
 
+def word_amounts(c: str | Column) -> Column:
+    """ARRAY<STRUCT<word_no, amount>>: the first amount of each word that has one, amendment notes aside."""
+    ws = words(F.regexp_replace(F.coalesce(col(c), F.lit("")), ANNOTATION, ""))
+    each = F.transform(ws, lambda w, i: F.struct(i.alias("word_no"), F.regexp_replace(F.regexp_extract(w, f"({AMOUNT})", 1), r"[$,]", "").try_cast("bigint").alias("amount")))
+    return F.filter(each, lambda x: x["amount"].isNotNull())
+
+
 def has_annotation(c: str | Column) -> Column:
     return F.coalesce(col(c).rlike(ANNOTATION), F.lit(False))
 

@@ -25,6 +25,22 @@ def bag_similarity(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     return out.withColumn("class", similarity_class(F.col("bag")))
 
 
+def edit_ratio(a: Column, b: Column, most: int | None = None) -> Column:
+    """1 less the edit distance as a share of the longer text; 1 for equal texts, 0 where one is empty.
+
+    Whole texts count; ``most`` cuts both to so many characters, as surveys of very long texts may want.
+    """
+    x, y = (a, b) if most is None else (F.substring(a, 1, most), F.substring(b, 1, most))
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
+
+
+def token_jaccard(a: Column, b: Column) -> Column:
+    """The Jaccard index of the lower-cased word sets; 1 where both are empty."""
+    x, y = (F.array_distinct(words(F.lower(c))) for c in (a, b))
+    union = F.size(F.array_union(x, y))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+
 def rewrite_candidates(changes: DataFrame, longer_than: int = 50) -> DataFrame:
     """(removed_id, added_id): removed and added texts of one bill and path, both longer than 50 characters."""
     side = lambda kind, c, i: changes.where((F.col("change_type") == kind) & (F.length(collapse(c)) > longer_than)).select("bill_id", "match_path", F.col("change_id").alias(i))

@@ -98,13 +98,22 @@ def own_blocks(anchors: DataFrame, size: Column) -> DataFrame:
 def accept_marks(spans: DataFrame) -> DataFrame:
     """(doc_id, start_char, end_char, mark_id): of overlapping spans the first to start stays.
 
-    The cursor moves on accepted spans only, so this is a fold over one document's sorted spans, not a window.
+    The cursor moves on accepted spans only, so this is a pass over one document's sorted spans, not a window; a document is
+    a group. Equal starts go by end and then by mark.
     """
-    s = F.sort_array(F.collect_list(F.struct(F.col("start_char").alias("s"), F.col("end_char").alias("e"), F.col("mark_id").alias("m"))))
-    zero = "named_struct('at', cast(0 as bigint), 'ok', cast(array() as array<struct<s:bigint,e:bigint,m:bigint>>))"
-    fold = f"aggregate(l, {zero}, (a, x) -> if(x.s < a.at, a, named_struct('at', x.e, 'ok', array_append(a.ok, x))), a -> a.ok)"
+    import numpy as np
+    import pandas as pd
+
+    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start_char", "end_char", "mark_id"])
+        at, keep = 0, np.zeros(len(pdf), bool)
+        for n, (start, end) in enumerate(zip(pdf["start_char"], pdf["end_char"])):
+            if start >= at:
+                at, keep[n] = end, True
+        return pdf[keep]
+
     lean = spans.where("start_char is not null and end_char is not null").select("doc_id", F.col("start_char").cast("bigint"), F.col("end_char").cast("bigint"), F.col("mark_id").cast("bigint"))
-    return lean.groupBy("doc_id").agg(s.alias("l")).select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", F.col("x.s").alias("start_char"), F.col("x.e").alias("end_char"), F.col("x.m").alias("mark_id"))
+    return lean.groupBy("doc_id").applyInPandas(accept, lean.schema)
 
 
 def marks_on_rows(rows: DataFrame, marks: DataFrame, bucket: int = 4096) -> DataFrame:

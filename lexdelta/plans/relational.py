@@ -10,7 +10,7 @@ from lexdelta.functions import udfs
 from lexdelta.operators import anchors as A
 from lexdelta.operators import catalog, compare, spans, validation
 from lexdelta.plans.registry import Registry
-from lexdelta.plans.versions import LAST_SQL, latest_nodes
+from lexdelta.plans.versions import LAST_SQL, SIDES_SQL, latest_nodes, sides
 from lexdelta.sources import index as I
 from lexdelta.sources import print_lines as P
 from lexdelta.sources import reports as reports_
@@ -18,8 +18,7 @@ from lexdelta.sources.tables import table
 
 R = Registry()
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-AMOUNT = r"\$\d{1,3}(?:,\d{3})+|\$\d+"
-NOTE = r"\((?:increased|reduced|decreased) by\s+\$[\d,]+\)"
+AMOUNT, NOTE = T.AMOUNT, T.ANNOTATION  # fixed values
 
 
 def norm_sql(c: str) -> str:
@@ -39,6 +38,16 @@ def lines_of(df: DataFrame, key: str, c: str) -> DataFrame:
     return df.where(F.col(c).isNotNull()).select(key, F.posexplode(F.split(c, "\n")).alias("line_ord", "text"))
 
 
+def side_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, line_ord, text): the lines of both sides of each archived hunk, ``v1-<id>`` and ``v2-<id>``."""
+    h = table(spark, d, "pdf_hunks")
+    one = lambda v: lines_of(h.withColumn("doc_id", F.concat(F.lit(f"{v}-"), F.col("hunk_id").cast("string"))), "doc_id", f"{v}_text")
+    return one("v1").unionByName(one("v2"))
+
+
+SIDE_LINES = "(select doc_id, generate_subscripts(l, 1) - 1 line_ord, unnest(l) as \"text\" from (select 'v1-' || hunk_id doc_id, string_split(v1_text, chr(10)) l from pdf_hunks where v1_text is not null union all select 'v2-' || hunk_id, string_split(v2_text, chr(10)) from pdf_hunks where v2_text is not null))"
+
+
 def lines_sql(t: str, key: str, c: str) -> str:
     return f"(select {key}, generate_subscripts(l, 1) - 1 line_ord, unnest(l) as \"text\" from (select {key}, string_split({c}, chr(10)) l from {t} where {c} is not null))"
 
@@ -56,9 +65,10 @@ def header_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bill_nodes").select("node_id", T.header_norm("header_text").alias("header"), T.division_title("division_label").alias("division"))
 
 
-@R.add("extract_amounts", f"select change_id, generate_subscripts(a, 1) - 1 as \"at\", unnest(a) amount from (select change_id, {amounts_sql('new_text')} a from node_changes)")
+@R.add("extract_amounts", " union all ".join(f"select change_id, '{c}' side, generate_subscripts(a, 1) - 1 as \"at\", unnest(a) amount from (select change_id, {amounts_sql(c)} a from node_changes)" for c in ("old_text", "new_text")))
 def extract_amounts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "node_changes").select("change_id", F.posexplode(T.amounts("new_text")).alias("at", "amount"))
+    one = lambda c: table(spark, d, "node_changes").select("change_id", F.lit(c).alias("side"), F.posexplode(T.amounts(c)).alias("at", "amount"))
+    return one("old_text").unionByName(one("new_text"))
 
 
 @R.add("amount_flags", f"select change_id, list_sort({amounts_sql('old_text')}) <> list_sort({amounts_sql('new_text')}) amounts_changed, coalesce(regexp_matches(old_text, '{NOTE}'), false) or coalesce(regexp_matches(new_text, '{NOTE}'), false) annotated from node_changes")
@@ -66,12 +76,11 @@ def amount_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "node_changes").select("change_id", compare.amounts_changed(F.col("old_text"), F.col("new_text")).alias("amounts_changed"), (T.has_annotation("old_text") | T.has_annotation("new_text")).alias("annotated"))
 
 
-@R.add("word_amounts", f"select change_id, i word_no, cast(regexp_replace(regexp_extract(w, '{AMOUNT}'), '[$,]', '', 'g') as bigint) amount from (select change_id, generate_subscripts(ws, 1) - 1 i, unnest(ws) w from (select change_id, {words_sql(f'regexp_replace(new_text, $${NOTE}$$, $$$$, $$g$$)')} ws from node_changes)) where regexp_matches(w, '{AMOUNT}')")
+@R.add("word_amounts", " union all ".join(f"select change_id, '{c}' side, cast(i as int) word_no, cast(regexp_replace(regexp_extract(w, '{AMOUNT}'), '[$,]', '', 'g') as bigint) amount from (select change_id, generate_subscripts(ws, 1) - 1 i, unnest(ws) w from (select change_id, {words_sql(f"regexp_replace({c}, '{NOTE}', '', 'g')")} ws from node_changes)) where regexp_matches(w, '{AMOUNT}')" for c in ("old_text", "new_text")))
 def word_amounts(spark: SparkSession, d: str) -> DataFrame:
     """The first amount of each word, with the word's place."""
-    w = table(spark, d, "node_changes").select("change_id", F.posexplode(T.words(F.regexp_replace("new_text", T.ANNOTATION, ""))).alias("word_no", "w"))
-    hit = F.regexp_extract("w", f"({T.AMOUNT})", 1)
-    return w.where(hit != "").select("change_id", "word_no", F.regexp_replace(hit, r"[$,]", "").cast("bigint").alias("amount"))
+    one = lambda c: table(spark, d, "node_changes").select("change_id", F.lit(c).alias("side"), F.inline(T.word_amounts(c)))
+    return one("old_text").unionByName(one("new_text"))
 
 
 @R.add("unified_diff", f"""select change_id, case when o = n then '' else '--- old' || chr(10) || '+++ new' || chr(10) || '@@ -' || case when o = '' then '0,0' else '1' end || ' +' || case when n = '' then '0,0' else '1' end || ' @@' || case when o = '' then '' else chr(10) || '-' || o end || case when n = '' then '' else chr(10) || '+' || n end end diff
@@ -110,9 +119,9 @@ def account_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "report_accounts").select("account_id", T.alnum_name(F.col("heading")).alias("name"))
 
 
-@R.add("glyph_norm", "select hunk_id, replace(translate(v2_text, '‐‑‒–—―−‘’‚‛“”„‟', '-------''''''''\"\"\"\"'), '''''', '\"') as \"text\" from pdf_hunks")
+@R.add("glyph_norm", "select hunk_id, " + ", ".join(f"replace(translate({c}, '‐‑‒–—―−‘’‚‛“”„‟', '-------''''''''\"\"\"\"'), '''''', '\"') {c}" for c in ("v1_text", "v2_text")) + " from pdf_hunks")
 def glyph_norm(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pdf_hunks").select("hunk_id", T.glyph_norm(F.col("v2_text")).alias("text"))
+    return table(spark, d, "pdf_hunks").select("hunk_id", *(T.glyph_norm(F.col(c)).alias(c) for c in ("v1_text", "v2_text")))
 
 
 # --- similarity ---------------------------------------------------------------------------------
@@ -128,10 +137,26 @@ def bag_similarity(spark: SparkSession, d: str) -> DataFrame:
     return catalog.bag_similarity(table(spark, d, "node_changes"), "change_id", "old_text", "new_text")
 
 
-@R.add("levenshtein_ratio")
-def levenshtein_ratio(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "node_changes").where("old_text <> '' and new_text <> ''")
-    return c.select("change_id", F.round(1 - F.levenshtein("old_text", "new_text") / F.greatest(F.length("old_text"), F.length("new_text")), 9).alias("ratio"))
+@R.add("edit_ratio")
+def edit_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """The edit ratio of whole texts; without SQL, whose distance counts bytes."""
+    c = table(spark, d, "node_changes").where("old_text is not null and new_text is not null")
+    return c.select("change_id", F.round(catalog.edit_ratio(F.col("old_text"), F.col("new_text")), 9).alias("ratio"))
+
+
+@R.add("token_jaccard", f"""with w as (select change_id, list_distinct({words_sql('lower(old_text)')}) a, list_distinct({words_sql('lower(new_text)')}) b from node_changes where old_text is not null and new_text is not null)
+select change_id, round(case when len(a) + len(b) = 0 then 1.0 else cast(len(list_intersect(a, b)) as double) / (len(a) + len(b) - len(list_intersect(a, b))) end, 9) jaccard from w""")
+def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """The Jaccard index of the words of both texts, case aside."""
+    c = table(spark, d, "node_changes").where("old_text is not null and new_text is not null")
+    return c.select("change_id", F.round(catalog.token_jaccard(F.col("old_text"), F.col("new_text")), 9).alias("jaccard"))
+
+
+@R.add("casefold_ratio")
+def casefold_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """The word ratio of lower-cased texts."""
+    c = table(spark, d, "node_changes").where("old_text is not null and new_text is not null")
+    return c.select("change_id", F.round(udfs.seq_ratio(F.lower("old_text"), F.lower("new_text")), 9).alias("ratio"))
 
 
 @R.add("seq_ratio")
@@ -151,9 +176,12 @@ def pair_amounts(spark: SparkSession, d: str) -> DataFrame:
     return compare.money_rows(c)
 
 
-@R.add("rewrite_candidates", f"select a.change_id removed_id, b.change_id added_id from node_changes a join node_changes b on a.bill_id = b.bill_id and a.match_path = b.match_path where a.change_type = 'removed' and b.change_type = 'added' and length({norm_sql('a.old_text')}) > 50 and length({norm_sql('b.new_text')}) > 50")
+@R.add("rewrite_candidates", "with " + SIDES_SQL + f" select a.node_id removed_id, b.node_id added_id from sides a join sides b on a.pair_id = b.pair_id and a.match_path = b.match_path where a.side = 'old' and b.side = 'new' and length({norm_sql('a.body_text')}) > 50 and length({norm_sql('b.body_text')}) > 50")
 def rewrite_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.rewrite_candidates(table(spark, d, "node_changes"))
+    """Long texts of one path in two neighbouring versions, every old one taken as removed and every new one as added."""
+    n = sides(spark, d, "node_id").withColumnRenamed("pair_id", "bill_id").withColumn("change_id", F.col("node_id"))
+    one = lambda side, kind, mine, other: n.where(F.col("side") == side).select("bill_id", "match_path", "change_id", F.lit(kind).alias("change_type"), F.col("body_text").alias(mine), F.lit(None).cast("string").alias(other))
+    return catalog.rewrite_candidates(one("old", "removed", "old_text", "new_text").unionByName(one("new", "added", "new_text", "old_text")))
 
 
 @R.add("similarity_histogram", _BAG + " select least(floor(bag * 10), 9) bin, count(*) n from b group by 1")
@@ -204,18 +232,18 @@ def financial_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- lines --------------------------------------------------------------------------------------
 
 
-@R.add("hyphen_islands", f"""with l as {lines_sql('pdf_hunks', 'hunk_id', 'v2_text')}, m as (select *, case when coalesce(regexp_matches(lag("text") over w, '[\\p{{L}}\\p{{N}}]-$'), false) and regexp_matches("text", '^\\p{{Ll}}') then 0 else 1 end f from l window w as (partition by hunk_id order by line_ord)),
-g as (select *, sum(f) over (partition by hunk_id order by line_ord) g, max(line_ord) over (partition by hunk_id) z from m), k as (select hunk_id, g, min(line_ord) a, max(line_ord) b from g group by all)
-select g.hunk_id, k.a line_ord, string_agg(case when g.line_ord < k.b then regexp_replace("text", '-$', '') else "text" end, '' order by g.line_ord) as "text" from g join k on g.hunk_id = k.hunk_id and g.g = k.g group by g.hunk_id, k.a""")
+@R.add("hyphen_islands", f"""with l as {SIDE_LINES}, m as (select *, case when coalesce(regexp_matches(lag("text") over w, '[\\p{{L}}\\p{{N}}]-$'), false) and regexp_matches("text", '^\\p{{Ll}}') then 0 else 1 end f from l window w as (partition by doc_id order by line_ord)),
+g as (select *, sum(f) over (partition by doc_id order by line_ord) g from m), k as (select doc_id, g, min(line_ord) a, max(line_ord) b from g group by all)
+select g.doc_id, k.a line_ord, string_agg(case when g.line_ord < k.b then regexp_replace("text", '-$', '') else "text" end, '' order by g.line_ord) as "text" from g join k on g.doc_id = k.doc_id and g.g = k.g group by g.doc_id, k.a""")
 def hyphen_islands(spark: SparkSession, d: str) -> DataFrame:
     """Lines broken inside a word joined."""
-    return P.merge_hyphens(lines_of(table(spark, d, "pdf_hunks"), "hunk_id", "v2_text"), ["hunk_id"], ["line_ord"]).select("hunk_id", "line_ord", "text")
+    return P.merge_hyphens(side_lines(spark, d), ["doc_id"], ["line_ord"]).select("doc_id", "line_ord", "text")
 
 
-@R.add("running_offsets", f"""select hunk_id doc_id, line_ord, coalesce(sum(length("text") + 8) over (partition by hunk_id order by line_ord rows between unbounded preceding and 1 preceding), 0) start_char from {lines_sql('pdf_hunks', 'hunk_id', 'v2_text')}""")
+@R.add("running_offsets", f"""select doc_id, line_ord, coalesce(sum(length("text") + 8) over (partition by doc_id order by line_ord rows between unbounded preceding and 1 preceding), 0) start_char from {SIDE_LINES}""")
 def running_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Where each line starts in the rendered text (five places for the number, two blanks, a line end)."""
-    l = lines_of(table(spark, d, "pdf_hunks"), "hunk_id", "v2_text").withColumnRenamed("hunk_id", "doc_id").withColumns({"page": F.lit(1), "line_number": F.lit(None).cast("int")})
+    l = side_lines(spark, d).withColumns({"page": F.lit(1), "line_number": F.lit(None).cast("int")})
     return P.rendered(l).select("doc_id", "line_ord", "start_char")
 
 
@@ -243,19 +271,20 @@ def report_cells(spark: SparkSession, d: str) -> DataFrame:
 # --- marks ----------------------------------------------------------------------------------------
 
 
-@R.add("overlap_marks", f"""with l as (select hunk_id, line_ord, coalesce(sum(length("text") + 1) over (partition by hunk_id order by line_ord rows between unbounded preceding and 1 preceding), 0) s, length("text") n from {lines_sql('pdf_hunks', 'hunk_id', 'v1_text')}), m as (select hunk_id, hunk_id mark_id, start_page s, start_page + 10 * start_line e from (select hunk_id, v1_range.start_page start_page, v1_range.start_line start_line from pdf_hunks))
-select l.hunk_id doc_id, line_ord row_id, mark_id, greatest(l.s, m.s) from_char, least(l.s + n, m.e) to_char from l join m on l.hunk_id = m.hunk_id and m.s < l.s + n and m.e > l.s where n > 0 and m.e > m.s""")
+@R.add("overlap_marks", f"""with l as (select doc_id, line_ord, coalesce(sum(length("text") + 1) over (partition by doc_id order by line_ord rows between unbounded preceding and 1 preceding), 0) s, length("text") n from {SIDE_LINES}), m as (select 'v1-' || hunk_id doc_id, hunk_id mark_id, v1_range.start_page s, v1_range.start_page + 10 * v1_range.start_line e from pdf_hunks union all select 'v2-' || hunk_id, hunk_id, v2_range.start_page, v2_range.start_page + 10 * v2_range.start_line from pdf_hunks)
+select l.doc_id, line_ord row_id, mark_id, greatest(l.s, m.s) from_char, least(l.s + n, m.e) to_char from l join m on l.doc_id = m.doc_id and m.s < l.s + n and m.e > l.s where n > 0 and m.e > m.s""")
 def overlap_marks(spark: SparkSession, d: str) -> DataFrame:
     """The part of each mark on each line it overlaps; marks are derived from the hunks' ranges."""
-    h = table(spark, d, "pdf_hunks")
-    w = Window.partitionBy("hunk_id").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, -1)
-    l = lines_of(h, "hunk_id", "v1_text").withColumn("row_start", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)))
-    rows = l.select(F.col("hunk_id").alias("doc_id"), F.col("line_ord").alias("row_id"), "row_start", (F.col("row_start") + F.length("text")).alias("row_end"))
-    m = h.select(F.col("hunk_id").alias("doc_id"), F.col("hunk_id").alias("mark_id"), F.col("v1_range.start_page").alias("start_char"), (F.col("v1_range.start_page") + 10 * F.col("v1_range.start_line")).alias("end_char"))
-    return spans.marks_on_rows(rows, m)
+    w = Window.partitionBy("doc_id").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, -1)
+    l = side_lines(spark, d).withColumn("row_start", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)))
+    rows = l.select("doc_id", F.col("line_ord").alias("row_id"), "row_start", (F.col("row_start") + F.length("text")).alias("row_end"))
+    one = lambda v: table(spark, d, "pdf_hunks").select(F.concat(F.lit(f"{v}-"), F.col("hunk_id").cast("string")).alias("doc_id"), F.col("hunk_id").alias("mark_id"), F.col(f"{v}_range.start_page").alias("start_char"), (F.col(f"{v}_range.start_page") + 10 * F.col(f"{v}_range.start_line")).alias("end_char"))
+    return spans.marks_on_rows(rows, one("v1").unionByName(one("v2")))
 
 
-@R.add("accept_marks")
+@R.add("accept_marks", """with recursive m as (select user_id doc_id, cast(floor(epoch(ts)) as bigint) s, event_id id from events), q as (select doc_id, min({'s': s, 'id': id}) x from m group by 1
+ union all select q.doc_id, (select min({'s': m.s, 'id': m.id}) from m where m.doc_id = q.doc_id and m.s >= q.x.s + 86400) from q where (select min(m.s) from m where m.doc_id = q.doc_id and m.s >= q.x.s + 86400) is not null)
+select doc_id, x.s start_char, x.s + 86400 end_char, x.id mark_id from q""")
 def accept_marks(spark: SparkSession, d: str) -> DataFrame:
     """Events as marks of their user's timeline, overlapping ones dropped: first placement wins."""
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
@@ -424,10 +453,10 @@ def version_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bill_versions").select("version_id", T.version_path(F.col("bill_id"), F.col("version_no"), F.col("version_label")).alias("path"))
 
 
-@R.add("heading_predicates", f"""select hunk_id, line_ord, regexp_matches("text", '\\p{{L}}') and not regexp_matches("text", '\\p{{Ll}}') and not regexp_matches("text", '^TITLE\\s+[IVXLC]+\\b') and not regexp_matches("text", '^SEC(TION)?\\.?\\s+\\d+\\b') heading, regexp_matches("text", '[a-z]') lower_case, regexp_matches(trim("text"), '^\\(.*\\)$') in_parentheses, upper(list_last(regexp_split_to_array(trim("text"), '\\s+'))) in ('AND','OR','OF','FOR','TO','THE','A','AN','IN','ON','WITH','AT','BY') dangling from {lines_sql('pdf_hunks', 'hunk_id', 'v1_text')}""")
+@R.add("heading_predicates", f"""select doc_id, line_ord, regexp_matches("text", '\\p{{L}}') and not regexp_matches("text", '\\p{{Ll}}') and not regexp_matches("text", '^TITLE\\s+[IVXLC]+\\b') and not regexp_matches("text", '^SEC(TION)?\\.?\\s+\\d+\\b') heading, regexp_matches("text", '[a-z]') lower_case, regexp_matches(trim("text"), '^\\(.*\\)$') in_parentheses, upper(list_last(regexp_split_to_array(trim("text"), '\\s+'))) in ('AND','OR','OF','FOR','TO','THE','A','AN','IN','ON','WITH','AT','BY') dangling from {SIDE_LINES}""")
 def heading_predicates(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return lines_of(table(spark, d, "pdf_hunks"), "hunk_id", "v1_text").select("hunk_id", "line_ord", A.is_heading(t).alias("heading"), A.has_lowercase(t).alias("lower_case"), A.is_parenthetical(t).alias("in_parentheses"), A.dangles(t).alias("dangling"))
+    return side_lines(spark, d).select("doc_id", "line_ord", A.is_heading(t).alias("heading"), A.has_lowercase(t).alias("lower_case"), A.is_parenthetical(t).alias("in_parentheses"), A.dangles(t).alias("dangling"))
 
 
 @R.add("searched_spans")

@@ -32,11 +32,11 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
     return resolve_versions(table(spark, d, "bill_nodes"), table(spark, d, "bill_versions"))
 
 
-def latest_nodes(spark: SparkSession, d: str) -> DataFrame:
+def latest_nodes(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Nodes of every version of each bill, a node once a version: the one loaded last."""
     # a row number instead of max_by over a struct: unused columns are pruned, and older loads go before the shuffle
     w = Window.partitionBy("bill_id", "version", "node_ord").orderBy(F.desc("loaded_at"), F.desc("node_id"))
-    return resolved(spark, d).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("bill_id", "version", "node_ord", *KEEP, *SHOWN)
+    return resolved(spark, d).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("bill_id", "version", "node_ord", *KEEP, *SHOWN, *more)
 
 
 def bill_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -51,11 +51,11 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.concat("bill_id", F.lit(":"), "old", F.lit("-"), "new").alias("pair_id"), "bill_id", "old", "new")
 
 
-def sides(spark: SparkSession, d: str) -> DataFrame:
+def sides(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Nodes of each two neighbouring versions of each bill as the sides of one comparison."""
     side = lambda s: F.struct(F.col(s).alias("version"), F.lit(s).alias("side"))
     each = steps(spark, d).select("pair_id", "bill_id", F.inline(F.array(side("old"), side("new"))))
-    return latest_nodes(spark, d).join(each, ["bill_id", "version"]).select("pair_id", "side", "node_ord", *KEEP)
+    return latest_nodes(spark, d, *more).join(each, ["bill_id", "version"]).select("pair_id", "side", "node_ord", *KEEP, *more)
 
 
 @R.add("compare_changes")

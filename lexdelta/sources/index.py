@@ -160,12 +160,12 @@ def ingest(index: DataFrame, members: DataFrame, mode: str = "merge") -> DataFra
 def valid_uploads(files: DataFrame, most: int = 150 * 1024 * 1024) -> DataFrame:
     """Adds ``kind`` (xml, pdf) and ``error`` to files (path, length, content): too large, or neither kind by its first bytes."""
     head = F.decode(F.substring("content", 1, 64), "ISO-8859-1")
-    kind = F.when(head.startswith("%PDF-"), "pdf").when(F.ltrim(F.regexp_replace(head, "^ï»¿", "")).startswith("<"), "xml")
+    kind = F.when(head.startswith("%PDF-"), "pdf").when(F.regexp_replace(head, r"^(?:ï»¿)?\s*", "").startswith("<"), "xml")
     return files.withColumn("kind", kind).withColumn("error", F.when(F.col("length") > most, "too large").when(F.col("kind").isNull(), "unknown kind"))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Accounts of ground-truth files ``{source, note, accounts[]}``."""
     schema = "source string, note string, accounts array<struct<bill:string,version:string,fy:string,chamber:string,title:string,bureau:string,excel_name:string,match_path:array<string>,expected_amount:bigint>>"
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    raw = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
     return raw.select("source", F.explode("accounts").alias("a")).select("source", "a.*")

@@ -25,9 +25,9 @@ def canon(x):
 
 def core():
     import __spark_entry__ as e
-    from lexdelta.plans import documents, printed, problems, relational, structure, versions
+    from lexdelta.plans import delivered, documents, printed, problems, relational, structure, versions
 
-    names = [n for r in (problems.R, versions.R, relational.R, structure.R, printed.R, documents.R) for n in r.sql]
+    names = [n for r in (problems.R, versions.R, relational.R, structure.R, printed.R, documents.R, delivered.R) for n in r.sql]
     return e, names
 
 
