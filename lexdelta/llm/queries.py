@@ -28,6 +28,13 @@ t as (select 'body_text' field_name, node_id id, n.bill_id, {_WORDS.format("body
 g as (select field_name, id, bill_id, {_GRAMS.format(1, 2)} s from t where len(w) >= 25), e as (select field_name, id, bill_id, len(s) n, unnest(s) x from g),
 p as (select a.field_name, a.id id_a, b.id id_b, a.n na, b.n nb, count(*) c from e a join e b on a.field_name = b.field_name and a.x = b.x and a.id < b.id and a.bill_id <> b.bill_id group by all)
 select field_name, id_a, id_b from p where cast(c as double) / (na + nb - c) >= 0.6"""
+_P4_CLASSES = f"""with lab as (select bill_id, version_label, max(version_no) v from bill_versions where version_no is not null group by all),
+t as (select 'body_text' field_name, node_id id, {_WORDS.format("body_text")} w from bill_nodes n left join lab on n.bill_id = lab.bill_id and n.version_label = lab.version_label where coalesce(n.version_no, lab.v) = 1 and body_text is not null
+ union all select 'old_text', change_id, {_WORDS.format("old_text")} from node_changes where old_text is not null union all select 'new_text', change_id, {_WORDS.format("new_text")} from node_changes where new_text is not null),
+c as (select field_name, id, min(id) over (partition by field_name, array_to_string(w, ' ')) rep, w from t where len(w) >= 25), e as (select field_name, id, len(s) n, unnest(s) x from (select field_name, id, {_GRAMS.format(1, 2)} s from c where id = rep)),
+p as (select a.field_name, a.id id_a, b.id id_b, cast(count(*) as double) / (a.n + b.n - count(*)) sim from e a join e b on a.field_name = b.field_name and a.x = b.x and a.id < b.id group by a.field_name, a.id, b.id, a.n, b.n),
+pairs as (select * from p where sim >= 0.6)
+"""
 _P7 = f"""with d as (select distinct doc_id, unnest({_GRAMS.format(16, 17)}) x from (select doc_id, {_WORDS.format('"text"')} w from documents where "text" is not null) where len(w) >= 18),
 i as (select distinct item_id, unnest({_GRAMS.format(16, 17)}) x from (select item_id, {_WORDS.format('"text"')} w from eval_items where "text" is not null) where len(w) >= 18)
 select distinct doc_id, item_id from d join i using (x)"""
@@ -79,14 +86,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(_fields(spark, d)).expanded().withColumnRenamed("field", "field_name")
 
 
-@R.add("p4_pairs")
+@R.add("p4_pairs", _P4_CLASSES + "select field_name, id_a, id_b, round(sim, 6) similarity from pairs")
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate representatives with their similarity."""
     found = neardup.NearDuplicates(_fields(spark, d))
     return found.pairs.select(F.col("field").alias("field_name"), F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
 
 
-@R.add("p4_members")
+@R.add("p4_members", _P4_CLASSES + "select c.field_name, c.id, rep class_id, (select count(*) from pairs where pairs.field_name = c.field_name and (id_a = rep or id_b = rep)) n_links from c")
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
     """Each text's class of exact copies and its number of near-duplicate classes."""
     found = neardup.NearDuplicates(_fields(spark, d))
@@ -132,7 +139,7 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d)
 
 
-@R.add("p7_clean")
+@R.add("p7_clean", f"select doc_id, source from documents where doc_id is null or doc_id not in (select doc_id from ({_P7}))")
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     """The corpus without the documents that hold leaked passages."""
     return leakage.without_leaks(table(spark, d, "documents"), _leaked(spark, d)).select("doc_id", "source")
