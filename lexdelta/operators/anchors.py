@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How far sizes may differ, the share of lines whose size must be known, and how headings are printed.
 EPS, COVERAGE = 0.3, 0.85
 TITLE, SECTION = r"^TITLE\s+([IVXLC]+)\b.*$", r"^(SEC(?:TION)?\.?\s+\d+)\b"
 BANNER = r"^DIVISION\s+([A-Z]+)\s*[—–]"

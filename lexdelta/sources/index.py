@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The columns the bulk ingest writes.
-STATUS_COLUMNS = "id title introducedDate lastActionDate daysActive status policyArea historySize summaryLength actionCount versionCount budgetEstimateCount amendmentCount relatedBillsCount committeeCount sponsorCount".split()
+STATUS_COLUMNS = (
+    "id", "title", "introducedDate", "lastActionDate", "daysActive", "status", "policyArea", "historySize",
+    "summaryLength", "actionCount", "versionCount", "budgetEstimateCount", "amendmentCount", "relatedBillsCount", "committeeCount", "sponsorCount",
+)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

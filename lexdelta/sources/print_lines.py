@@ -17,24 +17,31 @@ from lexdelta.functions.kernels import lines_from_glyphs
 
 #: Fixed value: the soft hyphen as the text layer gives it.
 SOFT = chr(0xFFFE)
+# A margin number; a footer or watermark glued to a line's end; numbered lines; page numbers, running
+# heads and feet, print lines and watermarks.
+MARGIN, GLUED, NUMBERED = r"(\d{1,2}) ", r"(?:VerDate\b|\S* on DSK)[^\n]*", r"^(\d{1,2}) (.*)$"
+CHROME = (
+    r"\A\d+ *\n",
+    r"(?m)^•(?:HR|S)\b.*\n",
+    r"(?m)^(?:H|S|HR|HRES|SRES|HJRES|SJRES|HCONRES|SCONRES)\s+\d+\s+[A-Z]{2,4}$\n?",
+    r"(?s)\n?VerDate\b.*\z",
+    r"(?s)\n?\S+ on DSK\S*PROD with .*\z",
+)
 
 
 def normalize_raw(c: Column) -> Column:
     """Line ends to LF; a soft hyphen with the next line's number after it becomes a hyphen and a line break; glued
     footers are cut; other soft hyphens before a lower-case letter join the word; line ends are trimmed."""
     c = F.replace(c, F.lit("\r\n"), F.lit("\n"))
-    c = F.regexp_replace(c, SOFT + r"(\d{1,2}) ", "-\n$1 ")
-    c = F.regexp_replace(c, SOFT + r"(?:VerDate\b|\S* on DSK)[^\n]*", "-")
+    c = F.regexp_replace(c, SOFT + MARGIN, "-\n$1 ")
+    c = F.regexp_replace(c, SOFT + GLUED, "-")
     c = F.regexp_replace(c, SOFT + r"([a-z])", "$1")
     return F.regexp_replace(F.replace(c, F.lit(SOFT), F.lit("-")), r"[^\S\n]+(?=\n|\z)", "")
 
 
 def strip_chrome(c: Column) -> Column:
     """Without page number, running headers and footers, and what stands below the print line or the watermark."""
-    for pattern in (
-        r"\A\d+ *\n", r"(?m)^•(?:HR|S)\b.*\n", r"(?m)^(?:H|S|HR|HRES|SRES|HJRES|SJRES|HCONRES|SCONRES)\s+\d+\s+[A-Z]{2,4}$\n?",
-        r"(?s)\n?VerDate\b.*\z", r"(?s)\n?\S+ on DSK\S*PROD with .*\z",
-    ):
+    for pattern in CHROME:
         c = F.regexp_replace(c, pattern, "")
     return c
 
@@ -47,8 +54,8 @@ def print_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page, line_ord, line_number, text): one row a printed line; unnumbered lines have a NULL number."""
     text = strip_chrome(normalize_raw(F.coalesce("text", F.lit(""))))
     each = pages.select("doc_id", "page", F.posexplode(F.split(text, "\n")).alias("line_ord", "raw"))
-    number = F.regexp_extract("raw", r"^(\d{1,2}) (.*)$", 1)
-    return each.select("doc_id", "page", "line_ord", F.when(number != "", number.cast("int")).alias("line_number"), F.when(number != "", F.regexp_extract("raw", r"^(\d{1,2}) (.*)$", 2)).otherwise(F.col("raw")).alias("text"))
+    number = F.regexp_extract("raw", NUMBERED, 1)
+    return each.select("doc_id", "page", "line_ord", F.when(number != "", number.cast("int")).alias("line_number"), F.when(number != "", F.regexp_extract("raw", NUMBERED, 2)).otherwise(F.col("raw")).alias("text"))
 
 
 def merge_hyphens(lines: DataFrame, within: list[str], order: list[str]) -> DataFrame:

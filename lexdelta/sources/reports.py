@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Words that make a line part of a table's head, and words that title case leaves small.
 _TABLE_HEAD = r"(?i)\b(?:recommendation|estimate|appropriations?|fiscal year|grand total|budget|amount|project title|activity)\b"
-_SMALL = "of and the for to in a an on at by or with".split()
+_SMALL = ("of", "and", "the", "for", "to", "in", "a", "an", "on", "at", "by", "or", "with")
+# How dotted rows, summary lines and titles are printed.
 _ROW = r"^(\s*.*?\S)\.{2,}\s+(.*\d.*)$"
 _SUMMARY = r"^Committee recommendation\.{2,}\s+\$?([\d,]+)\s*$"
 _TITLE = r"^\s*TITLE [IVXLC]+(?:\s*[-—–]{1,2}\s*(.+?))?\s*$"

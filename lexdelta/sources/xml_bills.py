@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Elements whose text is a unit of its own, set apart from its neighbours by a blank.
-BLOCKS = frozenset(
-    "text header paragraph proviso subparagraph subsection section clause subclause quoted-block after-quoted-block title subtitle "
-    "continuation-text division part chapter item subitem list-item toc toc-entry appropriations-major appropriations-intermediate "
-    "appropriations-small row entry committee-name action action-date action-desc form header-in-text".split()
-)
+BLOCKS = frozenset({
+    "text", "header", "paragraph", "proviso", "subparagraph", "subsection", "section", "clause", "subclause", "quoted-block", "after-quoted-block",
+    "title", "subtitle", "continuation-text", "division", "part", "chapter", "item", "subitem", "list-item", "toc", "toc-entry",
+    "appropriations-major", "appropriations-intermediate", "appropriations-small", "row", "entry", "committee-name", "action", "action-date",
+    "action-desc", "form", "header-in-text",
+})
 #: Empty elements that stand for white space.
 BREAKS = frozenset({"linebreak", "pagebreak"})
 #: Depth of indentation of the levels that begin a line of their own.
@@ -29,10 +30,14 @@ INDENT = {"subsection": 0, "paragraph": 1, "subparagraph": 2, "clause": 3, "subc
 #: Containers whose header becomes a part of the path.
 CONTAINERS = frozenset({"subtitle", "part", "chapter", "subchapter"})
 #: Ordinals of congresses in words, in the order they are looked for.
-ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
+ORDINALS = (
+    "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth",
+    "eleventh", "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth",
+)
 #: Fixed value: the clause that every act opens with.
 ENACTING = "Be it enacted by the Senate and House of Representatives of the United States of America in Congress assembled,"
 
+# List markers that stand right behind a word, a bill's number on its cover, and title labels.
 _MARKER = re.compile(r" (?=\((?:[0-9]{1,2}|[a-z]{1,4}|[A-Z])\))")
 _NUMBER = re.compile(r"([A-Z])\.\s*(?:[A-Z]*\.?\s*)?(\d+)")
 _TITLE = re.compile(r"TITLE\s+[^\s—]+(?:—(.*))?$")
