@@ -16,6 +16,16 @@ def seq_ratio(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([K.seq_ratio(a, b) for a, b in zip(old, new)], dtype=float)
 
 
+def reaches(least: float):
+    """Whether two texts have a ratio of ``least`` or more; NULL on either side counts as yes."""
+
+    @F.pandas_udf(T.BooleanType())
+    def near(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([a is None or b is None or K.reaches(a, b, least) for a, b in zip(old, new)], dtype=bool)
+
+    return near
+
+
 @F.pandas_udf(T.DoubleType())
 def seq_ratio_move(old: pd.Series, new: pd.Series) -> pd.Series:
     """The ratio from the move threshold up, else 0."""

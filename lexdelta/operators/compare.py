@@ -68,21 +68,18 @@ def classify(matches: DataFrame, split_below: float = K.SPLIT_BELOW) -> DataFram
     Equal texts (white space aside) are unchanged and never reach Python; a pair less similar than
     ``split_below`` is two changes, removed then added.
     """
-    base = matches.withColumns({"o": collapse("old.body_text"), "n": collapse("new.body_text")})
-    none = F.lit(None).cast("array<string>")
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("unchanged")
-    known = base.where("old is null or new is null or o = n").withColumns({"change_type": kind, "text_diff": none, "part": F.lit(0)})
-    unequal = base.where("o <> n").withColumn("near", udfs.seq_ratio("o", "n") >= split_below)
-    unequal = unequal.withColumn("part", F.explode(F.when(F.col("near"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    rows = matches.withColumns({"o": collapse("old.body_text"), "n": collapse("new.body_text")})
+    rows = rows.withColumn("differ", F.coalesce(F.col("o") != F.col("n"), F.lit(False)))
+    # one pass over all pairs: equal ones reach Python as NULL
+    asked = lambda c: F.when(F.col("differ"), F.col(c))
+    rows = rows.withColumn("near", F.when(F.col("differ"), udfs.reaches(split_below)(asked("o"), asked("n"))).otherwise(True))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("near"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     first = F.col("part") == 0
-    unequal = unequal.withColumns({
-        "change_type": F.when(F.col("near"), "modified").when(first, "removed").otherwise("added"),
-        "text_diff": F.when(F.col("near"), unified_diff(F.col("o"), F.col("n"))),
-        "old": F.when(F.col("near") | first, F.col("old")), "new": F.when(F.col("near") | ~first, F.col("new")),
-    })
-    keep = ["pair_id", "match_path", "path_ord", "k", "part", "change_type", "old", "new", "text_diff"]
-    out = known.select(keep).unionByName(unequal.select(keep))
-    return out.withColumn("change_ord", F.struct("path_ord", "k", "part")).drop("path_ord", "k", "part")
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("differ"), "unchanged").when(F.col("near"), "modified").when(first, "removed").otherwise("added")
+    return rows.select(
+        "pair_id", "match_path", kind.alias("change_type"), F.when(F.col("near") | first, F.col("old")).alias("old"), F.when(F.col("near") | ~first, F.col("new")).alias("new"),
+        F.when(F.col("differ") & F.col("near"), unified_diff(F.col("o"), F.col("n"))).alias("text_diff"), F.struct("path_ord", "k", "part").alias("change_ord"),
+    )
 
 
 def _bag(texts: DataFrame, ident: str) -> DataFrame:
@@ -141,25 +138,32 @@ def assign_moves(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("pair_id").applyInPandas(greedy, f"pair_id {candidates.schema['pair_id'].dataType.simpleString()}, ro {order}, ao {order}, rank int, sim double")
 
 
-def with_moves(changes: DataFrame, threshold: float = K.MOVE_FROM) -> DataFrame:
-    """Removed and added changes re-linked as moved, which come last in the order they were claimed."""
-    moves = assign_moves(move_candidates(changes, threshold))
+def numbered(changes: DataFrame, moves: DataFrame) -> DataFrame:
+    """(pair_id, change_no, change_ord, ro, ao): the order in which changes are given, from 1 within a pair.
+
+    Changes that are part of a move are left out; moves (``ro`` and ``ao`` set) come last, as they were claimed. Keys only:
+    no text is sorted here.
+    """
     gone = moves.select("pair_id", F.explode(F.array("ro", "ao")).alias("change_ord"))
-    left = changes.join(gone, ["pair_id", "change_ord"], "left_anti").withColumn("last", F.lit(0))
+    none = F.lit(None).cast(changes.schema["change_ord"].dataType)
+    stay = changes.select("pair_id", "change_ord").join(gone, ["pair_id", "change_ord"], "left_anti").select("pair_id", F.lit(0).alias("last"), F.col("change_ord").alias("at"), "change_ord", none.alias("ro"), none.alias("ao"))
+    moved = moves.select("pair_id", F.lit(1).alias("last"), F.struct(F.col("rank").alias("path_ord"), F.lit(0).alias("k"), F.lit(0).alias("part")).alias("at"), none.alias("change_ord"), "ro", "ao")
+    w = Window.partitionBy("pair_id").orderBy("last", "at")
+    return stay.unionByName(moved).select("pair_id", F.row_number().over(w).alias("change_no"), "change_ord", "ro", "ao")
+
+
+def changes_table(changes: DataFrame, moves: DataFrame) -> DataFrame:
+    """The flat form of changes, removed and added ones re-linked where they are moves. Texts are joined to their numbers by key."""
+    order = numbered(changes, moves)
+    left = changes.join(order.where("ro is null").select("pair_id", "change_ord", "change_no"), ["pair_id", "change_ord"]).drop("change_ord")
     old = changes.where("change_type = 'removed'").select("pair_id", F.col("change_ord").alias("ro"), "match_path", "old")
     new = changes.where("change_type = 'added'").select("pair_id", F.col("change_ord").alias("ao"), "new")
-    m = moves.join(old, ["pair_id", "ro"]).join(new, ["pair_id", "ao"])
+    m = order.where("ro is not null").select("pair_id", "change_no", "ro", "ao").join(old, ["pair_id", "ro"]).join(new, ["pair_id", "ao"])
     o, n = collapse("old.body_text"), collapse("new.body_text")
-    m = m.select("pair_id", "match_path", F.lit("moved").alias("change_type"), "old", "new", F.when(o != n, unified_diff(o, n)).alias("text_diff"), F.struct(F.col("rank").alias("path_ord"), F.lit(0).alias("k"), F.lit(0).alias("part")).alias("change_ord"), F.lit(1).alias("last"))
-    return left.unionByName(m)
-
-
-def changes_table(changes: DataFrame) -> DataFrame:
-    """The flat form of changes; ``change_no`` numbers them from 1 in emission order within a pair."""
-    w = Window.partitionBy("pair_id").orderBy("last", "change_ord")
+    m = m.select("pair_id", "match_path", F.lit("moved").alias("change_type"), "old", "new", F.when(o != n, unified_diff(o, n)).alias("text_diff"), "change_no")
     either = lambda a, b, f: F.coalesce(F.nullif(F.col(f"{a}.{f}"), F.lit("")), F.col(f"{b}.{f}"))
-    return changes.select(
-        "pair_id", F.row_number().over(w).alias("change_no"), "change_type", "match_path", F.col("old.display_path").alias("display_path_old"), F.col("new.display_path").alias("display_path_new"),
+    return left.unionByName(m).select(
+        "pair_id", "change_no", "change_type", "match_path", F.col("old.display_path").alias("display_path_old"), F.col("new.display_path").alias("display_path_new"),
         F.col("old.body_text").alias("old_text"), F.col("new.body_text").alias("new_text"), "text_diff", F.coalesce(either("new", "old", "section_number"), F.col("new.section_number"), F.col("old.section_number")).alias("section_number"),
         F.coalesce("old.element_id", F.lit("")).alias("element_id_old"), F.coalesce("new.element_id", F.lit("")).alias("element_id_new"),
     )
@@ -168,10 +172,10 @@ def changes_table(changes: DataFrame) -> DataFrame:
 def compare(nodes: DataFrame) -> DataFrame:
     """All changes between the old and new nodes of each pair. An empty table gives no changes.
 
-    Matches and changes are each read several times below, so they are written once to the shared folder.
+    Changes are read several times below, so they and the moves among them are written once to the shared folder.
     """
-    changes = cut(classify(cut(match_nodes(nodes), "matches")), "changes")
-    return changes_table(with_moves(changes))
+    changes = cut(classify(match_nodes(nodes)), "changes")
+    return changes_table(changes, cut(assign_moves(move_candidates(changes)), "moves"))
 
 
 def summary(changes: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def compare_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("move_candidates")
 def move_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = C.move_candidates(cut(C.classify(cut(C.match_nodes(sides(spark, d)), "matches")), "changes"))
+    c = C.move_candidates(cut(C.classify(C.match_nodes(sides(spark, d))), "changes"))
     return c.select("pair_id", F.to_json("ro").alias("removed_ord"), F.to_json("ao").alias("added_ord"), F.round("sim", 9).alias("sim"))
 
 
