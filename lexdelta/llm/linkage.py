@@ -177,7 +177,7 @@ class AccountLinks:
 
         scoped = self.accounts.join(self.bills, "source")
         lefts = scoped.select(F.concat(F.lit("a"), F.col("lid").cast("string")).alias("lid"), "scope", *KEYS).unionByName(self.truth.select(F.concat(F.lit("v"), F.col("lid").cast("string")).alias("lid"), "scope", *KEYS))
-        self.resolved = cut(cascade(lefts, self.nodes.select("rid", "scope", *KEYS)), "resolved")
+        self.resolved = cascade(lefts, self.nodes.select("rid", "scope", *KEYS))
 
         # accounts that no bill node shows: ground-truth rows are matched with the accounts themselves
         mine = scoped.withColumn("aid", F.concat(F.lit("a"), F.col("lid").cast("string"))).join(self.resolved.select(F.col("lid").alias("aid"), "rid"), "aid", "left")
@@ -186,7 +186,7 @@ class AccountLinks:
         open_truth = self.truth.select(F.concat(F.lit("v"), F.col("lid").cast("string")).alias("lid"), "scope", *KEYS).join(self.resolved.select("lid"), "lid", "left_anti")
         late = cascade(open_truth, mine.select("rid", "scope", *KEYS), (tuple(r for rules in PASSES for r in rules),))
         self.entities = cut(mine.select(F.col("lid").alias("account_id"), "rid", F.col("aid")), "entities")
-        self.all = cut(self.resolved.unionByName(late), "links")
+        self.all = self.resolved.unionByName(late)
 
     def confidence(self) -> DataFrame:
         """Each rule's smoothed precision on the ground-truth rows with a known path that it resolved to a node.
