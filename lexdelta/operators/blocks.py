@@ -88,12 +88,12 @@ def classify_pairs(aligned: DataFrame) -> DataFrame:
 
 def with_block_moves(hunks: DataFrame) -> DataFrame:
     """Removed and added hunks re-linked as moved, at the removed one's place."""
-    from lexdelta.operators.compare import assign_moves, move_candidates
+    from lexdelta.operators.compare import find_moves
 
     order = F.struct(F.col("hunk_ord.step").alias("path_ord"), F.lit(0).alias("k"), F.col("hunk_ord.part").alias("part"))
     node = lambda s: F.struct(F.col(f"{s}.text").alias("body_text"))
     slim = hunks.where("change_type in ('removed', 'added')").select("pair_id", "change_type", order.alias("change_ord"), node("old").alias("old"), node("new").alias("new"))
-    moves = assign_moves(move_candidates(slim)).select("pair_id", *(F.struct(F.col(f"{c}.path_ord").alias("step"), F.col(f"{c}.part").alias("part")).alias(c) for c in ("ro", "ao")))
+    moves = find_moves(slim).select("pair_id", *(F.struct(F.col(f"{c}.path_ord").alias("step"), F.col(f"{c}.part").alias("part")).alias(c) for c in ("ro", "ao")))
     gone = moves.select("pair_id", F.explode(F.array("ro", "ao")).alias("hunk_ord"))
     old = hunks.select("pair_id", F.col("hunk_ord").alias("ro"), "old")
     new = hunks.select("pair_id", F.col("hunk_ord").alias("ao"), "new")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexdelta.functions import kernels as K
 from lexdelta.functions import udfs
 from lexdelta.functions.text import amounts, collapse, division_title, has_annotation, unified_diff
-from lexdelta.session import cut
+from lexdelta.session import cut, spread
 
 NODE = ("node_ord", "display_path", "element_id", "body_text", "section_number", "division_label")
 TYPES = ("added", "removed", "modified", "unchanged", "moved")
@@ -135,7 +135,39 @@ def assign_moves(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "ro": [ros[rs[i]] for _, i, _ in made], "ao": [aos[as_[j]] for _, _, j in made], "rank": range(len(made)), "sim": [s for s, _, _ in made]})
 
     order = candidates.schema["ro"].dataType.simpleString()
-    return candidates.groupBy("pair_id").applyInPandas(greedy, f"pair_id {candidates.schema['pair_id'].dataType.simpleString()}, ro {order}, ao {order}, rank int, sim double")
+    return spread(candidates, "pair_id").groupBy("pair_id").applyInPandas(greedy, f"pair_id {candidates.schema['pair_id'].dataType.simpleString()}, ro {order}, ao {order}, rank int, sim double")
+
+
+def find_moves(changes: DataFrame, threshold: float = K.MOVE_FROM, most_pairs: int = 250_000, most_texts: int = 5_000) -> DataFrame:
+    """(pair_id, ro, ao, rank, sim): removed and added changes that are one moved text, in the order they are claimed.
+
+    A comparison with at most ``most_pairs`` pairs of removed and added texts, and ``most_texts`` texts, is one group: its
+    pairs are bounded, compared and claimed at once. Larger ones find their candidates by joins over all tasks. Both give
+    the same moves.
+    """
+    some = changes.where("change_type in ('removed', 'added')")
+    r, a = F.count_if(F.col("change_type") == "removed"), F.count_if(F.col("change_type") == "added")
+    size = some.groupBy("pair_id").agg(r.alias("r"), a.alias("a")).where("r > 0 and a > 0")
+    large = size.where((F.col("r") * F.col("a") > most_pairs) | (F.col("r") + F.col("a") > most_texts)).select("pair_id")
+    order, pair = changes.schema["change_ord"].dataType.simpleString(), changes.schema["pair_id"].dataType.simpleString()
+    text = F.when(F.col("change_type") == "removed", F.col("old.body_text")).otherwise(F.col("new.body_text"))
+    place = "path_ord", "k", "part"
+    lean = some.select("pair_id", "change_type", *(F.col(f"change_ord.{c}").alias(c) for c in place), collapse(text).alias("t"))
+
+    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*place])
+        sides = [pdf[pdf["change_type"] == kind] for kind in ("removed", "added")]
+        made = K.greedy_pairs(K.similar_texts(*(side["t"].tolist() for side in sides), threshold)) if all(map(len, sides)) else []
+        at = [side[[*place]].to_numpy()[[m[n] for m in made]].reshape(-1, 3) for n, side in zip((1, 2), sides)]
+        flat = {f"{s}{n}": at[k][:, n] for k, s in enumerate("ra") for n in range(3)}
+        return pd.DataFrame({"pair_id": pd.Series([pdf["pair_id"].iloc[0]] * len(made), dtype=pdf["pair_id"].dtype), **flat, "rank": range(len(made)), "sim": [s for s, _, _ in made]})
+
+    spot = lambda s: F.struct(*(F.col(f"{s}{n}").alias(c) for n, c in enumerate(place))).cast(order).alias(f"{s}o")
+    grouped = lambda df: spread(df, "pair_id").groupBy("pair_id").applyInPandas(claim, f"pair_id {pair}, r0 int, r1 int, r2 int, a0 int, a1 int, a2 int, rank int, sim double").select("pair_id", spot("r"), spot("a"), "rank", "sim")
+    if large.isEmpty():
+        return grouped(lean)
+    small = grouped(lean.join(large, "pair_id", "left_anti"))
+    return small.unionByName(assign_moves(move_candidates(some.join(large, "pair_id", "left_semi"), threshold)))
 
 
 def numbered(changes: DataFrame, moves: DataFrame) -> DataFrame:
@@ -169,13 +201,14 @@ def changes_table(changes: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
-def compare(nodes: DataFrame) -> DataFrame:
+def compare(nodes: DataFrame, **bounds: int) -> DataFrame:
     """All changes between the old and new nodes of each pair. An empty table gives no changes.
 
     Changes are read several times below, so they and the moves among them are written once to the shared folder.
+    ``bounds`` are those of ``find_moves``.
     """
     changes = cut(classify(match_nodes(nodes)), "changes")
-    return changes_table(changes, cut(assign_moves(move_candidates(changes)), "moves"))
+    return changes_table(changes, cut(find_moves(changes, **bounds), "moves"))
 
 
 def summary(changes: DataFrame) -> DataFrame:

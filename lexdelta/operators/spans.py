@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexdelta.session import cut
+from lexdelta.session import cut, spread
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -113,7 +113,7 @@ def accept_marks(spans: DataFrame) -> DataFrame:
         return pdf[keep]
 
     lean = spans.where("start_char is not null and end_char is not null").select("doc_id", F.col("start_char").cast("bigint"), F.col("end_char").cast("bigint"), F.col("mark_id").cast("bigint"))
-    return lean.groupBy("doc_id").applyInPandas(accept, lean.schema)
+    return spread(lean, "doc_id").groupBy("doc_id").applyInPandas(accept, lean.schema)
 
 
 def marks_on_rows(rows: DataFrame, marks: DataFrame, bucket: int = 4096) -> DataFrame:

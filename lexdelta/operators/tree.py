@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexdelta.functions.text import amounts
-from lexdelta.session import cut
+from lexdelta.session import cut, spread
 
 # Levels by element.
 LEAF = {"appropriations-major": "major", "appropriations-intermediate": "agency", "appropriations-small": "account", "section": "section", "front-matter": "preamble"}
@@ -125,4 +125,4 @@ def nested_json(tree: DataFrame) -> DataFrame:
     for c in ("start_char", "end_char"):
         tree = tree if c in tree.columns else tree.withColumn(c, F.lit(None).cast("bigint"))
     lean = tree.select("doc_id", "node_id", "parent_id", "sort_ord", "depth", "label", "level", "own_amounts", "start_char", "end_char")
-    return lean.groupBy("doc_id").applyInPandas(nest, "doc_id string, tree string")
+    return spread(lean, "doc_id").groupBy("doc_id").applyInPandas(nest, "doc_id string, tree string")

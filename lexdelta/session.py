@@ -62,6 +62,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into as many partitions as a shuffle has.
+
+    For groups that Python works on: adaptive execution joins small partitions by their bytes, not by the work they make, but
+    leaves partitions alone whose number was asked for.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexdelta.functions.kernels import lines_from_glyphs
+from lexdelta.session import spread
 
 #: Fixed value: the soft hyphen as the text layer gives it.
 SOFT = chr(0xFFFE)
@@ -117,7 +118,7 @@ def glyph_lines(glyphs: DataFrame) -> DataFrame:
         out = pd.DataFrame(made, columns=["text", "glyph_size", "content_left", "content_right"])
         return out.assign(doc_id=pdf["doc_id"].iloc[0], page=pdf["page"].iloc[0], line_ord=range(len(out)))[["doc_id", "page", "line_ord", "text", "glyph_size", "content_left", "content_right"]]
 
-    return glyphs.groupBy("doc_id", "page").applyInPandas(build, "doc_id string, page int, line_ord int, text string, glyph_size double, content_left double, content_right double")
+    return spread(glyphs, "doc_id", "page").groupBy("doc_id", "page").applyInPandas(build, "doc_id string, page int, line_ord int, text string, glyph_size double, content_left double, content_right double")
 
 
 def margin_sizes(glyphs: DataFrame) -> DataFrame:

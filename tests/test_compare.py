@@ -84,6 +84,9 @@ def test_random_pairs(spark):
     pairs = {f"p{k}": (version(rnd, f"p{k}", "old", rnd.randrange(1, 18), texts), version(rnd, f"p{k}", "new", rnd.randrange(1, 18), texts)) for k in range(12)}
     df = spark.createDataFrame([n for o, w in pairs.values() for n in (*o, *w)], SCHEMA)
     got = C.compare(df).orderBy("pair_id", "change_no").collect()
+    # all comparisons large, and some
+    for bounds in ({"most_pairs": 0}, {"most_pairs": 9}, {"most_texts": 3}):
+        assert C.compare(df, **bounds).orderBy("pair_id", "change_no").collect() == got
     kinds = Counter()
     for p, (old, new) in pairs.items():
         mine = [(r["change_type"], r["element_id_old"], r["element_id_new"]) for r in got if r["pair_id"] == p]
