@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexdelta.functions import kernels as K
 
+#: Name in SQL to function.
+SQL_NAMES = ("seq_ratio", "pair_amounts", "word_diff_html")
+
 PAIRS = T.ArrayType(T.StructType([T.StructField("old", T.LongType()), T.StructField("new", T.LongType())]))
 
 
@@ -40,3 +44,20 @@ def pair_amounts(old: pd.Series, new: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def word_diff_html(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([K.word_diff_html(a, b) for a, b in zip(old, new)], dtype=object)
+
+
+def register(spark: SparkSession) -> None:
+    """The kernels for SQL: ``seq_ratio``, ``pair_amounts``, ``word_diff_html``, and the table function ``parse_bill(path, content)``.
+
+    ``select n.* from bills, lateral parse_bill(bills.path, bills.content) n`` gives the nodes of every document.
+    """
+    from lexdelta.sources.xml_bills import NODE_SCHEMA, node_rows
+
+    for name in SQL_NAMES:
+        spark.udf.register(name, globals()[name])
+
+    class ParseBill:
+        def eval(self, path: str, content: str):
+            yield from node_rows(path, content)
+
+    spark.udtf.register("parse_bill", F.udtf(ParseBill, returnType=NODE_SCHEMA))

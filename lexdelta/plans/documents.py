@@ -139,15 +139,25 @@ def canonical_xml(spark: SparkSession, d: str) -> DataFrame:
     return x.select("pair_id", "c.id", "c.change_type", "c.section_number", F.array_join(path, " > ").alias("path_text"), F.col("c.text.old").alias("old_text"), F.col("c.text.new").alias("new_text"), F.col("c.move.body_unchanged").alias("body_unchanged"))
 
 
-@R.add("change_views")
+_LINE = "case when {0}.{1}_line >= 0 then ' L' || {0}.{1}_line else '' end"
+_SPOT = "('p.' || {0}.{1}_page || " + _LINE + ")"
+_RANGE = lambda r: f"case when {r} is null then '—' when {_SPOT.format(r, 'start')} = {_SPOT.format(r, 'end')} then {_SPOT.format(r, 'start')} else {_SPOT.format(r, 'start')} || ' – ' || {_SPOT.format(r, 'end')} end"
+
+
+@R.add("change_views", f"""with h as (select *, row_number() over (partition by bill_id order by hunk_id) n, coalesce(v2_anchor, v1_anchor) a, {_RANGE('v1_range')} r1, {_RANGE('v2_range')} r2, v1_range is not null one, v2_range is not null two from pdf_hunks)
+select bill_id pair_id, printf('c-%04d', n) id, change_type, coalesce(a, 'Uncategorized') group_label, case when a is null and (one or two) then '(uncategorized) — ' || case when two then r2 else r1 end when coalesce(a, '') <> '' then a else '(unknown)' end heading, r1 || ' | ' || r2 place,
+ case when change_type <> 'moved' then null when v1_anchor <> v2_anchor then 'Renumbered: ' || v1_anchor || ' → ' || v2_anchor || case when coalesce(v1_text, '') = coalesce(v2_text, '') then ' · body text unchanged' else '' end else 'Moved: ' || coalesce(v1_anchor, r1) || ' → ' || coalesce(v2_anchor, r2) end move_note,
+ case when one then coalesce(v1_text, '') end old_text, case when two then coalesce(v2_text, '') end new_text, cast(case when amount_pairs is null then -1 else len(list_filter(amount_pairs, lambda p: p.old is not null and p.new is not null and p.old <> p.new)) end as int) n_amounts from h""")
 def change_views(spark: SparkSession, d: str) -> DataFrame:
     return contract.views(_print_docs(spark, d)).drop("at")
 
 
-@R.add("html_reports")
+@R.add("html_reports", """select bill_id pair_id, count(*) n_cards, count(distinct coalesce(v2_anchor, v1_anchor, 'Uncategorized')) n_groups, coalesce(sum(len(list_filter(coalesce(amount_pairs, []), lambda p: p.old is not null and p.new is not null and p.old <> p.new))), 0) n_money, count(*) filter (coalesce(change_type, '') <> 'modified') n_structural from pdf_hunks group by 1""")
 def html_reports(spark: SparkSession, d: str) -> DataFrame:
-    """A self-contained report of each bill's archived hunks."""
-    return report.reports(_print_docs(spark, d)).select("pair_id", F.length("html").alias("n_chars"), F.col("html").contains("<article").alias("has_cards"))
+    """What each bill's self-contained report holds: cards, groups, rows of the money table, cards of the structural view."""
+    html = F.regexp_replace("html", r"(?s)<script.*\z", "")
+    hits = lambda p: F.regexp_count(html, F.lit(p)).cast("bigint")
+    return report.reports(_print_docs(spark, d)).select("pair_id", hits("<article ").alias("n_cards"), hits('<section class="group"').alias("n_groups"), hits("<tr><td><a ").alias("n_money"), hits('<article id="[^"]*" data-type="(?!modified")').alias("n_structural"))
 
 
 @R.add("xml_documents")

@@ -257,20 +257,27 @@ def parse_bill(content: bytes | str, stem: str = "") -> tuple[dict, list[dict]]:
     return metadata(root, stem), walk.nodes
 
 
+NODE_COLUMNS = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+
+
+def node_rows(key: str | None, data: bytes | str | None) -> list[tuple]:
+    """The nodes of one document as rows of ``NODE_SCHEMA``; a broken or absent one is a row with ``error``."""
+    stem = re.sub(r"^.*/|\.[^./]*$", "", key or "")
+    try:
+        meta, nodes = parse_bill(bytes(data) if not isinstance(data, str) else data, stem)
+        found = [{"doc_id": key, **meta, "node_ord": i, **n} for i, n in enumerate(nodes)]
+    except (ElementTree.ParseError, ValueError, TypeError, RecursionError) as e:
+        found = [{"doc_id": key, "error": f"{type(e).__name__}: {e}"}]
+    return [tuple(r.get(c) for c in NODE_COLUMNS) for r in found]
+
+
 def parse_documents(docs: DataFrame, doc_id: str = "path", content: str = "content") -> DataFrame:
     """Nodes of every document (``NODE_SCHEMA``). NULL and broken documents give one row with ``error``."""
-    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, data in zip(batch["k"], batch["c"]):
-                stem = re.sub(r"^.*/|\.[^./]*$", "", key or "")
-                try:
-                    meta, nodes = parse_bill(bytes(data) if not isinstance(data, str) else data, stem)
-                    rows = [{"doc_id": key, **meta, "node_ord": i, **n, "error": None} for i, n in enumerate(nodes)]
-                except (ElementTree.ParseError, ValueError, TypeError, RecursionError) as e:
-                    rows = [dict.fromkeys(names) | {"doc_id": key, "error": f"{type(e).__name__}: {e}"}]
-                out = pd.DataFrame(rows, columns=names)
+                out = pd.DataFrame(node_rows(key, data), columns=NODE_COLUMNS)
                 for c in ("congress", "bill_number", "node_ord"):
                     out[c] = out[c].astype("Int32")
                 yield out

@@ -136,6 +136,28 @@ def test_compare_printed(spark):
     assert "<del>$5,000,</del> <ins>$6,000,</ins>" in page
 
 
+def test_report_parts(spark):
+    page = api.compare_xml(spark, OLD, NEW, output="html")
+    assert page.count("<article ") == 3 and page.count('<section class="group"') == 1 and "TITLE I—Roads</a> (3)" in page
+    assert page.count("<mark>") == 2 and 'name="find"' in page and page.count('name="mode"') == 3 and "<summary>Outline</summary>" in page
+    from lexdelta import report
+
+    change = lambda i, path, span: {"id": i, "change_type": "added", "path": {"v1": None, "v2": path}, "text": {"old": None, "new": "x"}, "amounts": [], "full_text_span": {"v1": None, "v2": span}}
+    doc = {"changes": [change("a", None, {"start": 1, "end": 3}), change("b", ["T"], {"start": 2, "end": 4}), change("c", ["T"], {"start": 3, "end": 4})], "full_text": {"v1": "", "v2": "a<bcd"}}
+    assert list(report._groups(doc["changes"])) == ["T", "Uncategorized"]
+    assert report._full_bill(doc) == '<h2>Full text</h2><pre>a<mark><a href="#a" title="a">&lt;b</a></mark><mark><a href="#c" title="c">c</a></mark>d</pre>'
+
+
+def test_functions_in_sql(spark):
+    from lexdelta.functions import udfs
+
+    udfs.register(spark)
+    assert spark.sql("select seq_ratio('a b', 'a c') r, word_diff_html('a b c', 'a b d') w").first() == (0.5, "a b <del>c</del> <ins>d</ins>")
+    spark.createDataFrame([("1_x.xml", OLD), ("2_y.xml", "<bill/>")], "path string, content string").createOrReplaceTempView("delivered_bills")
+    got = spark.sql("select n.doc_id, n.section_number, n.error from delivered_bills b, lateral parse_bill(b.path, b.content) n where tag = 'section' or error is not null").collect()
+    assert {(r["doc_id"], r["section_number"], r["error"]) for r in got} == {("1_x.xml", "Sec. 1", None), ("1_x.xml", "Sec. 2", None), ("2_y.xml", None, "ValueError: no body in the document")}
+
+
 def test_changes_without_element_are_looked_up(spark):
     changes = spark.createDataFrame([("p", 1, "modified", "e1", "x", "one two", "one 2"), ("p", 2, "modified", "", "", "one", "one"), ("p", 3, "added", "", "", None, "nowhere"), ("p", 4, "unchanged", "", "", "one", "one"), ("q", 1, "removed", "e9", "", "z", None)], "pair_id string, change_no int, change_type string, element_id_old string, element_id_new string, old_text string, new_text string")
     bodies = spark.createDataFrame([("p", "v1", "e1", 4, 11), ("q", "v1", "e9", 0, 1)], "pair_id string, side string, element_id string, start_char int, end_char int")
