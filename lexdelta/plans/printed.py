@@ -237,11 +237,12 @@ def breadcrumb_strings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bill_nodes").select("node_id", T.breadcrumb(F.col("display_path")).alias("crumb"))
 
 
-@R.add("printed_covers", """with v as (select version_id, case lower(bill_type) when 'hr' then 'H. R.' when 's' then 'S.' when 'hjres' then 'H. J. RES.' when 'sjres' then 'S. J. RES.' end k, congress, bill_number, trim(regexp_replace(coalesce(official_title, ''), '\\s+', ' ', 'g')) t from bill_versions)
-select version_id, cast(congress as varchar) congress, case when k is not null then replace(k, ' ', '') || ' ' || bill_number else '' end || case when t = '' then '' else case when k is not null then ' — ' else '' end || case when length(t) + 23 > 140 then rtrim(substring('To act on ' || t || ' for purposes.', 1, 137)) || '…' else 'To act on ' || t || ' for purposes.' end end title from v where not contains(lower(t), 'purposes.')""")
+@R.add("printed_covers", """with v as (select version_id, case lower(bill_type) when 'hr' then 'H. R.' when 's' then 'S.' when 'hjres' then 'H. J. RES.' when 'sjres' then 'S. J. RES.' end k, congress, bill_number, trim(regexp_replace(coalesce(official_title, ''), '\\s+', ' ', 'g')) t from bill_versions),
+x as (select *, case when t = '' then '' else regexp_extract('To act on ' || t || ' for purposes.', '(?i)^(.+?\\bpurposes\\.)', 1) end y from v)
+select version_id, cast(congress as varchar) congress, case when k is not null then replace(k, ' ', '') || ' ' || bill_number else '' end || case when y = '' then '' else case when k is not null then ' — ' else '' end || case when length(y) > 140 then rtrim(substring(y, 1, 137)) || '…' else y end end title from x""")
 def printed_covers(spark: SparkSession, d: str) -> DataFrame:
     """Congress and title read from the cover of a printed bill, made here from the version's header."""
-    v = table(spark, d, "bill_versions").withColumn("t", F.trim(F.regexp_replace(F.coalesce("official_title", F.lit("")), r"\s+", " "))).where(~F.contains(F.lower("t"), F.lit("purposes.")))
+    v = table(spark, d, "bill_versions").withColumn("t", F.trim(F.regexp_replace(F.coalesce("official_title", F.lit("")), r"\s+", " ")))
     kind = F.create_map(*[F.lit(x) for kv in {"hr": "H. R.", "s": "S.", "hjres": "H. J. RES.", "sjres": "S. J. RES."}.items() for x in kv])[F.lower("bill_type")]
     number = F.coalesce(F.concat(kind, F.lit(" "), F.col("bill_number").cast("string")), F.lit(""))
     body = F.when(F.col("t") == "", F.lit("")).otherwise(F.concat(F.lit("To act on "), "t", F.lit(" for\npurposes.")))

@@ -397,7 +397,16 @@ def recall_rollup(spark: SparkSession, d: str) -> DataFrame:
     return validation.recall(validation.validate(table(spark, d, "validation_defense"), _first(spark, d)))
 
 
-@R.add("account_paths")
+_ALNUM = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'))"
+_TOKS = lambda c: f"list_filter(regexp_split_to_array({_ALNUM(c)}, ' +'), lambda w: w <> '')"
+
+
+@R.add("account_paths", "with " + LAST_SQL + f""", n as (select bill_id, node_ord, match_path, {_ALNUM('match_path[len(match_path)]')} nn, {_TOKS("array_to_string(match_path, ' ')")} pt, {_TOKS('match_path[1]')} ft from last where ver = 1 and len(match_path) > 0),
+a as (select validation_id k, bill, {_ALNUM("coalesce(excel_name, '')")} nh, {_TOKS("coalesce(bureau, '')")} bt, {_TOKS("coalesce(title, '')")} tt from validation_defense), ex as (select * from a join n on bill = bill_id and nh = nn),
+pr as (select * from a join n on bill = bill_id where nh <> '' and k not in (select k from ex) and (contains(nn, nh) or contains(nh, nn))),
+c as (select k, node_ord, match_path, len(list_intersect(bt, pt)) b, len(list_intersect(tt, ft)) t from (select * from ex union all select * from pr)),
+r as (select *, row_number() over w rk, lead(b) over w nb, lead(t) over w nt from c window w as (partition by k order by b desc, t desc, node_ord))
+select validation_id "key", array_to_string(r1.match_path, ' > ') path_text from validation_defense left join (select * from r where rk = 1 and (nb is null or nb <> b or nt <> t)) r1 on k = validation_id""")
 def account_paths(spark: SparkSession, d: str) -> DataFrame:
     """The one bill path that bears each ground-truth account's name."""
     v = table(spark, d, "validation_defense").select(F.col("validation_id").alias("key"), F.col("bill").alias("bill_id"), "title", "bureau", F.col("excel_name").alias("name"))
