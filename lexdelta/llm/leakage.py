@@ -1,8 +1,8 @@
 """Evaluation passages inside a training corpus, found with suffix arrays of the training text.
 
 A shard is a run of documents of about ``shard_words`` words inside one task. Its text is reduced to the runs of at
-least ``min_words`` words that tests have (others cannot match), and the suffixes of those runs are sorted: the shard's
-suffix array. Every test suffix is bisected in it, which gives the interval of training suffixes that begin
+least ``min_words`` words any two neighbours of which are neighbours in a test too (others cannot match), and the suffixes of
+those runs are sorted: the shard's suffix array. Every test suffix is bisected in it, which gives the interval of training suffixes that begin
 with its first ``min_words`` words, and each match is stretched to its full verbatim length. Intervals are expanded
 a bounded number of rows at a time, so a passage that many tests and many documents hold takes no more memory.
 
@@ -43,23 +43,31 @@ class TestBlock:
         self.tokens = np.array(tokens, np.int64)
         self.owner = np.array(owner, np.int64)
         self.first = np.array(first, np.int64)
+        pair = (self.tokens[:-1] > 0) & (self.tokens[1:] > 0)
+        self.bigrams = np.unique(self.tokens[:-1][pair] << 32 | self.tokens[1:][pair])
 
     def probes(self, n: int) -> np.ndarray:
         """Where the suffixes of at least ``n`` words begin."""
         return np.flatnonzero(_left(self.tokens) >= n)
 
 
-def _runs(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of at least ``least`` non-zero tokens, a zero before, between and after, and where each token stood."""
-    edges = np.flatnonzero(np.diff(np.r_[False, tokens > 0, False]))
-    start, end = edges[::2], edges[1::2]
-    long_ = end - start >= least
-    start, size = start[long_], (end - start)[long_] + 1
+def _runs(tokens: np.ndarray, least: int, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of at least ``least`` tokens any two neighbours of which are in ``bigrams``, a zero before, between and after, and where each token stood."""
+    known = tokens > 0
+    both = known[1:] & known[:-1]
+    at = np.flatnonzero(both)
+    linked = np.zeros(len(tokens) + 1, bool)  # whether a token goes on from the one before
+    code = tokens[at] << 32 | tokens[at + 1]
+    if len(bigrams):
+        spot = np.minimum(np.searchsorted(bigrams, code), len(bigrams) - 1)
+        linked[at + 1] = bigrams[spot] == code
+    start, end = np.flatnonzero(known & ~linked[:-1]), np.flatnonzero(known & ~linked[1:])
+    long_ = end - start + 1 >= least
+    start, size = start[long_], (end - start)[long_] + 2
     at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-    last = np.cumsum(size) - 1
-    out = np.zeros(len(at), np.int64)
     inner = np.ones(len(at), bool)
-    inner[last] = False
+    inner[np.cumsum(size) - 1] = False
+    out = np.zeros(len(at), np.int64)
     out[inner] = tokens[at[inner]]
     return np.r_[0, out], np.r_[-1, at]
 
@@ -117,7 +125,7 @@ def _bisect(text: np.ndarray, order: np.ndarray, test: np.ndarray, probe: np.nda
 
 def search_shard(tokens: np.ndarray, block: TestBlock, min_words: int = MIN_WORDS, rows: int = 1 << 20) -> Iterator[np.ndarray]:
     """Rows (place in the shard, place in the tests, length) of the maximal verbatim matches, in parts of about ``rows`` candidates."""
-    text, place = _runs(tokens, min_words)
+    text, place = _runs(tokens, min_words, block.bigrams)
     if len(text) == 1:
         return
     order = suffix_array(text)
