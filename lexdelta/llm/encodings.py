@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from lexdelta.session import cut
 
 LOST = chr(0xFFFD)
-TOKEN = r"(?<![A-Za-z\x{80}-\x{10ffff}])[A-Za-z]*+[^\x00-\x7f][A-Za-z\x{80}-\x{10ffff}]*+"
+#: For the JVM, where a class written as what it is not takes four times as long.
+BEYOND = r"[\x{80}-\x{10ffff}]"
+TOKEN = rf"(?<![A-Za-z\x{{80}}-\x{{10ffff}}])[A-Za-z]*+{BEYOND}[A-Za-z\x{{80}}-\x{{10ffff}}]*+"
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 # Fixed values: (written in, read as). "cp1252" reads its five undefined bytes as controls,
@@ -102,10 +104,10 @@ class Mojibake:
         self.occurring = self.held.select("doc_id", F.explode("words").alias("word"))
         vocabulary = cut(self.occurring.groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
         # a word may stand clean only beside quotes or an apostrophe, so its runs of letters are originals too
-        letters = F.filter(F.regexp_extract_all("word", F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: w.rlike(r"[^\x00-\x7f]"))
+        letters = F.filter(F.regexp_extract_all("word", F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: w.rlike(BEYOND))
         sources = vocabulary.select(F.explode(F.array_distinct(F.concat(F.array("word"), letters))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
         whole = self._originals(vocabulary, sources)
-        runs = vocabulary.select("word", "n", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(r"[^\x00-\x7f]+"), F.lit(0)))).alias("run"))
+        runs = vocabulary.select("word", "n", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"{BEYOND}+"), F.lit(0)))).alias("run"))
         by_run = self._originals(runs.groupBy(F.col("run").alias("word")).agg(F.sum("n").alias("n"))).where(F.length("word") > F.length("original"))
         pieces = runs.join(by_run.select(F.col("word").alias("run"), F.col("original").alias("o"), "chain"), "run").groupBy("word").agg(F.collect_set(F.struct("run", "o")).alias("swaps"), F.min("chain").alias("chain_r"))
         all_ = vocabulary.join(whole.select("word", "original", "chain"), "word", "left").join(pieces, "word", "left")
