@@ -82,7 +82,14 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._lexdelta_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``cut`` wrote and that nothing reads any more."""
+    _remove(df.sparkSession, df._lexdelta_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
