@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexdelta.llm.words import WordHashes, mix, shingle_hashes, shingle_set, words
-from lexdelta.session import cut
+from lexdelta.session import cut, discard
 
 LANES, NEED, BITS, PER_LONG = 30, 10, 4, 15
 PREFIX = LANES - NEED + 1
@@ -255,6 +255,7 @@ class NearDuplicates:
         self.members = cut(stage.select("field", "id", "grp", "cls").join(reps, ["field", "cls"]).drop("cls"), "members")
         self.copies = copies
         lean = cut(stage.select(code, "field", "id", "lanes").join(reps.select("field", F.col("rep").alias("id")), ["field", "id"], "left_semi").select("f", "id", "lanes"), "representatives")
+        discard(stage)  # members and representatives are tables of their own
         order = spark.sparkContext.broadcast(_sketch(lean, buckets))
         sizes = spark.sparkContext.broadcast(_sketch(lean, buckets, order))
         posts = lean.mapInArrow(lambda b: _post(b, order, sizes, block), "f int, k bigint, s0 bigint, s1 bigint, id bigint")
