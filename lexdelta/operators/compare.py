@@ -138,7 +138,7 @@ def assign_moves(candidates: DataFrame) -> DataFrame:
     return spread(candidates, "pair_id").groupBy("pair_id").applyInPandas(greedy, f"pair_id {candidates.schema['pair_id'].dataType.simpleString()}, ro {order}, ao {order}, rank int, sim double")
 
 
-def find_moves(changes: DataFrame, threshold: float = K.MOVE_FROM, most_pairs: int = 250_000, most_texts: int = 5_000) -> DataFrame:
+def find_moves(changes: DataFrame, threshold: float = K.MOVE_FROM, most_pairs: int = 100_000_000, most_texts: int = 20_000) -> DataFrame:
     """(pair_id, ro, ao, rank, sim): removed and added changes that are one moved text, in the order they are claimed.
 
     A comparison with at most ``most_pairs`` pairs of removed and added texts, and ``most_texts`` texts, is one group: its
