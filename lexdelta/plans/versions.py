@@ -28,15 +28,23 @@ KEEP = ["match_path", "display_path", "element_id", "body_text", "section_number
 SHOWN = ["tag", "header_text", "display_text"]
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of keys, broadcast up to ``most`` rows; beyond that it is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def resolved(spark: SparkSession, d: str) -> DataFrame:
     return resolve_versions(table(spark, d, "bill_nodes"), table(spark, d, "bill_versions"))
 
 
 def latest_nodes(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Nodes of every version of each bill, a node once a version: the one loaded last."""
-    # a row number instead of max_by over a struct: unused columns are pruned, and older loads go before the shuffle
+    lean = resolved(spark, d).select("bill_id", "version", "node_ord", "loaded_at", "node_id")
     w = Window.partitionBy("bill_id", "version", "node_ord").orderBy(F.desc("loaded_at"), F.desc("node_id"))
-    return resolved(spark, d).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("bill_id", "version", "node_ord", *KEEP, *SHOWN, *more)
+    # few rows are replaced by later loads: their ids are found on keys alone, and the texts are not shuffled
+    replaced = small(cut(lean.withColumn("_rn", F.row_number().over(w)).where("_rn > 1").select("node_id"), "replaced"))
+    rows = resolved(spark, d).join(replaced, "node_id", "left_anti")
+    return rows.select("bill_id", "version", "node_ord", *KEEP, *SHOWN, *more)
 
 
 def bill_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +62,7 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
 def sides(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Nodes of each two neighbouring versions of each bill as the sides of one comparison."""
     side = lambda s: F.struct(F.col(s).alias("version"), F.lit(s).alias("side"))
-    each = steps(spark, d).select("pair_id", "bill_id", F.inline(F.array(side("old"), side("new"))))
+    each = small(cut(steps(spark, d).select("pair_id", "bill_id", F.inline(F.array(side("old"), side("new")))), "steps"))
     return latest_nodes(spark, d, *more).join(each, ["bill_id", "version"]).select("pair_id", "side", "node_ord", *KEEP, *more)
 
 
