@@ -7,7 +7,12 @@ lists. One comparison and a corpus of them are the same plan; everything is keye
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,16 +159,37 @@ def find_moves(changes: DataFrame, threshold: float = K.MOVE_FROM, most_pairs: i
     place = "path_ord", "k", "part"
     lean = some.select("pair_id", "change_type", *(F.col(f"change_ord.{c}").alias(c) for c in place), collapse(text).alias("t"))
 
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*place])
-        sides = [pdf[pdf["change_type"] == kind] for kind in ("removed", "added")]
-        made = K.greedy_pairs(K.similar_texts(*(side["t"].tolist() for side in sides), threshold)) if all(map(len, sides)) else []
-        at = [side[[*place]].to_numpy()[[m[n] for m in made]].reshape(-1, 3) for n, side in zip((1, 2), sides)]
-        flat = {f"{s}{n}": at[k][:, n] for k, s in enumerate("ra") for n in range(3)}
-        return pd.DataFrame({"pair_id": pd.Series([pdf["pair_id"].iloc[0]] * len(made), dtype=pdf["pair_id"].dtype), **flat, "rank": range(len(made)), "sim": [s for s, _, _ in made]})
+    def of_pair(rows: list[tuple]) -> list[tuple]:
+        gone, come = ([r for r in rows if r[1] == kind] for kind in ("removed", "added"))
+        if not gone or not come:
+            return []
+        made = K.greedy_pairs(K.similar_texts([r[-1] for r in gone], [r[-1] for r in come], threshold))
+        return [(rows[0][0], *gone[i][2:5], *come[j][2:5], n, ratio) for n, (ratio, i, j) in enumerate(made)]
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # many pairs are small, so they are told apart here and not handed over one by one
+        names, kind = ["pair_id", *(f"{s}{n}" for s in "ra" for n in range(3)), "rank", "sim"], None
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [()] * len(names)
+            kinds = [kind, *[pa.int32()] * 7, pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+        held: list[tuple] = []  # the pair that the last batch left open
+        for batch in batches:
+            kind, found = batch.schema.field(0).type, []
+            for key, group in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=itemgetter(0)):
+                if held and held[0][0] != key:
+                    found += of_pair(held)
+                    held = []
+                held += group
+            yield batch_of(found)
+        if held:
+            yield batch_of(of_pair(held))
 
     spot = lambda s: F.struct(*(F.col(f"{s}{n}").alias(c) for n, c in enumerate(place))).cast(order).alias(f"{s}o")
-    grouped = lambda df: spread(df, "pair_id").groupBy("pair_id").applyInPandas(claim, f"pair_id {pair}, r0 int, r1 int, r2 int, a0 int, a1 int, a2 int, rank int, sim double").select("pair_id", spot("r"), spot("a"), "rank", "sim")
+    shape = f"pair_id {pair}, r0 int, r1 int, r2 int, a0 int, a1 int, a2 int, rank int, sim double"
+    grouped = lambda df: spread(df, "pair_id").sortWithinPartitions("pair_id", *place).mapInArrow(claim, shape).select("pair_id", spot("r"), spot("a"), "rank", "sim")
     if large.isEmpty():
         return grouped(lean)
     small = grouped(lean.join(large, "pair_id", "left_anti"))
