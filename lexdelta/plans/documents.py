@@ -83,11 +83,14 @@ def print_hunks(spark: SparkSession, d: str) -> DataFrame:
     return api.printed_hunks(*_printed(spark, d)).select("pair_id", "hunk_no", "change_type", "v1_anchor", "v2_anchor", "v1_text", "v2_text")
 
 
-@R.add("print_anchors", """with l as (select 'v2-' || hunk_id doc_id, generate_subscripts(t, 1) - 1 line_ord, unnest(t) as "text" from (select hunk_id, string_split(case when v2_anchor is not null then v2_anchor || chr(10) else '' end || v2_text, chr(10)) t from pdf_hunks where coalesce(v2_text, '') <> ''))
+_SIDE = "select '{0}-' || hunk_id doc_id, string_split(case when {0}_anchor is not null then {0}_anchor || chr(10) else '' end || {0}_text, chr(10)) t from pdf_hunks where coalesce({0}_text, '') <> ''"
+
+
+@R.add("print_anchors", f"""with l as (select doc_id, generate_subscripts(t, 1) - 1 line_ord, unnest(t) as "text" from ({_SIDE.format('v1')} union all {_SIDE.format('v2')}))
 select doc_id, line_ord % 25 + 1 line_number, case when regexp_matches("text", '^TITLE\\s+[IVXLC]+\\b') then 'title' else 'section' end kind, case when regexp_matches("text", '^TITLE\\s+[IVXLC]+\\b') then 'TITLE ' || regexp_extract("text", '^TITLE\\s+([IVXLC]+)\\b', 1) else regexp_replace(regexp_extract("text", '^(SEC(TION)?\\.?\\s+\\d+)\\b', 1), '\\s+', ' ', 'g') end as "text" from l where regexp_matches("text", '^TITLE\\s+[IVXLC]+\\b') or regexp_matches("text", '^SEC(TION)?\\.?\\s+\\d+\\b')""")
 def print_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Title and section lines of printed sides."""
-    return A.title_section_anchors(hunk_pages(spark, d, "v2")).select("doc_id", "line_number", "kind", "text")
+    """Title and section lines of both printed sides."""
+    return A.title_section_anchors(_printed(spark, d)[0]).select("doc_id", "line_number", "kind", "text")
 
 
 @R.add("print_breadcrumbs")

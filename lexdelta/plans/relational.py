@@ -470,7 +470,8 @@ def heading_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("searched_spans")
 def searched_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Old texts of archived changes looked up in the joined old texts of their bill."""
-    c = table(spark, d, "node_changes").where("old_text is not null")
-    texts = c.groupBy("bill_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("change_id", "old_text"))), lambda x: x["old_text"]), "\n").alias("full_text")).withColumnRenamed("bill_id", "pair_id")
-    return spans.search_spans(c.select(F.col("bill_id").alias("pair_id"), F.col("change_id").alias("change_no"), F.col("old_text").alias("target")), texts)
+    """Texts of archived changes looked up in the joined texts of their bill, old and new ones apart."""
+    one = lambda c: table(spark, d, "node_changes").where(F.col(c).isNotNull()).select(F.concat("bill_id", F.lit(f":{c}")).alias("pair_id"), F.col("change_id").alias("change_no"), F.col(c).alias("target"))
+    c = one("old_text").unionByName(one("new_text"))
+    texts = c.groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("change_no", "target"))), lambda x: x["target"]), "\n").alias("full_text"))
+    return spans.search_spans(c, texts)
