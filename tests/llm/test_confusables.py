@@ -80,3 +80,56 @@ def test_groups(spark):
     df = frame(spark, TEXTS + ["c"] * 50)
     got = C.look_alike_groups(df).collect()
     assert [(r["n_rows"], r["n_forms"]) for r in got] == [(3, 2)]
+
+
+PROTOTYPES = {ord(k): v for k, v in FORMS.table.items()}
+
+
+def pure(text):
+    """The method as it is dealt: decompose, prototype, decompose."""
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(PROTOTYPES))
+
+
+@pytest.mark.parametrize("text", ["x²", "n.º", "5ª", "H₂O", "1⁹", "don´t", "a¸b", "so˜", "mot˙", "2ʳ", "ϲt", "Ϲt", "é ç ö", "Ѕесtion", "5%", "‰"])
+def test_skeleton_is_decompose_prototype_decompose(text):
+    assert FORMS.skeleton(text) == pure(text)
+
+
+def test_skeleton_of_every_character_and_its_one_form():
+    chars = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    own = [c for c in chars if C._kind(c) is None and not c.isspace()]
+    assert [c for c in own if FORMS.skeleton(c) != C._WS_RUN.sub(" ", pure(c)).strip()] == []
+    assert [c for c in chars if FORMS.skeleton(FORMS.one_form(c)[0]) != FORMS.skeleton(c)] == []
+
+
+@pytest.mark.parametrize("text, plain", [("x²", "x2"), ("n.º", "n.o"), ("H₂O", "H2O"), ("2ʳ", "2r")])
+def test_raised_and_lowered_characters_look_like_no_others(text, plain):
+    assert FORMS.skeleton(text) != FORMS.skeleton(plain)
+
+
+@pytest.mark.parametrize("text, form", [("nº", "nº"), ("don´t", "don´t"), ("¨¯¸", "¨¯¸"), ("aϲt", "act"), ("ϲοφια", "ϲοφια"), ("nоª", "noª"), ("xʰо", "xʰo"), ("￣", "¯")])
+def test_one_form_has_the_skeleton_by_the_table(text, form):
+    assert FORMS.one_form(text)[0] == form and FORMS.one_form(form) == (form, [])
+    assert FORMS.skeleton(form) == FORMS.skeleton(text)
+
+
+def test_no_table_is_an_error(monkeypatch, tmp_path):
+    monkeypatch.setenv("SPARK_HOME", str(tmp_path))
+    assert C.table_from() == FORMS.table  # that of the installed package
+    monkeypatch.setattr(C.pyspark, "__file__", str(tmp_path / "__init__.py"))
+    with pytest.raises(FileNotFoundError):
+        C.table_from()
+
+
+def test_groups_by_skeletons_not_by_their_hashes(spark):
+    a, b = "all text of land", "axlbyiklzETXsB-3"  # one 64-bit hash
+    pair = spark.createDataFrame([(a, b)], "a string, b string").selectExpr("xxhash64(a) = xxhash64(b)").first()
+    assert pair[0] and FORMS.skeleton(a) == a and FORMS.skeleton(b) == b
+    got = C.look_alike_groups(frame(spark, [a, a.replace("l", "I"), b, b.replace("l", "1"), a])).collect()
+    assert {(r["skeleton"], r["n_rows"], r["n_forms"]) for r in got} == {(a, 3, 2), (b, 2, 2)}
+    assert C.look_alike_groups(frame(spark, [a, b])).count() == 0
+
+
+def test_groups_keep_raised_characters_apart(spark):
+    got = C.look_alike_groups(frame(spark, ["10²", "102", "l02", "don´t", "don't"])).collect()
+    assert {(r["skeleton"], r["n_rows"], r["n_forms"]) for r in got} == {("lO2", 2, 2), ("don't", 2, 2)}
