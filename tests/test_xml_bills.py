@@ -92,3 +92,36 @@ def test_bad_documents_are_rows(spark):
     (n,) = got.where("error is null").collect()
     assert (n["version_label"], n["node_ord"], n["body_text"]) == ("x", 0, "t")
     assert X.parse_documents(docs.where("false")).count() == 0
+
+
+class _Local:
+    """Documents in this process: gives the batches that the parsing function hands on."""
+
+    def __init__(self, docs):
+        import pyarrow as pa
+
+        self.table = pa.table({"k": [k for k, _ in docs], "c": pa.array([c for _, c in docs], pa.binary())})
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, f, _):
+        return [list(b.itertuples(index=False, name=None)) for b in f(b.to_pandas() for b in self.table.to_batches(700))]
+
+    def mapInArrow(self, f, _):
+        return [list(zip(*b.to_pydict().values())) for b in f(iter(self.table.to_batches(700)))]
+
+
+def test_rows_of_short_documents_share_batches(spark):
+    bill = b"<bill><legis-body><section><enum>%d</enum><text>t</text></section><section><enum>x</enum><text>u</text></section></legis-body></bill>"
+    docs = [(f"{i}_y.xml", None if i % 50 == 0 else b"<bill>" if i % 50 == 1 else b"<bill><legis-body/></bill>" if i % 50 == 2 else bill % i) for i in range(3_000)]
+    got = X.parse_documents(_Local(docs))
+    assert [r for b in got for r in b] == [r for k, c in docs for r in X.node_rows(k, c)]
+    assert sum(map(len, got)) == 60 + 60 + 2 * 47 * 60
+    assert len(got) < 10
+
+
+def test_batches_of_long_documents_are_bounded(spark):
+    docs = [(f"{i}_y.xml", b"<bill><legis-body><section><enum>1</enum><text>" + b"t" * 1_500_000 + b"</text></section></legis-body></bill>") for i in range(7)]
+    assert [len(b) for b in X.parse_documents(_Local(docs))] == [3, 3, 1]
+    assert X.parse_documents(_Local([])) == []
